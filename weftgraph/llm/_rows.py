@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def slices(batch: pa.RecordBatch, text_at: int = 1, limit: int = STEP_BYTES) ->
     """Cut a batch so that a step holds about `limit` bytes of text, which bounds a worker's memory."""
     col = batch.column(text_at)
     size, begin = 0, 0
-    lengths = pa.compute.binary_length(col).to_pylist()
+    lengths = pc.binary_length(col).to_pylist()
     for i, n in enumerate(lengths):
         size += n or 0
         if size >= limit:
