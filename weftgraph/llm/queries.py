@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe
+from weftgraph.llm import bpe, media_jpeg
 from weftgraph.llm._rows import documents
 
 
@@ -14,5 +14,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op10_byte_bpe": op10_byte_bpe}
+def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_jpeg.load(media_jpeg.store(documents(spark, sf_dir)))
+
+
+QUERIES = {"op3_progressive_jpeg": op3_progressive_jpeg, "op10_byte_bpe": op10_byte_bpe}
 ORACLES: dict[str, str] = {}
