@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, media_jpeg
+from weftgraph.llm import bpe, media_jpeg, substring
 from weftgraph.llm._rows import documents
 
 
@@ -18,5 +18,9 @@ def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_jpeg.load(media_jpeg.store(documents(spark, sf_dir)))
 
 
-QUERIES = {"op3_progressive_jpeg": op3_progressive_jpeg, "op10_byte_bpe": op10_byte_bpe}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(documents(spark, sf_dir)).drop("kept")
+
+
+QUERIES = {"op7_substring_dedup": op7_substring_dedup, "op3_progressive_jpeg": op3_progressive_jpeg, "op10_byte_bpe": op10_byte_bpe}
 ORACLES: dict[str, str] = {}
