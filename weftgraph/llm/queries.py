@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, line_dedup, media_jpeg, near_dup, substring
+from weftgraph.llm import bpe, decontam, line_dedup, media_jpeg, near_dup, substring
 from weftgraph.llm._rows import documents
 
 
@@ -31,5 +31,11 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(documents(spark, sf_dir))
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op5_near_dup": op5_near_dup, "op7_substring_dedup": op7_substring_dedup, "op3_progressive_jpeg": op3_progressive_jpeg, "op10_byte_bpe": op10_byte_bpe}
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that it holds."""
+    found = decontam.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", F.explode("items").alias("i")).select("doc_id", "i.item_id", "i.start_word", "i.edits")
+
+
+QUERIES = {"op4_decontam": op4_decontam, "op2_line_dedup": op2_line_dedup, "op5_near_dup": op5_near_dup, "op7_substring_dedup": op7_substring_dedup, "op3_progressive_jpeg": op3_progressive_jpeg, "op10_byte_bpe": op10_byte_bpe}
 ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.SQL}
