@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, decontam, lang_id, line_dedup, media_jpeg, near_dup, substring
+from weftgraph.llm import bpe, decontam, lang_id, line_dedup, media_jpeg, near_dup, substring, toxicity
 from weftgraph.llm._rows import documents
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~_in_part(4, 2))
+    scored = toxicity.score(docs, machine)
+    return scored.select("doc_id", _in_part(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,5 +55,5 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("items").alias("i")).select("doc_id", "i.item_id", "i.start_word", "i.edits")
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op4_decontam": op4_decontam, "op2_line_dedup": op2_line_dedup, "op5_near_dup": op5_near_dup, "op7_substring_dedup": op7_substring_dedup, "op3_progressive_jpeg": op3_progressive_jpeg, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op9_toxicity": op9_toxicity, "op1_language_id": op1_language_id, "op4_decontam": op4_decontam, "op2_line_dedup": op2_line_dedup, "op5_near_dup": op5_near_dup, "op7_substring_dedup": op7_substring_dedup, "op3_progressive_jpeg": op3_progressive_jpeg, "op10_byte_bpe": op10_byte_bpe}
 ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.SQL}
