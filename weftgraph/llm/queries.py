@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, decontam, lang_id, line_dedup, media_jpeg, near_dup, substring, toxicity
+from weftgraph.llm import bpe, decontam, lang_id, line_dedup, media_jpeg, near_dup, substring, toxicity, warc
 from weftgraph.llm._rows import documents
 
 
@@ -26,6 +26,10 @@ def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_jpeg.load(media_jpeg.store(documents(spark, sf_dir)))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(warc.plan(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(documents(spark, sf_dir)).drop("kept")
 
@@ -55,5 +59,5 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("items").alias("i")).select("doc_id", "i.item_id", "i.start_word", "i.edits")
 
 
-QUERIES = {"op9_toxicity": op9_toxicity, "op1_language_id": op1_language_id, "op4_decontam": op4_decontam, "op2_line_dedup": op2_line_dedup, "op5_near_dup": op5_near_dup, "op7_substring_dedup": op7_substring_dedup, "op3_progressive_jpeg": op3_progressive_jpeg, "op10_byte_bpe": op10_byte_bpe}
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.SQL}
+QUERIES = {"op6_warc": op6_warc, "op9_toxicity": op9_toxicity, "op1_language_id": op1_language_id, "op4_decontam": op4_decontam, "op2_line_dedup": op2_line_dedup, "op5_near_dup": op5_near_dup, "op7_substring_dedup": op7_substring_dedup, "op3_progressive_jpeg": op3_progressive_jpeg, "op10_byte_bpe": op10_byte_bpe}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op6_warc": warc.SQL}
