@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, decontam, lang_id, line_dedup, media_jpeg, near_dup, substring, toxicity, warc
+from weftgraph.llm import bpe, decontam, lang_id, license_scan, line_dedup, media_jpeg, near_dup, substring, toxicity, warc
 from weftgraph.llm._rows import documents
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir)).drop("detections")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~_in_part(4, 2))
@@ -59,5 +63,5 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("items").alias("i")).select("doc_id", "i.item_id", "i.start_word", "i.edits")
 
 
-QUERIES = {"op6_warc": op6_warc, "op9_toxicity": op9_toxicity, "op1_language_id": op1_language_id, "op4_decontam": op4_decontam, "op2_line_dedup": op2_line_dedup, "op5_near_dup": op5_near_dup, "op7_substring_dedup": op7_substring_dedup, "op3_progressive_jpeg": op3_progressive_jpeg, "op10_byte_bpe": op10_byte_bpe}
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op6_warc": warc.SQL}
+QUERIES = {"op8_license_scan": op8_license_scan, "op6_warc": op6_warc, "op9_toxicity": op9_toxicity, "op1_language_id": op1_language_id, "op4_decontam": op4_decontam, "op2_line_dedup": op2_line_dedup, "op5_near_dup": op5_near_dup, "op7_substring_dedup": op7_substring_dedup, "op3_progressive_jpeg": op3_progressive_jpeg, "op10_byte_bpe": op10_byte_bpe}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op6_warc": warc.SQL, "op8_license_scan": license_scan.sql()}
