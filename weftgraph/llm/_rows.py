@@ -60,6 +60,29 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, per_step: Callable, sch
     return df.select(F.col(f"`{id_col}`").alias("_id"), (text.cast("binary") if as_binary else text).alias("_text")).mapInArrow(run, schema)
 
 
+def filter_texts(df: DataFrame, text_col: str, decide: Callable, setup: Callable | None = None, replace: str | None = None) -> DataFrame:
+    """Rows of `df`, all columns, for which `decide(texts[, state])` is true.
+
+    With `replace`, decide returns (mask, values) and the values take that column's place.  Columns are
+    addressed by position, so any names do.
+    """
+    text_at, replace_at = df.columns.index(text_col), df.columns.index(replace) if replace else None
+
+    def run(batches):
+        state = (setup(),) if setup else ()
+        for batch in batches:
+            for part in slices(batch, text_at):
+                mask = decide(part.column(text_at), *state)
+                if replace_at is not None:
+                    mask, values = mask
+                    cols = [pa.array(values, part.schema.field(i).type) if i == replace_at else c for i, c in enumerate(part.columns)]
+                    part = pa.RecordBatch.from_arrays(cols, schema=part.schema)
+                yield part.filter(pa.array(mask, pa.bool_()))
+
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(run, df.schema)
+
+
 def bounded_batches(spark) -> None:
     """Arrow batches of a thousand rows: a batch of the longest texts still fits a small worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._rows import map_texts
+from weftgraph.llm._rows import filter_texts, map_texts
 from weftgraph.llm._words import PUNCT, Words, mix, runs
 
 
@@ -183,14 +183,19 @@ class Items:
         return out
 
 
-def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", ratio: float = 0.2, recall: float = 0.99, differing: float = 0.6, bits: int = 2, block: int = 5000) -> DataFrame:
-    """doc_id, items: array of (item_id, start_word, edits), for every row that holds an item (per block of the benchmark)."""
+def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str, block: int):
+    """The benchmark in broadcasts of about `block` items."""
     items = benchmark.select(F.col(f"`{item_id_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").alias("text"))
     blocks = max(1, math.ceil(items.count() / block))
-    parts = []
     for b in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        rows = df.sparkSession.sparkContext.broadcast([tuple(r) for r in mine.collect()])
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in mine.collect()])
+
+
+def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", ratio: float = 0.2, recall: float = 0.99, differing: float = 0.6, bits: int = 2, block: int = 5000) -> DataFrame:
+    """doc_id, items: array of (item_id, start_word, edits), for every row that holds an item (per block of the benchmark)."""
+    parts = []
+    for rows in _blocks(benchmark, item_id_col, item_text_col, block):
 
         def step(ids, texts, index):
             found: dict[int, list] = {}
@@ -200,3 +205,15 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
         parts.append(map_texts(df, id_col, text_col, step, "doc_id long, items array<struct<item_id:long,start_word:long,edits:int>>", lambda rows=rows: Items(rows.value, ratio, recall, differing, bits)))
     return reduce(DataFrame.union, parts).where(F.size("items") > 0)
+
+
+def keep(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", ratio: float = 0.2, recall: float = 0.99, differing: float = 0.6, bits: int = 2, block: int = 5000) -> DataFrame:
+    """Rows of df that hold no benchmark item."""
+    for rows in _blocks(benchmark, item_id_col, item_text_col, block):
+
+        def decide(texts, index):
+            held = {d for d, *_ in index.find([(t or "").lower().encode() for t in texts.to_pylist()])}
+            return [d not in held for d in range(len(texts))]
+
+        df = filter_texts(df, text_col, decide, lambda rows=rows: Items(rows.value, ratio, recall, differing, bits))
+    return df

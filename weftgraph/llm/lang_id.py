@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._rows import map_texts
+from weftgraph.llm._rows import filter_texts, map_texts
 
 _BUCKETS = 1 << 16
 #: Starts of script ranges in code points and the script's number (fixed values of the character set, coarse).
@@ -224,3 +224,14 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         return [ids, *map(list, zip(*rows))] if rows else [ids, [], [], []]
 
     return map_texts(df, id_col, text_col, step, "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+
+
+def keep(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", least: float = 0.4, penalty: float = 8.0) -> DataFrame:
+    """Rows of df whose main language holds at least `least` of the letters, with lang_col set to it; letterless texts go."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def decide(texts):
+        found = identify(texts.to_pylist(), sent.value, penalty)
+        return [lang != "und" and share >= least for lang, share, _ in found], [lang for lang, _, _ in found]
+
+    return filter_texts(df, text_col, decide, replace=lang_col)
