@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm._rows import checkpointed
+
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_removed and kept (the lines left) of every row, and the columns named in `keep`."""
@@ -29,6 +31,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
     )
     windows = many.select("d", "h", F.posexplode(window).alias("at", "w")).select("d", "h", "at", "w.a", "w.b")
     first = windows.groupBy("a", "b").agg(F.min(F.struct("d", "h", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
+    first = checkpointed(first, "lines")  # a table, so that both sides of the join are plain exchanges, which AQE can split
     repeats = windows.join(first, ["a", "b"]).where(~F.struct("d", "h", "at").eqNullSafe(F.col("first")))
     covered = repeats.groupBy("d", "h").agg(F.collect_set("at").alias("at")).select(F.col("d").alias("rd"), F.col("h").alias("rh"), F.flatten(F.transform("at", lambda p: F.sequence(p, p + size - 1))).alias("gone"))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._rows import bounded_batches, shared_dir
+from weftgraph.llm._rows import bounded_batches, checkpointed, shared_dir
 
 #: Fixed values of the formats.
 SKIPPABLE = 0x184D2A5E
@@ -177,7 +177,8 @@ def plan(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str
     """page_id, url, digest (hex), size, html (null for revisits) and refers_to of every row."""
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumns({"digest": F.unhex(F.sha1("html")), "size": F.octet_length("html")})
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
+    # a table, so that both sides of the joins are plain exchanges, which AQE can split where a digest is hot
+    first = checkpointed(rows.groupBy("digest").agg(F.min("page_id").alias("first")), "digests")
     small = F.col("size") < least
     same = F.col("page_id").eqNullSafe(F.col("first"))
     if least > 0:
