@@ -59,7 +59,7 @@ def paths(edges: DataFrame, start: str, end: str, depth: int | None = None) -> D
     near = hops(edges, spark.createDataFrame([(end,)], "id string"), "in", (), depth - 1) if depth > 1 else None
     useful = spark.createDataFrame([(end, 0)], "id string, hop int")
     if near is not None:
-        useful = useful.union(near.where(F.col("id") != end))
+        useful = checkpointed(useful.union(near.where(F.col("id") != end)), "useful")  # read once per hop
     steps = edges.select("src", F.col("dst").alias("id"), F.col("label").alias("l"), "ord")
     front = spark.createDataFrame([([start], [])], "node_ids array<string>, edge_labels array<string>")
     done = None
