@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions import scalar as X
 from weftgraph.operators import chains as C
 from weftgraph.operators import filters as P
 from weftgraph.operators import linkers as L
@@ -612,3 +613,28 @@ def question_planner(p):
     what = F.when(k % 4 == 0, "the transaction rollback").when(k % 4 == 1, "impact of this break").when(k % 4 == 2, "cron job schedule trigger").otherwise("consumer of the topic")
     c = p.table("customer").select((k + 1_000_000).alias("id"), F.concat(F.lit("What does "), what, F.lit(" mean for customer "), k.cast("string")).alias("question"))
     return Q.plan(b.unionByName(c))
+
+
+# ---- scalar functions
+
+
+@query(
+    """SELECT id, CASE type WHEN 'REST_ENDPOINT' THEN 'http' WHEN 'MESSAGING_CONSUMER' THEN 'messaging' WHEN 'SCHEDULER' THEN 'scheduler' WHEN 'CDI_EVENT_OBSERVER' THEN 'event' WHEN 'EVENT_BUS_CONSUMER' THEN 'event-bus' ELSE 'grpc' END AS protocol,
+ CASE type WHEN 'REST_ENDPOINT' THEN http_method || ' ' || t WHEN 'MESSAGING_CONSUMER' THEN 'Process ' || upper(channel[1]) || channel[2:] WHEN 'SCHEDULER' THEN 'Scheduled: ' || t WHEN 'CDI_EVENT_OBSERVER' THEN 'On Event: ' || path ELSE t END AS use_case
+FROM (SELECT *, CASE WHEN name LIKE 'on%' THEN 'On Shutdown' || name[11:] ELSE 'Handle' || name[7:] END AS t FROM entrypoints)""",
+    "entrypoints",
+)
+def detect_use_cases(p):
+    c = F.col
+    return p.entrypoints.select("id", X.protocol(c("type")).alias("protocol"), X.use_case_name(c("type"), c("name"), c("http_method"), c("channel"), c("path")).alias("use_case"))
+
+
+@query(
+    """SELECT d.ord, round(CASE WHEN d.ord % 2 = 0 THEN 0.9 + CASE WHEN b.type IN ('REPOSITORY', 'REMOTE_SERVICE') THEN 0.03 ELSE 0 END
+ ELSE 0.55 + CASE WHEN a.module = b.module THEN 0.05 ELSE 0 END + CASE WHEN b.type NOT IN ('ENTITY', 'UTILITY', 'UNKNOWN') THEN 0.05 ELSE 0 END END, 2)::DOUBLE AS score FROM dependencies d JOIN components a ON a.id = d.from_id JOIN components b ON b.id = d.to_id""",
+    "dependencies",
+    "components",
+)
+def dependency_scores(p):
+    a, b = p.components.select(F.col("id").alias("src"), F.col("module").alias("am")), p.components.select(F.col("id").alias("dst"), F.col("module").alias("bm"), "type")
+    return p.dependency_edges.join(a, "src").join(b, "dst").select("ord", X.dependency_score(F.col("ord") % 2 == 0, F.col("am") == F.col("bm"), F.col("type")).alias("score"))
