@@ -6,11 +6,11 @@
    weights, do not drift with the corpus.  A shingle weighs tf * (1 + ln((1 + N) / (1 + df))).
 2. Each text gives bands * rows consistent samples (Ioffe's improved CWS): the share of equal samples
    of two texts is their weighted Jaccard similarity.  `rows` samples make a band key.
-3. Texts that are equal are one node.  In every bucket of a band the members are compared with a
-   leader, and later with what they are not connected to yet: two star rounds with different leaders,
-   then every pair of a bucket whose two sides are still in different classes.  So no link between
-   candidates is lost, and a large group of copies costs a comparison a member and not one a pair.  Pairs
-   are verified by the exact weighted Jaccard similarity.
+3. Texts that are equal are one node.  In every bucket of a band the members are compared with its most
+   central member, in later rounds with further leaders if they are in other classes, and at last with
+   every member of another class that shares a shingle of both texts' prefixes.  So no link between
+   candidates is lost, and a large group of copies costs a few comparisons a member and not one a pair.
+   Pairs are verified by the exact weighted Jaccard similarity.
 4. Connected components of the verified pairs are the classes.
 
 Defined results: null and empty texts are equal to each other and to nothing else; repeated rows share
@@ -30,6 +30,8 @@ from weftgraph.llm._rows import bounded_batches, checkpointed, map_texts, slices
 from weftgraph.llm._words import Words, mix, run_starts, runs
 
 BUCKETS = 1 << 18
+#: Star rounds before the pairs that are left.
+ROUNDS = 2
 _T = 1 << 16
 
 
@@ -179,15 +181,77 @@ def components(edges: DataFrame) -> DataFrame:
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("theirs")), "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("old"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = checkpointed(lower.join(jump, "next").select("node", F.least("next", "far").alias("label"), "old"), "labels")
+        old, new = labels.select("node", F.col("label").alias("old")), labels
+        for _ in range(2):  # two steps for each table that is written
+            near = both.join(new.select(F.col("node").alias("b"), F.col("label").alias("theirs")), "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("near"))
+            lower = new.join(near, "node").select("node", F.least("label", "near").alias("next"))
+            jump = new.select(F.col("node").alias("next"), F.col("label").alias("far"))
+            new = lower.join(jump, "next").select("node", F.least("next", "far").alias("label"))
+        new = checkpointed(new.join(old, "node"), "labels")
         if new.where("label <> old").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
 
 
+def _close(similarity: float):
+    """Can the two reach the similarity?  Their minima sum to the smaller total at most."""
+    return F.least("total", "other") >= similarity * F.greatest("total", "other") - 1e-6
+
+
+def _leaders(at: DataFrame, attempt: int) -> DataFrame:
+    """key, lead, other, lead_label: whom a bucket's members are compared with.
+
+    A text that shares buckets with many is near the middle of its group: copies that were edited apart
+    still are close to it.  So first the most central member leads; later the most central outside its
+    class, and two by chance.
+    """
+    who = F.struct(F.col("node").alias("lead"), F.col("total").alias("other"), F.col("label").alias("lead_label"))
+    best = lambda rank: F.max(F.struct(rank.alias("rank"), who.alias("w")))["w"]
+    if attempt == 0:
+        return at.groupBy("key").agg(best(F.col("c")).alias("w")).select("key", "w.*")
+    main = at.groupBy("key").agg(best(F.col("c")).alias("m"), *(best(F.xxhash64("node", F.lit(2 * attempt + i))).alias(f"r{i}") for i in range(2)))
+    second = at.join(main.select("key", F.col("m.lead_label").alias("main")), "key").where("label <> main").groupBy("key").agg(best(F.col("c")).alias("w"))
+    picked = main.select("key", F.explode(F.array("m", "r0", "r1")).alias("w")).unionByName(second)
+    return picked.select("key", "w.*").distinct()
+
+
+def _prefix(kinds: np.ndarray, weights: np.ndarray, idf: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles of a text: what is left of it weighs less than `similarity` of the whole.
+
+    Two texts that reach the similarity share at least that weight of both, so the rarest shingle that
+    they share is in both prefixes.  Shingles are in one global order: by frequency bucket, then hash.
+    """
+    order = np.lexsort((kinds, -idf[_bucket(kinds)]))
+    rest = weights[order].sum(dtype=np.float64) - np.cumsum(weights[order], dtype=np.float64)
+    n = int(np.searchsorted(-rest, -similarity * weights.sum(dtype=np.float64) * (1 - 1e-6), "right")) + 1
+    return kinds[order[:n]]
+
+
+def _rest(at: DataFrame, texts: DataFrame, idf, words: int, similarity: float) -> DataFrame:
+    """Pairs of a bucket that are still in different classes and could be similar.
+
+    One side is outside the bucket's largest class.  Both share a shingle of their prefixes, which
+    copies that were edited apart too far do not; so a large group of those makes no pairs.
+    """
+    main = at.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", "n").alias("main"))
+    nodes = at.join(main, "key").groupBy("node").agg(F.first("label").alias("label"), F.first("total").alias("total"), F.collect_list("key").alias("keys"), F.max(F.col("label") != F.col("main")).alias("odd"))
+    nodes = checkpointed(nodes, "rest")
+
+    def prefixes(batches):
+        for b in batches:
+            found = [_prefix(*_weights(_shingles([_lower(t)], words)[0], idf.value), idf.value, similarity) for t in b.column(1).to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            flat = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(flat)], ["node", "shingle"])
+
+    rare = texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(prefixes, "node binary, shingle long")
+    # a shingle in one text's prefix alone joins nothing
+    met = rare.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+    rare = checkpointed(rare.join(met, "shingle").join(nodes, "node"), "prefixes")
+    odd = rare.where("odd").select("shingle", F.col("node").alias("lead"), F.col("total").alias("other"), F.col("label").alias("lead_label"), F.col("keys").alias("lead_keys"))
+    return rare.join(odd, "shingle").where((F.col("label") != F.col("lead_label")) & _close(similarity) & F.arrays_overlap("keys", "lead_keys"))
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
     """doc_id, class_id and class_size of every row."""
     spark = df.sparkSession
@@ -197,40 +261,32 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     signed = checkpointed(signatures(docs, idf, "doc_id", "text", words, bands, rows), "signatures")
     nodes = signed.groupBy("node").agg(F.first("total").alias("total"), F.first("keys").alias("keys"))
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "total")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = checkpointed(keyed.join(shared, "key"), "members")
-    wanted = members.select("node").distinct()
-    texts = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), "text").join(wanted, "node", "left_semi")
+    central = members.groupBy("node").agg(F.sum("n").alias("c"))
+    members = checkpointed(members.drop("n").join(central, "node"), "members")
+    texts = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), "text").join(central.select("node"), "node", "left_semi")
     texts = checkpointed(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    close = F.least("total", "other") >= similarity * F.greatest("total", "other") - 1e-6
 
     tested = labels = None
-    for attempt in range(3):
-        at = members if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if labels is None:
-            at = at.withColumn("label", F.col("node"))
+    for attempt in range(ROUNDS + 1):
+        at = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         split = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        at = at.join(split, "key")
-        if attempt < 2:
-            rank = F.col("node") if attempt == 0 else F.xxhash64("node")
-            lead = at.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), F.col("node").alias("lead"), F.col("total").alias("other"), F.col("label").alias("lead_label"))).alias("l")).select("key", "l.lead", "l.other", "l.lead_label")
-            pairs = at.join(lead, "key").where((F.col("label") != F.col("lead_label")) & close)
+        at = at if labels is None else at.join(split, "key", "left_semi")
+        if attempt < ROUNDS:
+            chosen = at.join(_leaders(at, attempt), "key").where(_close(similarity) & (F.col("label") != F.col("lead_label")))
         else:
-            main = at.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", "n").alias("main"))
-            rest = at.join(main, "key").where("label <> main").select("key", F.col("node").alias("lead"), F.col("total").alias("other"), F.col("label").alias("lead_label"))
-            pairs = at.join(rest, "key").where((F.col("label") != F.col("lead_label")) & close)
-        pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+            chosen = _rest(at, texts, idf, words, similarity)
+        pairs = chosen.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs, "pairs")
-        if pairs.isEmpty():
-            break
+        if attempt and pairs.isEmpty():
+            continue
         done = checkpointed(_verify(pairs, texts, idf, words), "verified")
         tested = done if tested is None else tested.union(done)
         labels = components(tested.where(F.col("similarity") >= similarity))
-    named = signed.select("doc_id", "node")
-    if labels is not None:
-        named = named.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
+    named = signed.select("doc_id", "node").join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
     named = named.select("doc_id", F.col("node").alias("label"))
     sizes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return named.join(sizes, "label").select("doc_id", "class_id", "class_size")
