@@ -5,7 +5,7 @@ word sequence that also starts earlier: in a smaller doc_id, or earlier in the s
 
 1. Anchors.  Of the `phrase`-word runs in a window, the one with the smallest hash anchors it.  Equal
    windows have equal anchors, and neighbouring windows mostly share one, so an anchor stands for a
-   segment: the words of the consecutive windows it governs.  About an eighth as many anchors as words
+   segment: the words of the consecutive windows it governs.  About a ninth as many anchors as words
    leave the scan; those that occur twice are kept (a count with map-side combine, then a semi-join
    that adaptive execution can split).
 2. Recurring passages.  Segments of recurring anchors are merged (a combiner in the task, then a
@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._rows import bounded_batches, slices
+from weftgraph.llm._rows import bounded_batches, checkpointed, slices
 from weftgraph.llm._words import Words, mix, run_starts, runs
 
 #: Segments that a combiner or an automaton holds at most (a single anchor may have up to `common`).
@@ -42,7 +42,7 @@ NO_ID = -(1 << 63)
 
 
 def _anchors(words: Words, window: int, phrase: int):
-    """Per governed run of windows: document, anchor hash, first window (word index), number of windows, hash of the windows."""
+    """Per governed run of windows: document, anchor hash (48 bits; a chance match only adds a candidate), first window (word index), number of windows, hash of the windows."""
     hashes = words.hashes()
     if len(hashes) < window:
         none = np.empty(0, np.int64)
@@ -57,7 +57,7 @@ def _anchors(words: Words, window: int, phrase: int):
     new[1:] = (where[1:] != where[:-1]) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(new)
     n = np.diff(np.append(begin, len(at)))
-    return doc[begin], grams[where[begin]], at[begin], n, runs(hashes, window)
+    return doc[begin], grams[where[begin]] >> np.uint64(16), at[begin], n, runs(hashes, window)
 
 
 def _signed(h) -> np.ndarray:
@@ -119,7 +119,7 @@ def _settle(rows: list[tuple], window: int) -> list[tuple]:
     return out
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, phrase: int = 6, common: int = 2000) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, phrase: int = 4, common: int = 2000) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by a space) and kept_sha256 of every row."""
     bounded_batches(df.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
@@ -129,11 +129,12 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
         for batch in batches:
             for part in slices(batch, 2):
                 words = Words(part.column(2).to_pylist())
-                doc, a, at, n, _ = _anchors(words, window, phrase)
+                doc, a, at, _, _ = _anchors(words, window, phrase)
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(a)), part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array((at - words.first[doc]).astype(np.int32))], ["a", "d", "h", "at"])
 
     places = docs.mapInArrow(anchors, "a long, d long, h int, at int")
-    often = places.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a", (F.col("n") > common).alias("big"))
+    # a table of its own, so that both sides of the join are plain exchanges, which AQE can split where an anchor is hot
+    often = checkpointed(places.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a", (F.col("n") > common).alias("big")), "anchors")
     chosen = places.join(often, "a").groupBy("d", "h").agg(F.collect_set(F.when(~F.col("big"), F.col("at"))).alias("few"), F.collect_set(F.when(F.col("big"), F.col("at"))).alias("many"))
     segments_in = docs.join(chosen, ["d", "h"]).select("d", "h", "t", "few", "many")
 
