@@ -1,0 +1,67 @@
+"""Flows, call chains and traced names at the reference's depths, on chains and random graphs, against brute force."""
+
+import random
+from types import SimpleNamespace
+
+import pytest
+
+from weftgraph.operators import ordered
+from weftgraph.plans import registry
+
+
+def tables(spark, pairs, utilities=()):
+    """Entrypoint e at c0; dependencies with a kind each."""
+    ids = sorted({x for p in pairs for x in p[:2]})
+    return SimpleNamespace(
+        entrypoints=spark.createDataFrame([("e", "c0")], "id string, component_id string"),
+        components=spark.createDataFrame([(i, "UTILITY" if i in utilities else "SERVICE") for i in ids], "id string, type string"),
+        dependencies=spark.createDataFrame([(*p, i) for i, p in enumerate(pairs)], "from_id string, to_id string, kind string, ord long"),
+    )
+
+
+CHAIN = [(f"c{i}", f"c{i + 1}", "PLAIN") for i in range(10)]
+
+
+def test_call_chain_is_whole_and_goes_through_utilities(spark):
+    got = registry.call_chain(tables(spark, CHAIN, {"c1", "c4"})).orderBy("position").collect()
+    assert [(r.position, r.component_id) for r in got] == list(enumerate(["c0", "c2", "c3", "c5", "c6"]))
+
+
+def test_call_chain_without_calls_and_on_a_shorter_way(spark):
+    alone = registry.call_chain(tables(spark, [("c5", "c6", "PLAIN"), ("c0", "c0", "PLAIN")])).collect()
+    assert [r.component_id for r in alone] == ["c0"]
+    leaf = tables(spark, [("c5", "c0", "PLAIN")])
+    assert [r.component_id for r in registry.call_chain(leaf).collect()] == ["c0"]
+    # c6 is first met at the last depth; the direct call from c0 comes later and leads on from it
+    both = registry.call_chain(tables(spark, [*CHAIN, ("c0", "c6", "PLAIN")])).collect()
+    assert {r.component_id for r in both} == {f"c{i}" for i in range(11)}
+
+
+def test_flow_steps_whole(spark):
+    got = registry.runtime_flow_steps_whole(tables(spark, CHAIN, {"c1"})).collect()
+    assert {(r.component_id, r.hop) for r in got} == {(f"c{i}", i) for i in range(7) if i != 1}
+
+
+def traced(pairs, depth):
+    """By all simple ways."""
+    best = {}
+
+    def go(at, name, way):
+        best[name, at] = min(best.get((name, at), 99), len(way) - 1)
+        if len(way) > depth:
+            return
+        for a, b, kind in pairs:
+            if a == at and b not in way and kind != "PROMO" and (kind != "ECONOMY" or name == "ECONOMY"):
+                go(b, "renamed" if kind == "ECONOMY" else name, [*way, b])
+
+    go("c0", "ECONOMY", ["c0"])
+    return best
+
+
+@pytest.mark.parametrize("seed", [None, 1, 2, 3])
+def test_traced_names_whole(spark, seed):
+    rng = random.Random(seed)
+    pairs = CHAIN if seed is None else [("c0", "c1", "PLAIN"), *((f"c{a}", f"c{b}", rng.choice(["PLAIN", "ECONOMY", "PROMO"])) for a, b in {(rng.randrange(10), rng.randrange(10)) for _ in range(30)})]
+    got = registry.data_flow_trace_whole(tables(spark, pairs)).collect()
+    assert {(r.name, r.component_id): r.hop for r in got} == traced(pairs, 8)
+    assert seed is not None or {r.hop for r in got} == set(range(9))
