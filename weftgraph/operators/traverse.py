@@ -1,8 +1,8 @@
 """Traversal: bounded paths, reachability, impact, closure, slices, condensation.
 
 Frontiers are deduplicated at every hop, so a walk costs edges times hops and not the number of walks;
-only path enumeration carries arrays.  Loops are bounded by depth; the unbounded one ends when a hop
-adds nothing and cuts its lineage in `spark.checkpoint.dir`.
+only path enumeration carries arrays.  Loops are bounded by depth; unbounded ones end when a hop
+adds nothing and cut their lineage in `spark.checkpoint.dir`.
 """
 
 from __future__ import annotations
@@ -102,10 +102,10 @@ def dependency_slice(dependencies: DataFrame, root: DataFrame, depth: int) -> Da
     return dependencies.join(inner, F.col("src") == F.col("id"), "left_semi").select("src", "dst").distinct()
 
 
-def condense(dependencies: DataFrame, components: DataFrame, hidden: tuple[str, ...] = ("UTILITY", "UNKNOWN"), depth: int = 10) -> DataFrame:
+def condense(dependencies: DataFrame, components: DataFrame, hidden: tuple[str, ...] = ("UTILITY", "UNKNOWN")) -> DataFrame:
     """src, dst among components that are not hidden, joined through chains of hidden ones; no new self loops.
 
-    Chains are followed to `depth` hidden components, one deduplicated frontier a hop.
+    Chains are followed to their end, one deduplicated frontier a hop; pairs are found once, so it ends.
     """
     kind = components.select("id", F.col("type").isin(*hidden).alias("hide"))
     e = dependencies.select("src", "dst").distinct()
@@ -113,7 +113,7 @@ def condense(dependencies: DataFrame, components: DataFrame, hidden: tuple[str,
     e = checkpointed(e, "condense")
     through = e.where("hs").select(F.col("src").alias("mid"), F.col("dst").alias("next"), F.col("hd").alias("hn"))
     seen = front = e.where("not hs").select("src", "dst", "hd")
-    for _ in range(depth):
+    while True:
         front = front.where("hd").join(through, F.col("dst") == F.col("mid")).select("src", F.col("next").alias("dst"), F.col("hn").alias("hd")).distinct()
         front = checkpointed(front.join(seen, ["src", "dst"], "left_anti"), "condense")
         if front.isEmpty():
