@@ -17,6 +17,7 @@ nothing is shuffled.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +87,21 @@ USES = [
     ("", "", 2),
 ]
 
+#: SPDX identifiers as they are written, by label; those of GNU licences also with -only and -or-later (fixed values).
+SPDX = [
+    ("0bsd", "0BSD"), ("afl-2.1", "AFL-2.1"), ("afl-3.0", "AFL-3.0"), ("agpl-3.0", "AGPL-3.0"), ("apache-1.0", "Apache-1.0"), ("apache-1.1", "Apache-1.1"), ("apache-2.0", "Apache-2.0"), ("apsl-2.0", "APSL-2.0"),
+    ("artistic-1.0", "Artistic-1.0"), ("artistic-1.0", "Artistic-1.0-Perl"), ("artistic-2.0", "Artistic-2.0"), ("beerware", "Beerware"), ("blueoak-1.0.0", "BlueOak-1.0.0"), ("bsd-1-clause", "BSD-1-Clause"),
+    ("bsd-2-clause", "BSD-2-Clause"), ("bsd-2-clause-patent", "BSD-2-Clause-Patent"), ("bsd-3-clause", "BSD-3-Clause"), ("bsd-3-clause-clear", "BSD-3-Clause-Clear"), ("bsd-4-clause", "BSD-4-Clause"), ("boost", "BSL-1.0"),
+    ("busl-1.1", "BUSL-1.1"), ("bzip2", "bzip2-1.0.6"), ("cc-by-3.0", "CC-BY-3.0"), ("cc-by-4.0", "CC-BY-4.0"), ("cc-by-nc-4.0", "CC-BY-NC-4.0"), ("cc-by-nc-nd-4.0", "CC-BY-NC-ND-4.0"), ("cc-by-nc-sa-4.0", "CC-BY-NC-SA-4.0"),
+    ("cc-by-nd-4.0", "CC-BY-ND-4.0"), ("cc-by-sa-3.0", "CC-BY-SA-3.0"), ("cc-by-sa-4.0", "CC-BY-SA-4.0"), ("cc0", "CC0-1.0"), ("cddl", "CDDL-1.0"), ("cddl", "CDDL-1.1"), ("cecill-2.1", "CECILL-2.1"), ("cecill-b", "CECILL-B"),
+    ("cecill-c", "CECILL-C"), ("cpl", "CPL-1.0"), ("curl", "curl"), ("ecl-2.0", "ECL-2.0"), ("efl-2.0", "EFL-2.0"), ("elastic-2.0", "Elastic-2.0"), ("epl-1.0", "EPL-1.0"), ("epl-2.0", "EPL-2.0"), ("eupl", "EUPL-1.1"), ("eupl", "EUPL-1.2"),
+    ("fdl", "GFDL-1.2"), ("fdl", "GFDL-1.3"), ("ftl", "FTL"), ("gpl-1.0", "GPL-1.0"), ("gpl-2.0", "GPL-2.0"), ("gpl-3.0", "GPL-3.0"), ("hpnd", "HPND"), ("icu", "ICU"), ("ijg", "IJG"), ("ipl-1.0", "IPL-1.0"), ("isc", "ISC"),
+    ("lgpl-2.0", "LGPL-2.0"), ("lgpl-2.1", "LGPL-2.1"), ("lgpl-3.0", "LGPL-3.0"), ("libpng", "Libpng"), ("libpng", "libpng-2.0"), ("lppl-1.3c", "LPPL-1.3c"), ("mit", "MIT"), ("mit-0", "MIT-0"), ("mpl-1.0", "MPL-1.0"), ("mpl-1.1", "MPL-1.1"),
+    ("mpl-2.0", "MPL-2.0"), ("ms-pl", "MS-PL"), ("ms-rl", "MS-RL"), ("mulanpsl-2.0", "MulanPSL-2.0"), ("ncsa", "NCSA"), ("odbl", "ODbL-1.0"), ("odc-by-1.0", "ODC-By-1.0"), ("ofl", "OFL-1.1"), ("openssl", "OpenSSL"), ("osl-3.0", "OSL-3.0"),
+    ("pddl-1.0", "PDDL-1.0"), ("php-3.01", "PHP-3.01"), ("postgresql", "PostgreSQL"), ("python", "PSF-2.0"), ("python", "Python-2.0"), ("qpl-1.0", "QPL-1.0"), ("ruby", "Ruby"), ("sleepycat", "Sleepycat"), ("sspl-1.0", "SSPL-1.0"), ("tcl", "TCL"),
+    ("unicode-dfs-2016", "Unicode-DFS-2016"), ("unlicense", "Unlicense"), ("upl-1.0", "UPL-1.0"), ("vim", "Vim"), ("w3c", "W3C"), ("wtfpl", "WTFPL"), ("x11", "X11"), ("zlib", "Zlib"), ("zpl-2.1", "ZPL-2.1"),
+]
+
 #: Rules that stand alone: label, regex, keyword, priority (fixed values).
 ALONE = [
     ("proprietary", "(?:proprietary and confidential|confidential and proprietary)", "confidential", 1),
@@ -98,19 +114,47 @@ ALONE = [
     ("bsd", "redistribution and use in source and binary forms(?: with or without modification)?", "redistribution", 1),
     ("zlib", "this software is provided as is without any express or implied warranty", "warranty", 2),
     ("gpl", "either version [23] of the licen[cs]e or at your option any later version", "option", 1),
+    ("gpl-2.0", "gnu general public licen[cs]e as published by the free software foundation either version 2 of the licen[cs]e", "foundation", 1),
+    ("gpl-3.0", "gnu general public licen[cs]e as published by the free software foundation either version 3 of the licen[cs]e", "foundation", 1),
+    ("gpl-2.0", "gnu general public licen[cs]e version 2 as published by the free software foundation", "foundation", 1),
+    ("lgpl-2.1", "gnu lesser general public licen[cs]e as published by the free software foundation either version 2 1 of the licen[cs]e", "foundation", 1),
+    ("lgpl-3.0", "gnu lesser general public licen[cs]e as published by the free software foundation either version 3 of the licen[cs]e", "foundation", 1),
+    ("agpl-3.0", "gnu affero general public licen[cs]e as published by the free software foundation either version 3 of the licen[cs]e", "affero", 1),
+    ("fdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e", "documentation", 1),
+    ("apache-2.0", "licen[cs]ed under the apache licen[cs]e version 2 0 the licen[cs]e you may not use this file except in compliance with the licen[cs]e", "compliance", 1),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0", "mozilla", 1),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public licen[cs]e version 1 1", "mozilla", 1),
+    ("epl-1.0", "made available under the terms of the eclipse public licen[cs]e (?:v ?)?1 0", "eclipse", 1),
+    ("epl-2.0", "made available under the terms of the eclipse public licen[cs]e (?:v ?)?2 0", "eclipse", 1),
+    ("cddl", "subject to the terms of the common development and distribution licen[cs]e", "development", 1),
+    ("boost", "distributed under the boost software licen[cs]e version 1 0", "boost", 1),
+    ("bsd", "governed by a bsd style licen[cs]e", "bsd", 1),
+    ("mit", "governed by an mit style licen[cs]e", "mit", 1),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", 1),
+    ("ofl", "this font software is licen[cs]ed under the sil open font licen[cs]e version 1 1", "font", 1),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee", "fee", 1),
+    ("zlib", "altered source versions must be plainly marked as such", "altered", 1),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "endorse", 1),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "advertising", 1),
+    ("artistic", "under the same terms as perl itself", "perl", 1),
+    ("cc0", "has waived all copyright and related or neighbou?ring rights", "waived", 1),
     ("copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", "copyright", 2),
 ]
 
 #: Two-letter and longer words, one of which every text with a detection contains: the first gate.
-GATE = ("licen", "copyright", "public  domain", "cc  by", "all  rights  reserved", "cc0", "creative  commons", "confidential", "unauthori", "may  not  be", "hereby  granted", "permission  to", "redistribution", "warranty", "later  version", "gpl")
+GATE = ("licen", "copyright", "public  domain", "cc  by", "all  rights  reserved", "cc0", "creative  commons", "confidential", "unauthori", "may  not  be", "hereby  granted", "permission  to", "redistribution", "warranty", "later  version", "gpl", "altered  source", "advertising  materials", "perl  itself")
 
 CONFIDENCE = (1.0, 0.9, 0.7)
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def rules() -> list[dict]:
-    """Every name in every use, then the rules that stand alone; about 300."""
+    """Every name in every use, the SPDX identifiers, then the rules that stand alone; about 425."""
     out = [{"label": label, "rx": f"{before}{name}{after}", "kw": kw, "prio": prio} for label, name, kw in NAMES for before, after, prio in USES]
+    for label, tag in SPDX:
+        words = re.sub("[^0-9a-z]+", " ", tag.lower())
+        suffix = "(?: only| or later)?" if re.match("a?gpl|lgpl|gfdl", words) else ""
+        out.append({"label": label, "rx": f"spdx license identifier {words}{suffix}", "kw": "spdx", "prio": 0})
     out += [{"label": label, "rx": rx, "kw": kw, "prio": prio} for label, rx, kw, prio in ALONE]
     for r in out:
         r["rx"] = "( " + r["rx"].replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?") + " )"
