@@ -511,3 +511,24 @@ def load(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[2:]))], schema=schema)
 
     return df.select("doc_id", "n_bytes", "media").mapInArrow(run, ddl)
+
+
+def tensors(df: DataFrame) -> DataFrame:
+    """doc_id, height, width, rgb: the media of `store` as full-resolution RGB tensors, row by row, 8 bits a channel."""
+    import pyarrow as pa
+
+    types = [pa.int32(), pa.int32(), pa.binary()]
+
+    def run(batches):
+        for b in batches:
+            begin, rows, size = 0, [], 0
+            for i, media in enumerate(b.column(1), 1):
+                rgb = to_rgb(read(media.as_py()))
+                rows.append((rgb.shape[0], rgb.shape[1], rgb.astype(np.uint8).tobytes()))
+                size += rgb.size
+                if size >= 1 << 23 or i == b.num_rows:  # a tensor is several times its media
+                    ids = b.column(0).slice(begin, len(rows))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=["doc_id", "height", "width", "rgb"])
+                    begin, rows, size = i, [], 0
+
+    return df.select("doc_id", "media").mapInArrow(run, "doc_id long, height int, width int, rgb binary")
