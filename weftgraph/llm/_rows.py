@@ -84,15 +84,23 @@ def filter_texts(df: DataFrame, text_col: str, decide: Callable, setup: Callable
 
 
 def bounded_batches(spark) -> None:
-    """Arrow batches of a thousand rows: a batch of the longest texts still fits a small worker."""
+    """Arrow batches of a thousand rows and some MB: a batch of the longest texts still fits a small worker.
+
+    The options hold when a plan is run, which may be after the caller's return; so they stay set.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def shared_dir(spark, name: str) -> str:
-    """A fresh folder under the cluster's shared `spark.checkpoint.dir`; in tests, where none is named, one under /tmp."""
+    """A fresh folder under the cluster's shared `spark.checkpoint.dir`; where none is named, one under /tmp in local mode, else an error."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/weftgraph-shared"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file:///tmp/weftgraph-shared"
     return f"{root.rstrip('/')}/weftgraph/{name}-{uuid.uuid4().hex}"
 
 

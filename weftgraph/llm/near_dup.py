@@ -7,20 +7,19 @@
 2. Each text gives bands * rows consistent samples (Ioffe's improved CWS): the share of equal samples
    of two texts is their weighted Jaccard similarity.  `rows` samples make a band key.
 3. Texts that are equal are one node.  In every bucket of a band the members are compared with its most
-   central member, in later rounds with further leaders if they are in other classes, and at last with
-   every member of another class that shares a shingle of both texts' prefixes.  So no link between
-   candidates is lost, and a large group of copies costs a few comparisons a member and not one a pair.
-   Pairs are verified by the exact weighted Jaccard similarity.
+   central member, by the exact weighted Jaccard similarity.  Two members that are not linked by this can
+   only be similar if their differences from that leader have enough in common (`_unlinked`); the pairs
+   of which this holds are verified too.  So every similar pair of a bucket is linked, and a large group
+   costs one comparison a member and not one a pair.
 4. Connected components of the verified pairs are the classes.
 
 Defined results: null and empty texts are equal to each other and to nothing else; repeated rows share
-a class; a class is named by its smallest doc_id (null only if all are null).  Other columns are ignored.
+a class; a class is named by its smallest doc_id (null only if all are null).  Other columns are ignored
+by `classes`; `keep` passes them on (a column named `_key` must not be among them).
 """
 
 from __future__ import annotations
 
-from itertools import groupby
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +29,8 @@ from weftgraph.llm._rows import bounded_batches, checkpointed, map_texts, slices
 from weftgraph.llm._words import Words, mix, run_starts, runs
 
 BUCKETS = 1 << 18
-#: Star rounds before the pairs that are left.
-ROUNDS = 2
+#: Members that are compared with one copy of their leader.
+SHARE = 500
 _T = 1 << 16
 
 
@@ -149,36 +148,65 @@ def signatures(df: DataFrame, idf, id_col: str, text_col: str, words: int, bands
     return map_texts(df, id_col, text_col, step, "doc_id long, node binary, total double, keys array<long>", setup)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, idf, words: int) -> DataFrame:
-    """a, b, similarity of each pair."""
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-
-    def run(batches):
-        def rows():
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns))
-
-        def weighed(t):
-            return _weights(_shingles([_lower(t)], words)[0], idf.value)
+def _differences(lead: tuple, other: tuple, idf: np.ndarray, similarity: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """cost, features and slack of a text against its leader; see `_unlinked`.
 
-        out = []
-        for _, group in groupby(rows(), key=lambda r: r[0]):
-            mine = None
-            for a, b, ta, tb in group:
-                mine = weighed(ta) if mine is None else mine
-                out.append((a, b, weighted_jaccard(mine, weighed(tb))))
-                if len(out) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.float64()))], ["a", "b", "similarity"])
-                    out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.float64()))], ["a", "b", "similarity"])
+    A feature is a shingle that weighs more than in the leader, or one that weighs less.  Features are in
+    one global order (added ones first, rare ones first); the slack of a feature is what it and the later
+    ones weigh, less the text's cost.  Features too late in the order for any partner are left out.
+    """
+    kinds = np.union1d(lead[0], other[0])
+    change = np.zeros(len(kinds))
+    change[np.searchsorted(kinds, other[0])] = other[1]
+    change[np.searchsorted(kinds, lead[0])] -= lead[1]
+    kinds, change = kinds[change != 0], change[change != 0]
+    c, whole = similarity / (1 + similarity), float(lead[1].sum(dtype=np.float64))
+    missing, added, radius = -change[change < 0].sum(), change[change > 0].sum(), (0.5 - c) * whole
+    cost = (1 - c) * missing + c * added - radius
+    order = np.lexsort((kinds, -idf[_bucket(kinds)], change < 0))
+    sizes = np.abs(change[order])
+    rest = sizes.sum() - np.cumsum(sizes) + sizes + 1e-6 * whole
+    least = (1 + similarity) * (cost - radius) if cost > radius else cost + radius
+    n = int(np.searchsorted(-rest, -least, "right"))
+    feature = (kinds[order[:n]] & ~np.uint64(1)) | (change[order[:n]] < 0).astype(np.uint64)
+    return float(cost), feature.view(np.int64), rest[:n] - cost
+
+
+def compare(pairs: DataFrame, texts: DataFrame, idf, words: int, similarity: float) -> DataFrame:
+    """pairs: lead, node, alone.  Result: lead, node, similarity, and cost, features, slack where not alone.
+
+    Each text comes once to each of its leaders.  A leader of many is salted: its text goes to every
+    share of its members, theirs to one share each, and a task holds one leader's weights at a time.
+    """
+    shares = checkpointed(pairs.groupBy("lead").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")), "shares")
+    leaders = shares.select("lead", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("lead").alias("node"), F.lit(True).alias("alone"), F.lit(True).alias("leads"))
+    members = pairs.join(shares, "lead").select("lead", F.pmod(F.xxhash64("node"), "shares").cast("int").alias("share"), "node", "alone", F.lit(False).alias("leads"))
+    rows = leaders.unionByName(members).join(texts, "node").select("lead", "share", "leads", "node", "alone", "text")
+    rows = rows.repartition("lead", "share").sortWithinPartitions("lead", "share", F.desc("leads"))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, similarity double")
+    def run(batches):
+        mine, table = None, idf.value
+        for batch in batches:
+            for part in slices(batch, 5):
+                lead, _, leads, node, alone, text = (c.to_pylist() for c in part.columns)
+                out = []
+                for i, s in enumerate(_shingles([_lower(t) for t in text], words)):
+                    weights = _weights(s, table)
+                    if leads[i]:
+                        mine = weights
+                        continue
+                    extra = (None, None, None) if alone[i] else _differences(mine, weights, table, similarity)
+                    out.append((lead[i], node[i], weighted_jaccard(mine, weights), *extra))
+                kinds = (pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, kinds)], ["lead", "node", "similarity", "cost", "features", "slack"])
+
+    return rows.mapInArrow(run, "lead binary, node binary, similarity double, cost double, features array<long>, slack array<double>")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of its component, by minima over neighbours and pointer jumping."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    edges = edges.toDF("a", "b")
+    both = checkpointed(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
         old, new = labels.select("node", F.col("label").alias("old")), labels
@@ -193,100 +221,69 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _close(similarity: float):
-    """Can the two reach the similarity?  Their minima sum to the smaller total at most."""
-    return F.least("total", "other") >= similarity * F.greatest("total", "other") - 1e-6
+def _unlinked(compared: DataFrame, labels: DataFrame) -> DataFrame:
+    """lead, node: the pairs of members of one leader that can be similar without being in one class yet.
 
-
-def _leaders(at: DataFrame, attempt: int) -> DataFrame:
-    """key, lead, other, lead_label: whom a bucket's members are compared with.
-
-    A text that shares buckets with many is near the middle of its group: copies that were edited apart
-    still are close to it.  So first the most central member leads; later the most central outside its
-    class, and two by chance.
-    """
-    who = F.struct(F.col("node").alias("lead"), F.col("total").alias("other"), F.col("label").alias("lead_label"))
-    best = lambda rank: F.max(F.struct(rank.alias("rank"), who.alias("w")))["w"]
-    if attempt == 0:
-        return at.groupBy("key").agg(best(F.col("c")).alias("w")).select("key", "w.*")
-    main = at.groupBy("key").agg(best(F.col("c")).alias("m"), *(best(F.xxhash64("node", F.lit(2 * attempt + i))).alias(f"r{i}") for i in range(2)))
-    second = at.join(main.select("key", F.col("m.lead_label").alias("main")), "key").where("label <> main").groupBy("key").agg(best(F.col("c")).alias("w"))
-    picked = main.select("key", F.explode(F.array("m", "r0", "r1")).alias("w")).unionByName(second)
-    return picked.select("key", "w.*").distinct()
-
-
-def _prefix(kinds: np.ndarray, weights: np.ndarray, idf: np.ndarray, similarity: float) -> np.ndarray:
-    """The rarest shingles of a text: what is left of it weighs less than `similarity` of the whole.
-
-    Two texts that reach the similarity share at least that weight of both, so the rarest shingle that
-    they share is in both prefixes.  Shingles are in one global order: by frequency bucket, then hash.
+    Against a leader L, a text x lacks weight M and adds weight E.  With c = s / (1 + s) for the similarity s,
+    let cost(x) = (1 - c) M + c E - (1/2 - c) |L|.  Two texts are similar if and only if what their
+    differences from L have in common weighs cost(x) + cost(y) at least.  Both similar to L: they are
+    linked already.  Otherwise cost(x) + cost(y) > 0, as no cost is below that of L itself, so they share a
+    feature, and at the first one they share both have slack for the other's cost.  A member is compared
+    with its leader only, and copies that were edited apart, each in its own way, meet nowhere.
     """
-    order = np.lexsort((kinds, -idf[_bucket(kinds)]))
-    rest = weights[order].sum(dtype=np.float64) - np.cumsum(weights[order], dtype=np.float64)
-    n = int(np.searchsorted(-rest, -similarity * weights.sum(dtype=np.float64) * (1 - 1e-6), "right")) + 1
-    return kinds[order[:n]]
-
-
-def _rest(at: DataFrame, texts: DataFrame, idf, words: int, similarity: float) -> DataFrame:
-    """Pairs of a bucket that are still in different classes and could be similar.
-
-    One side is outside the bucket's largest class.  Both share a shingle of their prefixes, which
-    copies that were edited apart too far do not; so a large group of those makes no pairs.
-    """
-    main = at.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", "n").alias("main"))
-    nodes = at.join(main, "key").groupBy("node").agg(F.first("label").alias("label"), F.first("total").alias("total"), F.collect_list("key").alias("keys"), F.max(F.col("label") != F.col("main")).alias("odd"))
-    nodes = checkpointed(nodes, "rest")
-
-    def prefixes(batches):
-        for b in batches:
-            found = [_prefix(*_weights(_shingles([_lower(t)], words)[0], idf.value), idf.value, similarity) for t in b.column(1).to_pylist()]
-            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            flat = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(flat)], ["node", "shingle"])
-
-    rare = texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(prefixes, "node binary, shingle long")
-    # a shingle in one text's prefix alone joins nothing
-    met = rare.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
-    rare = checkpointed(rare.join(met, "shingle").join(nodes, "node"), "prefixes")
-    odd = rare.where("odd").select("shingle", F.col("node").alias("lead"), F.col("total").alias("other"), F.col("label").alias("lead_label"), F.col("keys").alias("lead_keys"))
-    return rare.join(odd, "shingle").where((F.col("label") != F.col("lead_label")) & _close(similarity) & F.arrays_overlap("keys", "lead_keys"))
-
-
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
-    """doc_id, class_id and class_size of every row."""
+    found = compared.where("features is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = found.groupBy("lead").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("lead")
+    found = found.join(mixed, "lead", "left_semi")
+    rows = found.select("lead", "node", "label", "cost", F.explode(F.arrays_zip("features", "slack")).alias("f")).select("lead", "node", "label", "cost", F.col("f.features").alias("feature"), F.col("f.slack").alias("slack"))
+    for _ in range(2):
+        met = rows.groupBy("lead", "feature").agg(F.min("cost").alias("cheapest"), F.max("slack").alias("loosest"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        rows = checkpointed(rows.join(met, ["lead", "feature"]).where("slack >= cheapest and cost <= loosest").select("lead", "feature", "node", "label", "cost", "slack"), "features")
+    mine = [F.col(c).alias(f"{c}_a") for c in ("node", "label", "cost", "slack")]
+    both = rows.select("lead", "feature", *mine).join(rows, ["lead", "feature"])
+    both = both.where("node_a < node and label_a <> label and slack_a >= cost and slack >= cost_a")
+    return both.select(F.col("node_a").alias("lead"), "node", F.lit(True).alias("alone")).distinct()
+
+
+def _labelled(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, bands: int, rows: int) -> DataFrame:
+    """doc_id, node (digest of the text) and label (the same for the rows of a class) of every row."""
     spark = df.sparkSession
     bounded_batches(spark)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     idf = spark.sparkContext.broadcast(_document_frequencies(docs, "text", words))
     signed = checkpointed(signatures(docs, idf, "doc_id", "text", words, bands, rows), "signatures")
-    nodes = signed.groupBy("node").agg(F.first("total").alias("total"), F.first("keys").alias("keys"))
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", "total")
+    keyed = signed.groupBy("node").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "node")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = checkpointed(keyed.join(shared, "key"), "members")
+    # a text that shares buckets with many is near the middle of its group: copies edited apart still are close to it
     central = members.groupBy("node").agg(F.sum("n").alias("c"))
-    members = checkpointed(members.drop("n").join(central, "node"), "members")
     texts = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), "text").join(central.select("node"), "node", "left_semi")
     texts = checkpointed(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
-    tested = labels = None
-    for attempt in range(ROUNDS + 1):
-        at = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        split = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        at = at if labels is None else at.join(split, "key", "left_semi")
-        if attempt < ROUNDS:
-            chosen = at.join(_leaders(at, attempt), "key").where(_close(similarity) & (F.col("label") != F.col("lead_label")))
-        else:
-            chosen = _rest(at, texts, idf, words, similarity)
-        pairs = chosen.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs, "pairs")
-        if attempt and pairs.isEmpty():
-            continue
-        done = checkpointed(_verify(pairs, texts, idf, words), "verified")
-        tested = done if tested is None else tested.union(done)
-        labels = components(tested.where(F.col("similarity") >= similarity))
-    named = signed.select("doc_id", "node").join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
-    named = named.select("doc_id", F.col("node").alias("label"))
+    leaders = members.join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node")).getField("node").alias("lead"))
+    pairs = members.join(leaders, "key").where("node <> lead").groupBy("lead", "node").agg((F.max("n") <= 2).alias("alone"))
+    compared = checkpointed(compare(checkpointed(pairs, "pairs"), texts, idf, words, similarity), "compared")
+    links = compared.where(F.col("similarity") >= similarity).select("lead", "node")
+    further = checkpointed(_unlinked(compared, components(links)), "further")
+    verified = compare(further, texts, idf, words, similarity).where(F.col("similarity") >= similarity).select("lead", "node")
+    labels = components(links.union(checkpointed(verified, "verified")))
+    return checkpointed(signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label")), "labelled")
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
+    """doc_id, class_id and class_size of every row."""
+    named = _labelled(df, id_col, text_col, words, similarity, bands, rows)
     sizes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return named.join(sizes, "label").select("doc_id", "class_id", "class_size")
+
+
+def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
+    """One row of each class, with all columns of df: the smallest doc_id (null last), then the smallest digest of the text."""
+    named = _labelled(df, id_col, text_col, words, similarity, bands, rows)
+    each = named.groupBy("label", "doc_id", "node").agg(F.count("*").alias("n"))
+    best = each.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node", "n")).alias("best")).select("best.*")
+    key = lambda i, node: F.unhex(F.md5(F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("")), F.hex(node))))
+    best = checkpointed(best.select(key(F.col("doc_id"), F.col("node")).alias("_key"), "n"), "best")
+    rows_of = df.withColumn("_key", key(F.col(f"`{id_col}`").cast("long"), F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))))
+    single = rows_of.join(best.where("n = 1"), "_key", "left_semi")
+    repeated = rows_of.join(best.where("n > 1"), "_key", "left_semi").dropDuplicates(["_key"])
+    return single.unionByName(repeated).drop("_key")
