@@ -6,16 +6,17 @@ word sequence that also starts earlier: in a smaller doc_id, or earlier in the s
 1. Anchors.  Of the `phrase`-word runs in a window, the one with the smallest hash anchors it.  Equal
    windows have equal anchors, and neighbouring windows mostly share one, so an anchor stands for a
    segment: the words of the consecutive windows it governs.  About a ninth as many anchors as words
-   leave the scan; those that occur twice are kept (a count with map-side combine, then a semi-join
-   that adaptive execution can split).
-2. Recurring passages.  Segments of recurring anchors are merged (a combiner in the task, then a
-   shuffle by anchor).  An anchor with more than `common` occurrences is dealt by single windows
-   instead, so that no anchor's segments meet in one task.
-3. Automata.  Each shard confirms the word sequences that recur, compiles them with pyahocorasick into
-   automata of bounded size, and streams the shard's segments through them to locate every occurrence.
-   All windows that can match a passage carry its anchor, so each shard needs to see its own segments
-   only, and the work stays in proportion to the corpus instead of documents times shards.
-4. The earliest place of each passage goes back to all places; per document the covered words go.
+   leave the scan; those that occur twice are kept (a count with map-side combine, then a join that
+   adaptive execution can split).
+2. Confirmed passages.  Segments of recurring anchors (combined in each document shard) meet by anchor,
+   or, where an anchor has more than `common` occurrences, window by window.  Runs of windows whose words
+   occur twice are passages, each with its earliest place; a passage goes to the document shards that
+   hold its segment.
+3. Automata.  A document shard holds about `shard_bytes` of text.  It compiles the phrases of its
+   passages with pyahocorasick into automata of bounded size and streams all its documents, whole,
+   through them; wherever a phrase is found, the passage is followed to both sides as far as the words
+   agree.  So every document is streamed once, and a shard's automata are bounded by its own text.
+4. The words of located windows go, except at a passage's earliest place.
 
 Defined results: a null text has no words; a null doc_id is the smallest; rows that repeat a doc_id
 and its text are one document (all of them get its result), and different texts under one doc_id are
@@ -25,28 +26,31 @@ different documents, ordered by a hash of the text.  Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
+from array import array
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._rows import bounded_batches, checkpointed, slices
-from weftgraph.llm._words import Words, mix, run_starts, runs
+from weftgraph.llm._rows import STEP_BYTES, bounded_batches, checkpointed, slices
+from weftgraph.llm._words import Words, run_starts, runs
 
-#: Segments that a combiner or an automaton holds at most (a single anchor may have up to `common`).
-CHUNK = 4000
+#: Phrases that an automaton holds at most.
+PHRASES = 20_000
+#: Rows that a batch of results holds at most.
+ROWS = 2000
 NO_ID = -(1 << 63)
 
 
 def _anchors(words: Words, window: int, phrase: int):
-    """Per governed run of windows: document, anchor hash (48 bits; a chance match only adds a candidate), first window (word index), number of windows, hash of the windows."""
+    """Per governed run of windows: document, anchor hash (48 bits; a chance match only adds a candidate), first window (word index), number of windows, anchor (word index)."""
     hashes = words.hashes()
     if len(hashes) < window:
         none = np.empty(0, np.int64)
-        return none, none.astype(np.uint64), none, none, np.empty(0, np.uint64)
+        return none, none.astype(np.uint64), none, none, none
     grams = runs(hashes, phrase)
     span = window - phrase + 1
     at = np.arange(len(hashes) - window + 1)
@@ -57,204 +61,221 @@ def _anchors(words: Words, window: int, phrase: int):
     new[1:] = (where[1:] != where[:-1]) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(new)
     n = np.diff(np.append(begin, len(at)))
-    return doc[begin], grams[where[begin]] >> np.uint64(16), at[begin], n, runs(hashes, window)
+    return doc[begin], grams[where[begin]] >> np.uint64(16), at[begin], n, where[begin]
 
 
 def _signed(h) -> np.ndarray:
     return np.asarray(h, dtype=np.uint64).view(np.int64)
 
 
-def _settle(rows: list[tuple], window: int) -> list[tuple]:
-    """rows: merged (shard key, key, segment, place, count).  Result: (shard key, key, recurring, own, place) of segments with recurring windows.
+def _batch(rows: list[tuple], fields: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(fields), fields.values())], list(fields))
 
-    `recurring` has a bit for each window that occurs twice or more, `own` for those whose earliest
-    place is this segment's earliest place.
+
+SEGMENT = {"s": pa.int64(), "p": pa.int32(), "seg": pa.binary(), "off": pa.int32(), "d": pa.int64(), "h": pa.int64(), "at": pa.int32(), "n": pa.int64()}
+PASSAGE = {"p": pa.int32(), "words": pa.binary(), "off": pa.int32(), "fd": pa.int64(), "fh": pa.int64(), "fat": pa.int32()}
+
+
+def _confirmed(found: dict, window: int):
+    """found: (segment, offset of the phrase, -1 for a single window) -> [earliest place, count, shards].
+
+    Yields (shard, words, offset, place) of the runs of windows that occur twice, with one earliest place.
     """
-    import ahocorasick
-
-    number: dict[bytes, int] = {}
-    seqs = [tuple(number.setdefault(w, len(number) + 1) for w in seg.split(b" ")) for _, _, seg, _, _ in rows]
-    alone, count = set(), {}
-    for i, r in enumerate(rows):
-        if not ((i and rows[i - 1][0] == r[0]) or (i + 1 < len(rows) and rows[i + 1][0] == r[0])):
-            alone.add(i)
-            continue
-        for j in range(len(seqs[i]) - window + 1):
-            w = seqs[i][j : j + window]
-            count[w] = count.get(w, 0) + r[4]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    passages = [w for w, n in count.items() if n > 1]
-    passages += [seqs[i] for i in alone if rows[i][4] > 1]
-    if not passages:
-        return []
-    for p in dict.fromkeys(passages):
-        automaton.add_word(p, p)
-    automaton.make_automaton()
-    found: list[list[tuple[int, tuple]]] = []
+    if len(found) == 1:
+        (seg, off), (place, n, shards) = next(iter(found.items()))
+        if n > 1:
+            yield from ((p, seg, off, *place) for p in dict.fromkeys(shards))
+        return
+    split = {key: key[0].split(b" ") for key in found}
+    count: dict[tuple, int] = {}
     earliest: dict[tuple, tuple] = {}
-    for i, seq in enumerate(seqs):
-        here = []
-        if i not in alone or rows[i][4] > 1:
-            for end, p in automaton.iter(seq):
-                if i in alone and len(p) != len(seq):
-                    continue
-                j = end - len(p) + 1
-                here.append((j, p))
-                place = (*rows[i][3][:-1], rows[i][3][-1] + j)
-                if p not in earliest or place < earliest[p]:
-                    earliest[p] = place
-        found.append(here)
-    out = []
-    for i, (shard, key, _, place, _) in enumerate(rows):
-        recurring = own = 0
-        for j, p in found[i]:
-            bits = (1 << (len(p) - window + 1)) - 1
-            if i not in alone and len(p) != window:
-                continue
-            recurring |= bits << j
-            if earliest[p] == (*place[:-1], place[-1] + j):
-                own |= bits << j
-        if recurring:
-            out.append((shard, key, recurring, own, *place))
-    return out
-
-
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, phrase: int = 4, common: int = 2000) -> DataFrame:
+    for key, (place, n, _) in found.items():
+        words = split[key]
+        for j in range(len(words) - window + 1):
+            w = tuple(words[j : j + window])
+            count[w] = count.get(w, 0) + n
+            here = (place[0], place[1], place[2] + j)
+            if w not in earliest or here < earliest[w]:
+                earliest[w] = here
+    sent = set()
+    for (seg, off), (_, _, shards) in found.items():
+        words = split[seg, off]
+        run = None
+        for j in range(len(words) - window + 2):
+            w = tuple(words[j : j + window])
+            place = earliest[w] if len(w) == window and count[w] > 1 else None
+            if run is not None and place != (run[1][0], run[1][1], run[1][2] + j - run[0]):
+                passage = (b" ".join(words[run[0] : j - 1 + window]), off - run[0] if off >= 0 else -1, *run[1])
+                for p in dict.fromkeys(shards):
+                    if (p, passage) not in sent:
+                        sent.add((p, passage))
+                        yield (p, *passage)
+                run = None
+            if run is None and place is not None:
+                run = (j, place)
+
+
+class Located:
+    """The automata of one shard's passages."""
+
+    def __init__(self, passages, window: int, phrase: int):
+        import ahocorasick
+
+        self.window, self.number = window, {}
+        by_phrase: dict[tuple, list] = {}
+        for words, off, fd, fh, fat in passages:
+            ids = tuple([self.number.setdefault(w, len(self.number) + 1) for w in words.split(b" ")])
+            by_phrase.setdefault(ids[off : off + phrase] if off >= 0 else ids, []).append((ids, max(off, 0), fd, fh, fat))
+        self.automata = []
+        phrases = list(by_phrase.items())
+        for at in range(0, len(phrases), PHRASES):
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for key, entries in phrases[at : at + PHRASES]:
+                automaton.add_word(key, (len(key), entries))
+            automaton.make_automaton()
+            self.automata.append(automaton)
+
+    def gone(self, words: list[bytes], d: int, h: int) -> np.ndarray | None:
+        """Which words of a document go; None if none does."""
+        seq = tuple([self.number.get(w, 0) for w in words])
+        edges: list[tuple[int, int]] = []
+        for automaton in self.automata:
+            for end, (size, entries) in automaton.iter(seq):
+                for ids, off, fd, fh, fat in entries:
+                    start = end - size + 1 - off
+                    if fat == start and fd == d and fh == h:
+                        continue
+                    lo, hi = 0, len(ids)
+                    if start < 0 or seq[start : start + hi] != ids:
+                        lo = off
+                        while lo > 0 and start + lo > 0 and seq[start + lo - 1] == ids[lo - 1]:
+                            lo -= 1
+                        hi, most = off + size, min(hi, len(seq) - start)
+                        while hi < most and seq[start + hi] == ids[hi]:
+                            hi += 1
+                        if hi - lo < self.window:
+                            continue
+                    edges.append((start + lo, start + hi))
+        if not edges:
+            return None
+        edge = np.zeros(len(words) + 1, dtype=np.int64)
+        begin, end = np.array(edges).T
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, end, -1)
+        return np.cumsum(edge)[:-1] > 0
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, phrase: int = 4, common: int = 2000, shard_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by a space) and kept_sha256 of every row."""
-    bounded_batches(df.sparkSession)
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
-    docs = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("d"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("h"), text.alias("t"))
+    spark = df.sparkSession
+    bounded_batches(spark)
+    text, d = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), F.col(f"`{id_col}`").cast("long")
+    # 32 bits tell the texts of one doc_id apart; rows without one need all 64
+    rows = df.select(F.coalesce(d, F.lit(NO_ID)).alias("d"), F.when(d.isNull(), F.xxhash64(text)).otherwise(F.shiftright(F.xxhash64(text), 32)).alias("h"), text.alias("t"))
+    repeated = checkpointed(rows.groupBy("d", "h").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    again = not repeated.isEmpty()
+    if again:
+        rows = rows.join(repeated, ["d", "h"], "left_anti").unionByName(rows.join(repeated, ["d", "h"], "left_semi").dropDuplicates(["d", "h"]))
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    shards = max(math.ceil(size / shard_bytes), 4 * spark.sparkContext.defaultParallelism)
+    shard = F.pmod(F.hash("d", "h"), F.lit(shards)).alias("p")
+    docs = rows.select(shard, "d", "h", "t")
 
     def anchors(batches):
         for batch in batches:
-            for part in slices(batch, 2):
-                words = Words(part.column(2).to_pylist())
+            for part in slices(batch, 3):
+                words = Words(part.column(3).to_pylist())
                 doc, a, at, _, _ = _anchors(words, window, phrase)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(a)), part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array((at - words.first[doc]).astype(np.int32))], ["a", "d", "h", "at"])
+                of = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), part.column(1).take(of), part.column(2).take(of), pa.array((at - words.first[doc]).astype(np.int32))], ["a", "d", "h", "at"])
 
-    places = docs.mapInArrow(anchors, "a long, d long, h int, at int")
+    places = docs.mapInArrow(anchors, "a long, d long, h long, at int")
     # a table of its own, so that both sides of the join are plain exchanges, which AQE can split where an anchor is hot
     often = checkpointed(places.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a", (F.col("n") > common).alias("big")), "anchors")
-    chosen = places.join(often, "a").groupBy("d", "h").agg(F.collect_set(F.when(~F.col("big"), F.col("at"))).alias("few"), F.collect_set(F.when(F.col("big"), F.col("at"))).alias("many"))
-    segments_in = docs.join(chosen, ["d", "h"]).select("d", "h", "t", "few", "many")
-
-    def segments_of(part):
-        """The words of a step, and of each chosen segment: shard key, key, first word, number of windows, document."""
-        words = Words(part.column(2).to_pylist())
-        doc, a, at, n, whole = _anchors(words, window, phrase)
-        # a segment is known by the hashes of its first and last window; its words are compared in the shard
-        keys = lambda lo, size: _signed(mix(whole[lo] + size.astype(np.uint64) * mix(whole[lo + size - 1] + np.uint64(1))))
-
-        def picked(column):
-            mask = np.zeros(len(words.starts) + 1, dtype=bool)
-            mask[words.first[pc.list_parent_indices(column).to_numpy()] + pc.list_flatten(column).to_numpy()] = True
-            return np.flatnonzero(mask[at])
-
-        few, many = picked(part.column(3)), picked(part.column(4))
-        singles = np.repeat(at[many] - np.cumsum(n[many]) + n[many], n[many]) + np.arange(int(n[many].sum()))
-        ones = np.ones(len(singles), np.int64)
-        single_keys = keys(singles, ones)
-        return (
-            words,
-            np.concatenate([_signed(a[few]), single_keys]),
-            np.concatenate([keys(at[few], n[few]), single_keys]),
-            np.concatenate([at[few], singles]),
-            np.concatenate([n[few], ones]),
-            np.concatenate([doc[few], np.repeat(doc[many], n[many])]),
-        )
-
-    def segments(batches):
-        """Combined in the task: one row for each segment with its earliest place and its count."""
-        held: dict = {}
+    chosen = places.join(often, "a").select(shard, "d", "h", "at", "big")
 
-        def flush():
-            rows = [(s, k, seg, *place, n) for (s, k, seg), (place, n) in held.items()]
-            held.clear()
-            cols = list(zip(*rows))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["s", "k", "seg", "d", "h", "at", "n"])
-
-        for batch in batches:
-            for part in slices(batch, 2):
-                d, h = part.column(0).to_pylist(), part.column(1).to_pylist()
-                words, *found = segments_of(part)
-                for s, k, first, length, i in zip(*(x.tolist() for x in found)):
-                    place = (d[i], h[i], first - int(words.first[i]))
-                    key = (s, k, words.joined(first, first + length + window - 1))
-                    old = held.get(key)
-                    held[key] = (place, 1) if old is None else (min(old[0], place), old[1] + 1)
-                if len(held) >= 5 * CHUNK:
-                    yield flush()
-        if held:
-            yield flush()
-
-    def shards(batches):
-        """Rows come sorted by shard key and segment; whole shard keys are settled together."""
-
-        def rows():
+    def segments(mine: pa.Table, picked: pa.Table) -> pa.Table:
+        """The segments of a document shard that a recurring anchor governs: each with its earliest place and its count."""
+        held: dict = {}
+        if picked.num_rows:
+            ds, hs, texts = (mine.column(c).to_pylist() for c in ("d", "h", "t"))
+            p = mine.column("p")[0].as_py()
+            index = {key: i for i, key in enumerate(zip(ds, hs))}
+            marks: dict[int, list] = {}
+            for key, at, big in zip(zip(picked.column("d").to_pylist(), picked.column("h").to_pylist()), picked.column("at").to_pylist(), picked.column("big").to_pylist()):
+                marks.setdefault(index[key], []).append((at, big))
+            todo, step, size = sorted(marks), [], 0
+            for i in [*todo, None]:
+                if i is None or size >= STEP_BYTES:
+                    add_segments(held, p, [texts[j] for j in step], [marks[j] for j in step], [(ds[j], hs[j]) for j in step])
+                    step, size = [], 0
+                if i is not None:
+                    step.append(i)
+                    size += len(texts[i])
+        return pa.Table.from_batches([_batch([(s, p, seg, off, *place, n) for (s, seg, off), (p, place, n) in held.items()], SEGMENT)])
+
+    def add_segments(held, p, texts, marks, ids):
+        words = Words(texts)
+        doc, a, at, n, where = _anchors(words, window, phrase)
+        state = np.zeros(len(words.starts) + 1, dtype=np.int8)
+        for i, of in enumerate(marks):
+            first = int(words.first[i])
+            for x, big in of:
+                state[first + x] = 2 if big else 1
+        chosen_as = state[at]
+        whole = runs(words.hashes(), window).view(np.int64)
+        few, many = np.flatnonzero(chosen_as == 1), np.flatnonzero(chosen_as == 2)
+        some = zip(doc[few].tolist(), a[few].view(np.int64).tolist(), at[few].tolist(), n[few].tolist(), (where[few] - at[few]).tolist())
+        singles = np.repeat(at[many] - np.cumsum(n[many]) + n[many], n[many]) + np.arange(int(n[many].sum()))
+        more = ((i, s, lo, 1, -1) for i, s, lo in zip(np.repeat(doc[many], n[many]).tolist(), whole[singles].tolist(), singles.tolist()))
+        for found in (some, more):
+            for i, s, lo, length, off in found:
+                place = (*ids[i], lo - int(words.first[i]))
+                key = (s, words.joined(lo, lo + length + window - 1), off)
+                old = held.get(key)
+                held[key] = (p, place, 1) if old is None else (p, min(old[1], place), old[2] + 1)
+
+    def confirm(batches):
+        """Rows come sorted by anchor (or window) hash and segment; whole anchors are settled together."""
+
+        def sorted_rows():
             for b in batches:
                 yield from zip(*(c.to_pylist() for c in b.columns))
 
-        def out(done):
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*done)) or [()] * 7, kinds)], ["s", "k", "recurring", "own", "fd", "fh", "fat"])
-
-        chunk: list[tuple] = []
-        for _, group in groupby(rows(), key=lambda r: r[0]):
-            merged: dict = {}
-            for s, k, seg, d, h, at, n in group:
-                old = merged.get((s, k, seg))
-                merged[s, k, seg] = ((d, h, at), n) if old is None else (min(old[0], (d, h, at)), old[1] + n)
-            if len(merged) > 1 or next(iter(merged.values()))[1] > 1:
-                chunk += [(*key, place, n) for key, (place, n) in merged.items()]
-            if len(chunk) >= CHUNK:
-                yield out(_settle(chunk, window))
-                chunk = []
-        yield out(_settle(chunk, window))
-
-    settled = (
-        segments_in.mapInArrow(segments, "s long, k long, seg binary, d long, h int, at int, n long")
-        .repartition("s")
-        .sortWithinPartitions("s", "k")
-        .mapInArrow(shards, "s long, k long, recurring int, own int, fd long, fh int, fat int")
-    )
-
-    def occurrences(batches):
-        for batch in batches:
-            for part in slices(batch, 2):
-                words, s, k, first, _, doc = segments_of(part)
-                doc = pa.array(doc)
-                at = (first - words.first[doc.to_numpy()]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(k), part.column(0).take(doc), part.column(1).take(doc), pa.array(at)], ["s", "k", "d", "h", "at"])
-
-    first = (F.col("fd") == F.col("d")) & (F.col("fh") == F.col("h")) & (F.col("fat") == F.col("at"))
-    gone = F.when(first, F.col("recurring").bitwiseAND(F.bitwise_not("own"))).otherwise(F.col("recurring"))
-    marks = (
-        segments_in.mapInArrow(occurrences, "s long, k long, d long, h int, at int")
-        .join(settled, ["s", "k"])
-        .select("d", "h", "at", gone.alias("gone"))
-        .where("gone != 0")
-        .groupBy("d", "h")
-        .agg(F.collect_list(F.struct("at", "gone")).alias("gone"))
-    )
-    joined = docs.join(marks, ["d", "h"], "left").select("d", "t", F.col("gone.at").alias("at"), F.col("gone.gone").alias("gone"))
-
-    def remove(batches):
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            rows = []
-            for t, at, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                words = t.split()
-                keep = np.ones(len(words), dtype=bool)
-                if at:
-                    edge = np.zeros(len(words) + 1, dtype=np.int32)
-                    starts = np.array([a + j for a, g in zip(at, gone) for j in range(g.bit_length()) if g >> j & 1])
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + window, -1)
-                    keep = np.cumsum(edge)[:-1] == 0
-                kept = b" ".join([w for w, k in zip(words, keep) if k]) if at else b" ".join(words)
-                rows.append((len(words), int((~keep).sum()), kept.decode(), hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array([None if i == NO_ID else i for i in ids], pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
-
-    return joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+        out: list[tuple] = []
+        for _, group in groupby(sorted_rows(), key=lambda r: r[0]):
+            found: dict = {}
+            for _, p, seg, off, d, h, at, n in group:
+                old = found.get((seg, off))
+                if old is None:
+                    found[seg, off] = [(d, h, at), n, array("q", [p])]
+                else:
+                    old[0], old[1] = min(old[0], (d, h, at)), old[1] + n
+                    old[2].append(p)
+            for row in _confirmed(found, window):
+                out.append(row)
+                if len(out) >= ROWS:
+                    yield _batch(out, PASSAGE)
+                    out = []
+        yield _batch(out, PASSAGE)
+
+    ddl = lambda fields: ", ".join(f"{n} { {pa.int64(): 'long', pa.int32(): 'int', pa.binary(): 'binary'}[t]}" for n, t in fields.items())
+    by_shard = docs.groupBy("p")  # both uses read the same exchange of the texts
+    found = by_shard.cogroup(chosen.groupBy("p")).applyInArrow(segments, ddl(SEGMENT))
+    passages = found.repartition("s").sortWithinPartitions("s", "seg").mapInArrow(confirm, ddl(PASSAGE))
+
+    def remove(mine: pa.Table, known: pa.Table) -> pa.Table:
+        located = Located(zip(*(known.column(c).to_pylist() for c in ("words", "off", "fd", "fh", "fat"))), window, phrase)
+        out = []
+        for d, h, t in zip(*(mine.column(c).to_pylist() for c in ("d", "h", "t"))):
+            words = t.split()
+            gone = located.gone(words, d, h) if located.automata and len(words) >= window else None
+            kept = b" ".join(words if gone is None else [w for w, g in zip(words, gone) if not g])
+            out.append((d, h, len(words), 0 if gone is None else int(gone.sum()), kept.decode(), hashlib.sha256(kept).hexdigest()))
+        kinds = {"d": pa.int64(), "h": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "kept_sha256": pa.string()}
+        return pa.Table.from_batches([_batch(out, kinds)])
+
+    done = by_shard.cogroup(passages.groupBy("p")).applyInArrow(remove, "d long, h long, n_words long, n_removed long, kept string, kept_sha256 string")
+    if again:
+        done = done.join(repeated, ["d", "h"], "left").withColumn("_", F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(1)).cast("int"))))
+    return done.select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "n_words", "n_removed", "kept", "kept_sha256")
