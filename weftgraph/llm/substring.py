@@ -43,6 +43,8 @@ PHRASES = 20_000
 #: Rows that a batch of results holds at most.
 ROWS = 2000
 NO_ID = -(1 << 63)
+#: Bits of a word's number that a character spells.
+_BITS = 5
 
 
 def _anchors(words: Words, window: int, phrase: int):
@@ -87,71 +89,95 @@ def _confirmed(found: dict, window: int):
             yield from ((p, seg, off, *place) for p in dict.fromkeys(shards))
         return
     split = {key: key[0].split(b" ") for key in found}
-    count: dict[tuple, int] = {}
-    earliest: dict[tuple, tuple] = {}
+    #: Of each window its number, how often it occurs and its earliest place.
+    known: dict[tuple, list] = {}
+    of: dict[tuple, list] = {}
     for key, (place, n, _) in found.items():
-        words = split[key]
+        words, mine = split[key], []
         for j in range(len(words) - window + 1):
-            w = tuple(words[j : j + window])
-            count[w] = count.get(w, 0) + n
             here = (place[0], place[1], place[2] + j)
-            if w not in earliest or here < earliest[w]:
-                earliest[w] = here
-    sent = set()
-    for (seg, off), (_, _, shards) in found.items():
-        words = split[seg, off]
-        run = None
-        for j in range(len(words) - window + 2):
-            w = tuple(words[j : j + window])
-            place = earliest[w] if len(w) == window and count[w] > 1 else None
-            if run is not None and place != (run[1][0], run[1][1], run[1][2] + j - run[0]):
-                passage = (b" ".join(words[run[0] : j - 1 + window]), off - run[0] if off >= 0 else -1, *run[1])
-                for p in dict.fromkeys(shards):
-                    if (p, passage) not in sent:
-                        sent.add((p, passage))
-                        yield (p, *passage)
-                run = None
-            if run is None and place is not None:
-                run = (j, place)
+            w = known.setdefault(tuple(words[j : j + window]), [len(known), 0, here])
+            w[1] += n
+            if here < w[2]:
+                w[2] = here
+            mine.append(w)
+        of[key] = mine
+    # a shard gets each window once, whichever of its segments holds it
+    sent: dict[int, set] = {}
+    for key, (_, _, shards) in found.items():
+        words, off, mine = split[key], key[1], of[key]
+        if all(w[1] < 2 for w in mine):
+            continue
+        for p in dict.fromkeys(shards):
+            done = sent.setdefault(p, set())
+            run = None
+            for j in range(len(mine) + 1):
+                w = mine[j] if j < len(mine) else None
+                fresh = w is not None and w[1] > 1 and w[0] not in done
+                if run is not None and not (fresh and w[2] == (run[1][0], run[1][1], run[1][2] + j - run[0])):
+                    yield (p, b" ".join(words[run[0] : j - 1 + window]), off - run[0] if off >= 0 else -1, *run[1])
+                    run = None
+                if fresh:
+                    done.add(w[0])
+                    if run is None:
+                        run = (j, w[2])
 
 
 class Located:
-    """The automata of one shard's passages."""
+    """The automata of one shard's passages.
+
+    A word is a few characters: the digits of its number, each place with an alphabet of its own.  So a
+    node of an automaton has few children, which are searched one by one, and no match starts inside a word.
+    """
 
     def __init__(self, passages, window: int, phrase: int):
         import ahocorasick
 
-        self.window, self.number = window, {}
-        by_phrase: dict[tuple, list] = {}
-        for words, off, fd, fh, fat in passages:
-            ids = tuple([self.number.setdefault(w, len(self.number) + 1) for w in words.split(b" ")])
-            by_phrase.setdefault(ids[off : off + phrase] if off >= 0 else ids, []).append((ids, max(off, 0), fd, fh, fat))
+        self.window = window
+        split = [(words.split(b" "), *place) for words, *place in passages]
+        self.spelled = dict.fromkeys(w for words, *_ in split for w in words)
+        self.width = 1
+        while 1 << _BITS * self.width <= len(self.spelled):
+            self.width += 1
+        self.unknown = self.spell(0)
+        for i, w in enumerate(self.spelled, 1):
+            self.spelled[w] = self.spell(i)
+        d, by_phrase = self.width, {}
+        for words, off, fd, fh, fat in split:
+            text = "".join(map(self.spelled.__getitem__, words))
+            by_phrase.setdefault(text[off * d : (off + phrase) * d] if off >= 0 else text, []).append((text, max(off, 0), fd, fh, fat))
         self.automata = []
         phrases = list(by_phrase.items())
         for at in range(0, len(phrases), PHRASES):
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            automaton = ahocorasick.Automaton()
             for key, entries in phrases[at : at + PHRASES]:
-                automaton.add_word(key, (len(key), entries))
+                automaton.add_word(key, (len(key) // d, entries))
             automaton.make_automaton()
             self.automata.append(automaton)
 
+    def spell(self, number: int) -> str:
+        return "".join([chr(0x100 + (k << _BITS) + (number >> _BITS * k & (1 << _BITS) - 1)) for k in range(self.width)])
+
     def gone(self, words: list[bytes], d: int, h: int) -> np.ndarray | None:
         """Which words of a document go; None if none does."""
-        seq = tuple([self.number.get(w, 0) for w in words])
+        get, unknown, size = self.spelled.get, self.unknown, self.width
+        text = "".join([get(w, unknown) for w in words])
         edges: list[tuple[int, int]] = []
         for automaton in self.automata:
-            for end, (size, entries) in automaton.iter(seq):
-                for ids, off, fd, fh, fat in entries:
-                    start = end - size + 1 - off
+            for end, (n, entries) in automaton.iter(text):
+                first = (end + 1) // size - n
+                for passage, off, fd, fh, fat in entries:
+                    start = first - off
                     if fat == start and fd == d and fh == h:
                         continue
-                    lo, hi = 0, len(ids)
-                    if start < 0 or seq[start : start + hi] != ids:
-                        lo = off
-                        while lo > 0 and start + lo > 0 and seq[start + lo - 1] == ids[lo - 1]:
+                    lo, hi = 0, len(passage) // size
+                    if start < 0 or not text.startswith(passage, start * size):
+                        same = lambda i: text[(start + i) * size : (start + i + 1) * size] == passage[i * size : (i + 1) * size]
+                        lo, most = off, min(hi, len(words) - start)
+                        while lo > 0 and start + lo > 0 and same(lo - 1):
                             lo -= 1
-                        hi, most = off + size, min(hi, len(seq) - start)
-                        while hi < most and seq[start + hi] == ids[hi]:
+                        hi = off + n
+                        while hi < most and same(hi):
                             hi += 1
                         if hi - lo < self.window:
                             continue
