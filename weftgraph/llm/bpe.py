@@ -67,6 +67,7 @@ class Codec:
 
         letters = byte_alphabet()
         self.to_letters = dict(enumerate(letters))
+        self.to_byte = {letter: b for b, letter in enumerate(letters)}
         spell = lambda token: "".join(map(letters.__getitem__, token))
         by_rank = sorted(ranks.items(), key=lambda kv: kv[1])
         merges = [(spell(t[:i]), spell(t[i:])) for t, _ in by_rank for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -77,9 +78,10 @@ class Codec:
         self.table: dict[str, bytes] = {}
         top = by_rank[-1][1] + 1
         self.unit = np.uint16 if top <= 1 << 16 else np.uint32
+        # a token is decoded from its letters, by the byte table in reverse
         tokens = [b""] * top
         for t, r in by_rank:
-            tokens[r] = t
+            tokens[r] = bytes(map(self.to_byte.__getitem__, spell(t)))
         self.bytes_of = _Ragged(tokens)
         self.decimal_of = _Ragged([b",%d" % r for r in range(top)])
 
@@ -114,11 +116,11 @@ class Codec:
     def decimals(self, ids) -> bytes:
         return self.decimal_of.join(np.asarray(ids, dtype=np.int64))[1:]
 
-    def offsets(self, ids) -> tuple[np.ndarray, np.ndarray]:
+    def offsets(self, ids, raw: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Start of each token in bytes, and the character that holds that byte."""
         lengths = self.bytes_of.lengths[np.asarray(ids, dtype=np.int64)]
         starts = np.cumsum(lengths) - lengths
-        raw = np.frombuffer(self.decode(ids), dtype=np.uint8)
+        raw = np.frombuffer(self.decode(ids) if raw is None else raw, dtype=np.uint8)
         chars = np.cumsum((raw & 0xC0) != 0x80) - 1
         return starts, chars[starts] if len(starts) else starts
 
@@ -189,11 +191,18 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode each text, decode its ids, and digest both."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256: encode each text, decode its ids to text, and digest both.
+
+    The offsets are the characters that the tokens start in, as decimals joined by commas.
+    """
 
     def step(ids, texts, codec):
-        rows = codec.encode([t or "" for t in texts.to_pylist()])
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
-        return [ids, [len(r) for r in rows], [sha(codec.decimals(r)) for r in rows], [sha(codec.decode(r)) for r in rows]]
-
-    return map_texts(df, id_col, text_col, step, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", _setup(df, ranks_path, pattern))
+        out = []
+        for r in codec.encode([t or "" for t in texts.to_pylist()]):
+            raw = codec.decode(r)
+            starts = codec.offsets(r, raw)[1]
+            out.append((len(r), sha(codec.decimals(r)), sha(text_of(raw).encode()), sha(",".join(map(str, starts.tolist())).encode())))
+        return [ids, *(list(c) for c in zip(*out))]
+
+    return map_texts(df, id_col, text_col, step, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string", _setup(df, ranks_path, pattern))

@@ -80,6 +80,15 @@ class Characters:
         self.offsets = offsets
         self.counts = np.diff(self.first)
         self.codes, self.alpha = codes, alpha
+        # where lower-casing made a text longer: place of each character of the original in the lower-cased text
+        self.moved = {i: np.cumsum([0, *(len(c.lower()) for c in t)]) for i, (t, low) in enumerate(zip(texts, lowered)) if t and len(t) != len(low)}
+
+    def place(self, text: int, at: int, end: bool = False) -> int:
+        """Character of the original text that a place in all texts falls on, or the one after it."""
+        at = int(at - self.offsets[text])
+        if text not in self.moved:
+            return at
+        return int(np.searchsorted(self.moved[text], at, "left" if end else "right")) - (0 if end else 1)
 
     def scripts(self) -> np.ndarray:
         """Script of each word, by its first letter."""
@@ -191,7 +200,7 @@ def identify(texts: list[str], model: Model, penalty: float) -> list[tuple[str,
             out.append(("und", 0.0, []))
             continue
         top = int(mass[d].argmax())
-        spans = [{"start": int(chars.starts[begin[s]] - chars.offsets[d]), "end": int(chars.ends[end[s]] - chars.offsets[d]), "lang": model.languages[best[begin[s]]]} for s in range(of[d], of[d + 1])]
+        spans = [{"start": chars.place(d, chars.starts[begin[s]]), "end": chars.place(d, chars.ends[end[s]], end=True), "lang": model.languages[best[begin[s]]]} for s in range(of[d], of[d + 1])]
         out.append((model.languages[top], float(mass[d, top] / total), spans))
     return out
 

@@ -10,7 +10,8 @@ only): their terms are hashed on the executors, and AdaGrad runs on the driver.
 `least` of these documents keep weight 0.  The model has a fixed size and is broadcast.
 
 Defined results: null, empty and wordless texts score sigmoid(b); repeated rows repeat; of several
-labels of one document the highest counts, null labels do not; without labels every score is 0.5.
+labels of one document the highest counts, null labels do not; of several texts under one labelled
+doc_id the fit takes the one with the smallest hash; without labels every score is 0.5.
 Other columns are ignored.
 """
 
@@ -92,21 +93,23 @@ def train(docs: list[np.ndarray], labels: np.ndarray, bits: int, factors: int, e
 
 
 def fit(df: DataFrame, labels: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 18, factors: int = 6, sample: int = 12_000, epochs: int = 8, rate: float = 0.1, decay: float = 0.1, least: int = 20) -> Machine:
-    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where("doc_id is not null and label is not null")
+    marked = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").alias("label")).where("doc_id is not null and label is not null")
     marked = marked.where(where) if where is not None else marked
     marked = marked.groupBy("doc_id").agg(F.max("label").alias("label"))
     share = min(1.0, sample / max(1, marked.count()))
     marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     # about `sample` rows of two numbers: the broadcast is bounded
-    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "doc_id").select((F.col("doc_id") * 2 + F.col("label")).alias("key"), "text")
+    texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(marked), "doc_id")
+    # one text of each labelled doc_id, so that rows that repeat it don't add to what the driver gets
+    texts = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select(F.struct("doc_id", F.col("label").cast("int").alias("label")).alias("key"), "text")
 
     def step(ids, part):
         terms, sizes = term_sets(part.to_pylist(), bits)
         return [ids, np.split(terms.astype(np.int32), np.cumsum(sizes)[:-1])]
 
-    rows = map_texts(texts, "key", "text", step, "key long, terms array<int>").orderBy("key").toArrow()
-    docs = [np.array(t, dtype=np.int64) for t in rows.column(1).to_pylist()]
-    return train(docs, np.array([k & 1 for k in rows.column(0).to_pylist()], dtype=np.float64), bits, factors, epochs, rate, decay, least)
+    rows = map_texts(texts, "key", "text", step, "key struct<doc_id:long,label:int>, terms array<int>").select("key.doc_id", "key.label", "terms").orderBy("doc_id").toArrow()
+    docs = [np.array(t, dtype=np.int64) for t in rows.column(2).to_pylist()]
+    return train(docs, np.array(rows.column(1).to_pylist(), dtype=np.float64), bits, factors, epochs, rate, decay, least)
 
 
 def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,18 +42,20 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id, url, kind: str, digest: str, payload: bytes, size: int, refers_to=None) -> bytes:
+def record(page_id, url, kind: str, digest: str, payload: bytes, size: int, refers_to=None, name: str | None = None) -> bytes:
     """One WARC/1.1 record; a revisit has the HTTP header of the full payload and no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id(page_id, digest)}",
+        f"WARC-Record-ID: {name or record_id(page_id, digest)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         *([f"WARC-Target-URI: {re.sub(r'[\x00-\x20]', lambda m: f'%{ord(m[0]):02X}', url)}"] if url is not None else []),
         f"WARC-Payload-Digest: sha1:{digest}",
+        *([f"X-Page-ID: {page_id}"] if page_id is not None else []),
         *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}"] if kind == "revisit" else []),
+        *([f"X-Refers-To-Page-ID: {refers_to}"] if refers_to is not None else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -61,12 +63,12 @@ def record(page_id, url, kind: str, digest: str, payload: bytes, size: int, refe
 
 
 def record_id(page_id, digest: str) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}:{digest}>"
+    """The identifier that a page's record has, known from page and payload alone, so that revisits can name it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{digest}')}>"
 
 
-def page_of(identifier: str) -> int | None:
-    part = identifier.split(":")[2]
-    return int(part) if part else None
+def page_number(field: str | None) -> int | None:
+    return None if field is None else int(field)
 
 
 def parse(raw: bytes) -> tuple[dict, dict, bytes]:
@@ -196,12 +198,16 @@ def write(planned: DataFrame, folder: str | None = None, frame_bytes: int = 1 <<
     folder = folder or shared_dir(spark, "warc")
 
     def run(batches):
-        writer = BundleWriter(folder, frame_bytes, bundle_bytes, level)
+        writer, used = BundleWriter(folder, frame_bytes, bundle_bytes, level), set()
         for b in batches:
             for page_id, url, digest, size, html, refers_to in zip(*(c.to_pylist() for c in b.columns)):
                 name = base64.b32encode(digest).decode()
                 kind = "response" if html is not None else "revisit"
-                writer.add(record_id(page_id, name), record(page_id, url, kind, name, html or b"", size, refers_to))
+                identifier = record_id(page_id, name)
+                if identifier in used:  # a row that repeats another is a record of its own
+                    identifier = f"<urn:uuid:{uuid.uuid4()}>"
+                used.add(identifier)
+                writer.add(identifier, record(page_id, url, kind, name, html or b"", size, refers_to, identifier))
         rows = writer.close()
         kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
         cols = list(zip(*rows)) or [()] * 5
@@ -232,9 +238,9 @@ def read(index: DataFrame) -> DataFrame:
                 if warc["warc-type"] == "response":
                     if base32_sha1(payload) != digest:
                         raise ValueError(f"the payload of {identifier} is damaged")
-                    rows.append((page_of(identifier), len(payload), base32_sha1(payload), "response", None))
+                    rows.append((page_number(warc.get("x-page-id")), len(payload), base32_sha1(payload), "response", None))
                 else:
-                    rows.append((page_of(identifier), int(http["content-length"]), digest, "revisit", page_of(warc["warc-refers-to"])))
+                    rows.append((page_number(warc.get("x-page-id")), int(http["content-length"]), digest, "revisit", page_number(warc.get("x-refers-to-page-id"))))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
