@@ -10,8 +10,8 @@ word sequence that also starts earlier: in a smaller doc_id, or earlier in the s
    adaptive execution can split).
 2. Confirmed passages.  Segments of recurring anchors (combined in each document shard) meet by anchor,
    or, where an anchor has more than `common` occurrences, window by window.  Runs of windows whose words
-   occur twice are passages, each with its earliest place; a passage goes to the document shards that
-   hold its segment.
+   occur twice are passages, each with its earliest place; the document shards that hold its segment are
+   told where in their own documents it stands, so no words are sent back.
 3. Automata.  A document shard holds about `shard_bytes` of text.  It compiles the phrases of its
    passages with pyahocorasick into automata of bounded size and streams all its documents, whole,
    through them; wherever a phrase is found, the passage is followed to both sides as far as the words
@@ -75,18 +75,24 @@ def _batch(rows: list[tuple], fields: dict) -> pa.RecordBatch:
 
 
 SEGMENT = {"s": pa.int64(), "p": pa.int32(), "seg": pa.binary(), "off": pa.int32(), "d": pa.int64(), "h": pa.int64(), "at": pa.int32(), "n": pa.int64()}
-PASSAGE = {"p": pa.int32(), "words": pa.binary(), "off": pa.int32(), "fd": pa.int64(), "fh": pa.int64(), "fat": pa.int32()}
+PASSAGE = {"p": pa.int32(), "d": pa.int64(), "h": pa.int64(), "at": pa.int32(), "size": pa.int32(), "off": pa.int32(), "fd": pa.int64(), "fh": pa.int64(), "fat": pa.int32()}
+
+
+def _fours(flat: array):
+    return zip(*[iter(flat)] * 4)
 
 
 def _confirmed(found: dict, window: int):
-    """found: (segment, offset of the phrase, -1 for a single window) -> [earliest place, count, shards].
+    """found: (segment, offset of the phrase, -1 for a single window) -> [earliest place, count, place in each shard].
 
-    Yields (shard, words, offset, place) of the runs of windows that occur twice, with one earliest place.
+    Yields (shard, place there, number of words, offset, earliest place) of the runs of windows that occur
+    twice, with one earliest place.
     """
     if len(found) == 1:
         (seg, off), (place, n, shards) = next(iter(found.items()))
         if n > 1:
-            yield from ((p, seg, off, *place) for p in dict.fromkeys(shards))
+            size = seg.count(b" ") + 1
+            yield from ((*own, size, off, *place) for own in _fours(shards))
         return
     split = {key: key[0].split(b" ") for key in found}
     #: Of each window its number, how often it occurs and its earliest place.
@@ -105,17 +111,17 @@ def _confirmed(found: dict, window: int):
     # a shard gets each window once, whichever of its segments holds it
     sent: dict[int, set] = {}
     for key, (_, _, shards) in found.items():
-        words, off, mine = split[key], key[1], of[key]
+        off, mine = key[1], of[key]
         if all(w[1] < 2 for w in mine):
             continue
-        for p in dict.fromkeys(shards):
+        for p, d, h, at in _fours(shards):
             done = sent.setdefault(p, set())
             run = None
             for j in range(len(mine) + 1):
                 w = mine[j] if j < len(mine) else None
                 fresh = w is not None and w[1] > 1 and w[0] not in done
                 if run is not None and not (fresh and w[2] == (run[1][0], run[1][1], run[1][2] + j - run[0])):
-                    yield (p, b" ".join(words[run[0] : j - 1 + window]), off - run[0] if off >= 0 else -1, *run[1])
+                    yield (p, d, h, at + run[0], j - 1 + window - run[0], off - run[0] if off >= 0 else -1, *run[1])
                     run = None
                 if fresh:
                     done.add(w[0])
@@ -124,7 +130,7 @@ def _confirmed(found: dict, window: int):
 
 
 class Located:
-    """The automata of one shard's passages.
+    """The automata of one shard's passages: (words, offset of the phrase, earliest place).
 
     A word is a few characters: the digits of its number, each place with an alphabet of its own.  So a
     node of an automaton has few children, which are searched one by one, and no match starts inside a word.
@@ -133,8 +139,7 @@ class Located:
     def __init__(self, passages, window: int, phrase: int):
         import ahocorasick
 
-        self.window = window
-        split = [(words.split(b" "), *place) for words, *place in passages]
+        self.window, split = window, list(passages)
         self.spelled = dict.fromkeys(w for words, *_ in split for w in words)
         self.width = 1
         while 1 << _BITS * self.width <= len(self.spelled):
@@ -274,10 +279,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
             for _, p, seg, off, d, h, at, n in group:
                 old = found.get((seg, off))
                 if old is None:
-                    found[seg, off] = [(d, h, at), n, array("q", [p])]
+                    found[seg, off] = [(d, h, at), n, array("q", (p, d, h, at))]
                 else:
                     old[0], old[1] = min(old[0], (d, h, at)), old[1] + n
-                    old[2].append(p)
+                    old[2].extend((p, d, h, at))
             for row in _confirmed(found, window):
                 out.append(row)
                 if len(out) >= ROWS:
@@ -291,10 +296,13 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     passages = found.repartition("s").sortWithinPartitions("s", "seg").mapInArrow(confirm, ddl(PASSAGE))
 
     def remove(mine: pa.Table, known: pa.Table) -> pa.Table:
-        located = Located(zip(*(known.column(c).to_pylist() for c in ("words", "off", "fd", "fh", "fat"))), window, phrase)
+        docs = list(zip(*(mine.column(c).to_pylist() for c in ("d", "h", "t"))))
+        words_of = {(d, h): t.split() for d, h, t in docs}
+        told = zip(*(known.column(c).to_pylist() for c in PASSAGE if c != "p"))
+        located = Located(((words_of[d, h][at : at + size], off, *place) for d, h, at, size, off, *place in told), window, phrase)
         out = []
-        for d, h, t in zip(*(mine.column(c).to_pylist() for c in ("d", "h", "t"))):
-            words = t.split()
+        for d, h, _ in docs:
+            words = words_of[d, h]
             gone = located.gone(words, d, h) if located.automata and len(words) >= window else None
             kept = b" ".join(words if gone is None else [w for w, g in zip(words, gone) if not g])
             out.append((d, h, len(words), 0 if gone is None else int(gone.sum()), kept.decode(), hashlib.sha256(kept).hexdigest()))
