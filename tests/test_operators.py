@@ -172,13 +172,6 @@ def test_transaction_scopes(spark, policies, want):
     assert [(r.transition, r.scope) for r in ordered.transaction_scopes(df).orderBy("step").collect()] == want
 
 
-def test_runtime_order_is_depth_first(spark):
-    calls = spark.createDataFrame([("a", "b", 1), ("a", "d", 2), ("b", "c", 3)], "caller string, callee string, ord long")
-    reach = spark.createDataFrame([("e", x, "a") for x in "abcd"], "entrypoint_id string, component_id string, start string")
-    got = ordered.runtime_flow_order(reach, calls).orderBy("position").collect()
-    assert [r.component_id for r in got] == ["a", "b", "c", "d"]
-
-
 def test_planner_and_subjects(spark):
     q = spark.createDataFrame([(1, "What does POST /orders/{id}? break"), (2, "hello"), (3, "Where is `x.y` persisted in the database entity"), (4, None)], "id int, question string")
     got = {r.id: r.intent for r in questions.plan(q).collect()}

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from weftgraph.plans import registry
+from weftgraph.plans import catalog
 from weftgraph.plans.projection import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -30,6 +30,6 @@ def rows(df):
     return list(df.columns), sorted((tuple(map(plain, r)) for r in df.itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_same_as_sql(spark, duck, name):
-    assert rows(registry.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(registry.ORACLES[name]).df())
+    assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(catalog.ORACLES[name]).df())

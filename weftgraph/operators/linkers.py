@@ -27,11 +27,23 @@ def is_root(prefix: str = "") -> Column:
 
 
 def state_handoffs(accesses: DataFrame) -> DataFrame:
-    """writer, reader, owner_id, field of components that share a field; within one component between methods."""
-    sides = accesses.select("component_id", "method", "kind", "owner_id", "field").distinct()
-    w = sides.where("kind = 'WRITE'").select("owner_id", "field", F.col("component_id").alias("writer"), F.col("method").alias("wm"))
-    r = sides.where("kind = 'READ'").select("owner_id", "field", F.col("component_id").alias("reader"), F.col("method").alias("rm"))
-    return w.join(r, ["owner_id", "field"]).where("writer <> reader").select("writer", "reader", "owner_id", "field").distinct()
+    """writer, reader, owner_id, field of components that share a field.  Each side is distinct before the join, so each pair is made once."""
+    sides = accesses.select("component_id", "kind", "owner_id", "field").distinct()
+    w = sides.where("kind = 'WRITE'").select("owner_id", "field", F.col("component_id").alias("writer"))
+    r = sides.where("kind = 'READ'").select("owner_id", "field", F.col("component_id").alias("reader"))
+    return w.join(r, ["owner_id", "field"]).where("writer <> reader").select("writer", "reader", "owner_id", "field")
+
+
+def handoff_counts(accesses: DataFrame) -> DataFrame:
+    """id, handoffs_in, handoffs_out: how many handoffs a component reads from and writes to.
+
+    Per field a reader has as many as there are other writers, so the pairs need not be made: one
+    aggregate of the accesses, one of that by field, and a join back that AQE can split.
+    """
+    each = accesses.groupBy("owner_id", "field", F.col("component_id").alias("id")).agg(F.max((F.col("kind") == "WRITE").cast("long")).alias("w"), F.max((F.col("kind") == "READ").cast("long")).alias("r"))
+    total = each.groupBy("owner_id", "field").agg(F.sum("w").alias("writers"), F.sum("r").alias("readers"))
+    both = each.join(total, ["owner_id", "field"])
+    return both.groupBy("id").agg(F.sum(F.col("r") * (F.col("writers") - F.col("w"))).alias("handoffs_in"), F.sum(F.col("w") * (F.col("readers") - F.col("r"))).alias("handoffs_out"))
 
 
 def handoffs_through_callers(accesses: DataFrame, calls: DataFrame) -> DataFrame:

@@ -1,12 +1,10 @@
-"""Operators over ordered steps: transaction scopes, runtime flows, call chains, tainted names."""
+"""Operators over ordered steps: transaction scopes, neighbours."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.sources.store import checkpointed
-
 
 def _transition(policy: Column, active: Column) -> Column:
     """What a step with this policy does, given whether a scope is active."""
@@ -45,86 +43,6 @@ def transaction_scopes(steps: DataFrame) -> DataFrame:
     return x.select("flow_id", "step", "transition", F.when(now, F.concat_ws(":", "flow_id", F.lit("tx"), number.cast("string"))).alias("scope"))
 
 
-def flow_reach(entrypoints: DataFrame, calls: DataFrame, depth: int = 5) -> DataFrame:
-    """entrypoint_id, component_id, hop of every component that calls reach within depth, visible or not."""
-    steps = calls.select(F.col("caller").alias("at"), F.col("callee").alias("component_id")).distinct()
-    seen = front = entrypoints.select(F.col("id").alias("entrypoint_id"), "component_id", F.lit(0).alias("hop"))
-    for hop in range(1, depth + 1):
-        front = front.select("entrypoint_id", F.col("component_id").alias("at")).join(steps, "at").select("entrypoint_id", "component_id").distinct().join(seen, ["entrypoint_id", "component_id"], "left_anti").withColumn("hop", F.lit(hop))
-        front = checkpointed(front, "flow")  # read by the next hop and by all later ones
-        seen = seen.unionByName(front)
-    return seen
-
-
-def runtime_flows(entrypoints: DataFrame, calls: DataFrame, components: DataFrame, depth: int = 5) -> DataFrame:
-    """entrypoint_id, component_id, hop of every visible component that calls reach within depth.
-
-    The set of steps, by frontiers; `runtime_flow_order` gives their depth-first order.
-    """
-    visible = components.where("type <> 'UTILITY'").select(F.col("id").alias("component_id"))
-    return flow_reach(entrypoints, calls, depth).join(visible, "component_id", "left_semi")
-
-
-def runtime_flow_order(reach: DataFrame, calls: DataFrame, depth: int = 5, components: DataFrame | None = None) -> DataFrame:
-    """Depth-first order of each entrypoint's steps; the order is sequential, so one group per entrypoint.
-
-    reach: entrypoint_id, component_id, start; calls: caller, callee, ord.  Groups hold one entrypoint's
-    reachable subgraph only, which the caller bounds by depth.  A component met again on a shorter way is
-    expanded again, so the steps are all that lie within depth.  With `components`, the walk goes through
-    invisible ones and only visible ones are numbered; `reach` then holds both.
-    """
-    import pandas as pd
-
-    sub = reach.join(calls, F.col("component_id") == F.col("caller"), "left").select("entrypoint_id", "start", "caller", "callee", "ord")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        after: dict[str, list[str]] = {}
-        for row in pdf[pdf["caller"].notna()].sort_values("ord").itertuples():
-            after.setdefault(row.caller, []).append(row.callee)
-        order, level_of, stack = [], {}, [(pdf["start"].iloc[0], 0)]
-        while stack:
-            at, level = stack.pop()
-            if at not in level_of:
-                order.append(at)
-            elif level >= level_of[at]:
-                continue
-            level_of[at] = level
-            if level < depth:
-                stack += [(n, level + 1) for n in reversed(after.get(at, []))]
-        return pd.DataFrame({"entrypoint_id": pdf["entrypoint_id"].iloc[0], "position": range(len(order)), "component_id": order})
-
-    out = sub.groupBy("entrypoint_id").applyInPandas(walk, "entrypoint_id string, position int, component_id string")
-    if components is None:
-        return out
-    shown = out.join(components.where("type <> 'UTILITY'").select(F.col("id").alias("component_id")), "component_id", "left_semi")
-    number = F.row_number().over(Window.partitionBy("entrypoint_id").orderBy("position")) - 1
-    return shown.select("entrypoint_id", number.alias("position"), "component_id")
-
-
-def taint(starts: DataFrame, calls: DataFrame, depth: int = 8) -> DataFrame:
-    """path_id, name, component_id, hop: where tracked names flow, by hop.
-
-    starts: path_id, component_id, name; calls: caller, callee, mapping (from name to name), killed.
-    `*` passes through; killed names stop; a mapped name is renamed; an unmapped one goes on only if the
-    call maps nothing that is tracked.  A component already on the way is not entered again.
-
-    Of ways to the same component under the same name, one that holds all components of an earlier way
-    goes no further: whatever it could still enter, the earlier one enters in fewer hops.
-    """
-    key = ["path_id", "component_id", "name"]
-    front = starts.select(*key, F.array("component_id").alias("way"), F.lit(0).alias("hop"))
-    seen = front
-    for hop in range(1, depth + 1):
-        x = front.join(calls, F.col("component_id") == F.col("caller")).where(~F.array_contains("way", F.col("callee")) & ~F.array_contains("killed", F.col("name")))
-        x = x.withColumn("next", F.when(F.col("name") == "*", "*").otherwise(F.coalesce(F.try_element_at("mapping", F.col("name")), F.when(F.size(F.map_keys("mapping")) == 0, F.col("name")))))
-        x = x.where("next is not null").select("path_id", F.col("callee").alias("component_id"), F.col("next").alias("name"), F.array_sort(F.array_append("way", F.col("callee"))).alias("way"), F.lit(hop).alias("hop")).dropDuplicates([*key, "way"])
-        earlier = seen.select(*(F.col(c).alias(f"e_{c}") for c in (*key, "way")))
-        same = [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in key]
-        front = checkpointed(x.join(earlier, [*same, F.size(F.array_except("e_way", "way")) == 0], "left_anti"), "taint")
-        seen = seen.unionByName(front)
-    return seen.groupBy("path_id", "name", "component_id").agg(F.min("hop").alias("hop"))
-
-
 def neighbours(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Previous and next value of each row within its key."""
     w = Window.partitionBy(key).orderBy(order)

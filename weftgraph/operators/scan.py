@@ -18,11 +18,13 @@ def find_edges(edges: DataFrame, filters: dict[str, str] | None = None, label: s
 
 
 def edges_between(edges: DataFrame, ids: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:
-    """Edges with both ends among `ids` (column id), the first of each (src, dst, label), in any of the labels."""
+    """Edges with both ends among `ids` (column id) in any of the labels: the first of each (label, src, dst), whole and in that order."""
     ids = ids.select("id").distinct()
     inner = edges.where(F.col("label").isin(*labels)) if labels else edges
     inner = inner.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return inner.groupBy("src", "dst", "label").agg(F.min("ord").alias("ord"))
+    rest = [c for c in edges.columns if c not in ("src", "dst", "label", "ord")]
+    first = inner.groupBy("src", "dst", "label").agg(F.min_by(F.struct("ord", *rest), "ord").alias("first"))
+    return first.select("src", "dst", "label", "first.*").orderBy("label", "src", "dst")
 
 
 def count_by_label(nodes: DataFrame, label: str | None = None) -> DataFrame:

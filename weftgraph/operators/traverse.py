@@ -16,15 +16,19 @@ from weftgraph.sources.store import checkpointed
 
 
 def _directed(edges: DataFrame, direction: str, labels: tuple[str, ...]) -> DataFrame:
-    """a -> b steps in the direction asked for."""
+    """a -> b steps in the direction asked for; parallel edges give parallel steps."""
     e = edges.where(F.lower("label").isin(*(x.lower() for x in labels))) if labels else edges
     out, into = e.select(F.col("src").alias("a"), F.col("dst").alias("b")), e.select(F.col("dst").alias("a"), F.col("src").alias("b"))
     steps = {"out": out, "outgoing": out, "in": into, "incoming": into}.get(direction.lower())
-    return (out.union(into) if steps is None else steps).distinct()
+    return out.union(into) if steps is None else steps
 
 
 def hops(edges: DataFrame, start: DataFrame, direction: str, labels: tuple[str, ...], depth: int) -> DataFrame:
-    """id, hop: every node that a walk of 1 to depth steps from `start` (column id) ends at, with the fewest steps."""
+    """id, hop: every node that a walk of 1 to depth steps from `start` (column id) ends at, with the fewest steps.
+
+    The frontier meets the edges before anything is made distinct, so a hop shuffles what it reaches and
+    not the graph; each frontier is a table, so the plan does not grow with the depth.
+    """
     steps = _directed(edges, direction, labels)
     seen = None
     front = start.select("id").distinct()
@@ -33,6 +37,8 @@ def hops(edges: DataFrame, start: DataFrame, direction: str, labels: tuple[str,
         if seen is not None:
             reached = reached.join(seen, "id", "left_anti")
         reached = reached.withColumn("hop", F.lit(hop))
+        if hop < depth:
+            reached = checkpointed(reached, "hop")
         seen = reached if seen is None else seen.union(reached)
         front = reached.select("id")
     return seen
@@ -59,14 +65,15 @@ def paths(edges: DataFrame, start: str, end: str, depth: int | None = None) -> D
     near = hops(edges, spark.createDataFrame([(end,)], "id string"), "in", (), depth - 1) if depth > 1 else None
     useful = spark.createDataFrame([(end, 0)], "id string, hop int")
     if near is not None:
-        useful = checkpointed(useful.union(near.where(F.col("id") != end)), "useful")  # read once per hop
-    steps = edges.select("src", F.col("dst").alias("id"), F.col("label").alias("l"), "ord")
+        useful = useful.union(near.where(F.col("id") != end))
+    # the edges that can lie on an answer, written once: every hop reads this table and not the graph
+    steps = checkpointed(edges.select("src", F.col("dst").alias("id"), F.col("label").alias("l"), "ord").join(useful, "id"), "useful")
     front = spark.createDataFrame([([start], [])], "node_ids array<string>, edge_labels array<string>")
     done = None
     for hop in range(1, depth + 1):
         front = (
             front.withColumn("src", F.element_at("node_ids", -1))
-            .join(steps.join(useful.where(F.col("hop") <= depth - hop).select("id"), "id"), "src")
+            .join(steps.where(F.col("hop") <= depth - hop), "src")
             .where(~F.array_contains("node_ids", F.col("id")))
             .select(F.array_append("node_ids", F.col("id")).alias("node_ids"), F.array_append("edge_labels", F.col("l")).alias("edge_labels"))
         )

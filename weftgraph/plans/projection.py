@@ -67,7 +67,7 @@ def _pick(values: tuple[str, ...], key: str) -> str:
 
 COMPONENTS = f"""
 SELECT s_suppkey AS ord, 'comp:' || cast(s_suppkey as string) AS id, name || cast(s_suppkey as string) AS name, type,
-  package || '.' || name || cast(s_suppkey as string) AS qualified_name, package, module, 'app:' || cast(s_nationkey as string) AS app_id, technology, confidence
+  package || '.' || name || cast(s_suppkey as string) AS qualified_name, package, module, 'app:' || cast(s_nationkey as string) AS app_id, technology, confidence, {_pick(("messaging", "object-storage", "file-outbound", "web", "plain"), "s_suppkey")} AS stereotype
 FROM (SELECT s_suppkey, s_nationkey, {_pick(WORDS, "s_suppkey")} AS name, {_pick(TYPES, "s_suppkey")} AS type, 'com.acme.' || lower(n_name) || '.' || {_pick(LAYERS, "s_suppkey + s_nationkey")} AS package,
     lower(n_name) AS module, lower(r_name) AS technology, abs(s_acctbal) / 10000 AS confidence
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) s"""
@@ -78,7 +78,8 @@ SELECT c_custkey AS ord, 'ep:' || cast(c_custkey as string) AS id, {_pick(EP_TYP
   '/' || lower(c_mktsegment) || '/' || {_pick(("list", "{id}", "shutdown", "items"), "c_custkey")} || '/' || cast(c_custkey as string) AS path,
   CASE WHEN c_custkey % 3 = 0 THEN 'onShutdown' ELSE 'handle' END || cast(c_custkey as string) AS name,
   'comp:' || cast((c_custkey * 7) % n as string) AS component_id, 'channel' || cast(c_nationkey as string) AS channel,
-  CASE WHEN c_custkey % 2 = 0 THEN 'topic' || cast(c_nationkey as string) END AS topic, CASE WHEN c_custkey % 4 = 0 THEN 'KAFKA' WHEN c_custkey % 4 = 2 THEN 'JMS' END AS broker
+  CASE WHEN c_custkey % 2 = 0 THEN 'topic' || cast(c_nationkey as string) END AS topic, CASE WHEN c_custkey % 4 = 0 THEN 'KAFKA' WHEN c_custkey % 4 = 2 THEN 'JMS' END AS broker,
+  'm' || cast(c_custkey % 12 as string) AS method, CASE WHEN c_custkey % 6 = 2 THEN CASE WHEN c_custkey % 4 = 0 THEN 'cron' ELSE 'fixed-rate' END END AS trigger_kind
 FROM customer CROSS JOIN (SELECT count(*) AS n FROM supplier) k"""
 
 DEPENDENCIES = """
@@ -88,7 +89,7 @@ FROM part CROSS JOIN (SELECT count(*) AS n FROM supplier) k"""
 ACCESSES = """
 SELECT event_id AS ord, 'comp:' || cast(user_id % n as string) AS component_id, event_type AS method, CASE WHEN event_type IN ('purchase', 'signup') THEN 'WRITE' ELSE 'READ' END AS kind,
   'comp:' || cast(f % n as string) AS owner_id, 'field' || cast(f as string) AS field
-FROM (SELECT event_id, user_id, event_type, cast(regexp_extract(props, '"k": *([0-9]+)', 1) as bigint) AS f FROM events WHERE event_type <> 'error') e CROSS JOIN (SELECT count(*) AS n FROM supplier) k"""
+FROM (SELECT event_id, user_id, event_type, cast(regexp_extract(props, '"k": *([0-9]+)', 1) as bigint) AS f FROM events) e CROSS JOIN (SELECT count(*) AS n FROM supplier) k"""
 
 PATHS = "SELECT o_orderkey AS ord, 'path:' || cast(o_orderkey as string) AS id, 'ep:' || cast(o_custkey as string) AS entrypoint_id, lower(o_orderpriority) AS param FROM orders"
 
@@ -106,7 +107,125 @@ SELECT 'flow:' || cast(user_id as string) AS flow_id, row_number() OVER (PARTITI
   CASE event_type WHEN 'signup' THEN 'REQUIRED' WHEN 'purchase' THEN 'REQUIRES_NEW' WHEN 'view' THEN 'SUPPORTS' WHEN 'click' THEN 'NOT_SUPPORTED' END AS policy, event_type AS method
 FROM events CROSS JOIN (SELECT count(*) AS n FROM supplier) k"""
 
-STATEMENTS = {"nodes": NODES, "edges": EDGES, "components": COMPONENTS, "entrypoints": ENTRYPOINTS, "dependencies": DEPENDENCIES, "accesses": ACCESSES, "paths": PATHS, "sinks": SINKS, "steps": STEPS}
+_N = "CROSS JOIN (SELECT count(*) AS n FROM supplier) k"
+
+#: Method-level call edges: how the call is made, what it maps, kills and substitutes, and its place in the control flow.
+CALLS = f"""
+SELECT p_partkey AS ord, 'comp:' || cast((p_partkey * 3) % n as string) AS from_id, 'm' || cast(cast(floor(p_partkey / n) as bigint) % 12 as string) AS from_method,
+  'comp:' || cast((p_partkey * p_size + p_partkey) % n as string) AS to_id, 'm' || cast((p_size + p_partkey) % 20 as string) AS to_method,
+  CASE p_partkey % 11 WHEN 3 THEN 'messaging' WHEN 7 THEN 'event-bus' ELSE 'direct' END AS call_kind, p_partkey % 13 = 5 AS capped, p_partkey % 17 = 4 AS ambiguous,
+  CASE p_partkey % 5 WHEN 0 THEN 'order' WHEN 1 THEN 'price' END AS arg, CASE p_partkey % 5 WHEN 0 THEN 'item' WHEN 1 THEN 'order' END AS param,
+  CASE WHEN p_partkey % 7 = 2 THEN 'order' END AS killed, CASE p_partkey % 4 WHEN 1 THEN 'order' WHEN 3 THEN 'client' END AS receiver,
+  CASE WHEN p_partkey % 3 = 0 THEN 'topic' || cast(p_partkey % 25 as string) END AS literal, CASE WHEN p_partkey % 3 = 0 THEN 'orders.' || cast(p_partkey % 6 as string) END AS literal_value,
+  {_pick(("IF_THEN", "IF_ELSE", "SWITCH_CASE", "SWITCH_DEFAULT", "TERNARY_THEN", "TERNARY_ELSE", "CATCH", "FINALLY", "UNCONDITIONAL"), "p_size")} AS control,
+  CASE WHEN p_size % 9 < 8 THEN 'branch:' || cast(cast(floor(p_partkey / 2) as bigint) as string) END AS branch_group, CASE WHEN p_partkey % 10 = 1 THEN 'own label' END AS branch_label
+FROM part {_N}"""
+
+TRACKED = """
+SELECT c_custkey * 4 AS ord, 'ep:' || cast(c_custkey as string) AS entrypoint_id, CASE WHEN c_custkey % 2 = 0 THEN 'order' WHEN c_custkey % 3 = 0 THEN 'price' ELSE '*' END AS name FROM customer
+UNION ALL SELECT c_custkey * 4 + 1, 'ep:' || cast(c_custkey as string), 'price' FROM customer WHERE c_custkey % 6 = 0"""
+
+FIELD_ACCESS = f"""
+SELECT p_partkey AS ord, 'comp:' || cast((p_partkey * 7) % n as string) AS component_id, 'm' || cast(p_partkey % 20 as string) AS method, CASE WHEN p_size % 3 = 0 THEN 'READ' ELSE 'WRITE' END AS kind,
+  'comp:' || cast((p_partkey * 7 + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END) % n as string) AS owner_id, 'field' || cast(p_size as string) AS field,
+  CASE p_partkey % 6 WHEN 0 THEN 'order' WHEN 1 THEN 'price' WHEN 2 THEN 'item' WHEN 3 THEN 'other' END AS source_var, CASE p_partkey % 8 WHEN 5 THEN 'order' END AS source_field, CASE p_partkey % 10 WHEN 9 THEN 'order' END AS key_var
+FROM part {_N}"""
+
+#: Call sites that leave the application; some count only for one caller.
+SITES = f"""
+SELECT s_suppkey AS ord, 'comp:' || cast(s_suppkey as string) AS component_id, 'm' || cast(s_suppkey % 20 as string) AS method, CASE s_suppkey % 4 WHEN 0 THEN 'HTTP_OUTBOUND' ELSE 'MESSAGING' END AS kind,
+  CASE WHEN s_suppkey % 3 <> 1 THEN 'topic' || cast(s_suppkey % 25 as string) END AS topic, 'channel' || cast(s_suppkey % 25 as string) AS channel, CASE s_suppkey % 2 WHEN 0 THEN 'KAFKA' END AS broker,
+  CASE WHEN s_suppkey % 5 = 2 THEN 'comp:' || cast((s_suppkey * 3) % n as string) END AS only_component, CASE WHEN s_suppkey % 10 = 2 THEN 'm' || cast(s_suppkey % 12 as string) END AS only_method
+FROM supplier {_N}"""
+
+APPS = f"""
+SELECT n_nationkey AS ord, 'app:' || cast(n_nationkey as string) AS id, lower(n_name) AS name, CASE WHEN n_nationkey >= 5 THEN 'app:' || cast(n_nationkey % 5 as string) END AS parent_id,
+  lower(r_name) AS technology, {_pick(("jar", "war", "pom"), "n_nationkey")} AS packaging FROM nation JOIN region ON n_regionkey = r_regionkey"""
+
+INTERFACES = f"""
+SELECT s_suppkey AS ord, 'if:' || cast(s_suppkey as string) AS id, 'comp:' || cast(s_suppkey as string) AS component_id, {_pick(("rest_client", "messaging_producer", "messaging_consumer", "rest"), "s_suppkey")} AS type,
+  CASE WHEN s_suppkey % 4 = 0 THEN 'svc' || cast(s_suppkey % 7 as string) END AS service, CASE WHEN s_suppkey % 8 = 0 THEN 'service.url.' || cast(s_suppkey % 7 as string) END AS config_key,
+  CASE s_suppkey % 3 WHEN 0 THEN 'KAFKA' WHEN 1 THEN 'IN_MEMORY' END AS broker, 'topic' || cast(s_suppkey % 25 as string) AS topic FROM supplier"""
+
+CONFIG = f"""
+SELECT c_custkey AS ord, 'app:' || cast(c_nationkey as string) AS app_id, CASE c_custkey % 5 WHEN 0 THEN 'db.password.' || cast(c_custkey as string) WHEN 1 THEN 'mp.messaging.incoming.channel' || cast(c_custkey % 25 as string) || '.connector'
+    WHEN 2 THEN 'mp.messaging.outgoing.channel' || cast(c_custkey % 24 as string) || '.topic' WHEN 3 THEN 'service.url.' || cast(c_custkey % 7 as string) ELSE 'feature.x' || cast(c_custkey % 40 as string) END AS key,
+  CASE c_custkey % 5 WHEN 1 THEN {_pick(("smallrye-kafka", " Smallrye-AMQP", "smallrye-mqtt", "smallrye-rabbitmq", "smallrye-pulsar", "other"), "c_custkey")} WHEN 2 THEN 'topic' || cast(c_custkey % 25 as string)
+    WHEN 3 THEN CASE WHEN c_custkey % 2 = 0 THEN '$' || '{{host}}/x' ELSE 'http://x/' || cast(c_custkey as string) END ELSE 'v' || cast(c_custkey as string) END AS value FROM customer"""
+
+UNITS = """
+SELECT n_nationkey AS ord, 'unit:' || cast(n_nationkey as string) AS id, 'pu' || cast(n_nationkey % 4 as string) AS name, 'app:' || cast(n_nationkey % 20 as string) AS app_id,
+  CASE WHEN n_nationkey % 6 <> 5 THEN 'ds' || cast(n_nationkey % 7 as string) END AS datasource FROM nation"""
+
+UNIT_ENTITIES = "SELECT p_partkey AS ord, 'unit:' || cast(p_partkey % 25 as string) AS unit_id, 'Entity' || cast(p_partkey - p_partkey % 3 as string) AS entity FROM part"
+
+DATASOURCES = "SELECT r_regionkey AS ord, 'ds' || cast(r_regionkey as string) AS name, 'java:/ds' || cast(r_regionkey as string) AS jndi, CASE WHEN r_regionkey <> 3 THEN 'db' || cast(r_regionkey % 3 as string) END AS endpoint FROM region"
+
+#: What the sources say about transactions, by method.
+METHOD_FACTS = f"""
+SELECT p_partkey AS ord, 'comp:' || cast((p_partkey * 3) % n as string) AS component_id, 'm' || cast(cast(floor(p_partkey / n) as bigint) % 12 as string) AS method,
+  CASE p_partkey % 6 WHEN 0 THEN 'TxType.REQUIRED' WHEN 1 THEN '"REQUIRESNEW"' WHEN 2 THEN 'DEFAULT' END AS on_method, CASE ((p_partkey * 3) % n) % 5 WHEN 0 THEN 'SUPPORTS' END AS on_type, CASE ((p_partkey * 3) % n) % 7 WHEN 0 THEN 'MANDATORY' END AS inherited,
+  ((p_partkey * 3) % n) % 13 = 4 AS bean_managed, p_partkey % 9 = 2 AS programmatic, CASE p_partkey % 2 WHEN 0 THEN 'spring' ELSE 'jakarta' END AS framework
+FROM part {_N}"""
+
+#: Types and what they extend or implement: a tree.
+TYPES_FACTS = "SELECT s_suppkey AS ord, 'type:' || cast(s_suppkey as string) AS id, CASE WHEN s_suppkey > 0 THEN 'type:' || cast(cast(floor((s_suppkey - 1) / 3) as bigint) as string) END AS extends, s_suppkey % 4 <> 3 AS concrete FROM supplier"
+
+_MODEL_NODE = "SELECT cast({rank} * 17592186044416 as bigint) + ord AS ord, {id} AS id, '{label}' AS label, {name} AS name FROM ({sub}) x"
+_MODEL_EDGE = "SELECT cast({rank} * 17592186044416 as bigint) + ord AS ord, {src} AS src, {dst} AS dst, '{label}' AS label, {detail} AS detail FROM ({sub}) x"
+
+
+def _model(template: str, *rows: tuple) -> str:
+    return " UNION ALL ".join(template.format(rank=i + 1, **dict(r)) for i, r in enumerate(rows))
+
+
+def _mn(label, id_, name, sub):
+    return (("label", label), ("id", id_), ("name", name), ("sub", sub))
+
+
+def _me(label, src, dst, detail, sub):
+    return (("label", label), ("src", src), ("dst", dst), ("detail", detail), ("sub", sub))
+
+
+#: The software model as one graph.
+MODEL_NODES = _model(
+    _MODEL_NODE,
+    _mn("Application", "id", "name", APPS),
+    _mn("Component", "id", "name", COMPONENTS),
+    _mn("Entrypoint", "id", "name", ENTRYPOINTS),
+    _mn("Interface", "id", "topic", INTERFACES),
+    _mn("DataFlowPath", "id", "param", PATHS),
+    _mn("DataFlowSink", "id", "kind", SINKS),
+    _mn("PersistenceUnit", "id", "name", UNITS),
+    _mn("DataSource", "'datasource:' || name", "name", DATASOURCES),
+    _mn("ExternalSystem", "'ext:' || endpoint", "endpoint", f"SELECT min(ord) AS ord, endpoint FROM ({DATASOURCES}) d WHERE endpoint IS NOT NULL GROUP BY endpoint"),
+    _mn("ExternalSystem", "'ext:rest:' || service", "service", f"SELECT min(ord) AS ord, service FROM ({INTERFACES}) i WHERE service IS NOT NULL GROUP BY service"),
+    _mn("ConfigProperty", "'config:' || app_id || ':' || key", "key", f"SELECT min(ord) AS ord, app_id, key FROM ({CONFIG}) c WHERE NOT (lower(key) LIKE '%password%') GROUP BY app_id, key"),
+    _mn("TransactionBoundary", "'tx:' || cast(ord as string)", "method", METHOD_FACTS),
+)
+MODEL_EDGES = _model(
+    _MODEL_EDGE,
+    _me("OWNS", "app_id", "id", "type", COMPONENTS),
+    _me("STARTS_AT", "id", "component_id", "type", ENTRYPOINTS),
+    _me("DEPENDS_ON", "from_id", "to_id", "kind", DEPENDENCIES),
+    _me("CALLS", "from_id", "to_id", "call_kind", CALLS),
+    _me("ORIGINATES", "entrypoint_id", "id", "param", PATHS),
+    _me("REACHES", "path_id", "id", "kind", SINKS),
+    _me("AT_COMPONENT", "id", "component_id", "kind", SINKS),
+    _me("READS_STATE", "component_id", "owner_id", "field", f"SELECT * FROM ({FIELD_ACCESS}) a WHERE kind = 'READ'"),
+    _me("WRITES_STATE", "component_id", "owner_id", "field", f"SELECT * FROM ({FIELD_ACCESS}) a WHERE kind = 'WRITE'"),
+    _me("USES_DATASOURCE", "id", "'datasource:' || datasource", "datasource", f"SELECT * FROM ({UNITS}) u WHERE datasource IS NOT NULL"),
+    _me("CONNECTS_TO", "'datasource:' || name", "'ext:' || endpoint", "endpoint", f"SELECT * FROM ({DATASOURCES}) d WHERE endpoint IS NOT NULL"),
+    _me("DEPENDS_ON", "component_id", "'ext:rest:' || service", "type", f"SELECT * FROM ({INTERFACES}) i WHERE service IS NOT NULL"),
+    _me("CONFIGURED_BY", "'ext:rest:' || service", "'config:' || app_id || ':' || key", "key", f"SELECT min(c.ord) AS ord, service, app_id, key FROM ({INTERFACES}) i JOIN ({CONFIG}) c ON c.key = i.config_key GROUP BY service, app_id, key"),
+    _me("HAS_TRANSACTION_BOUNDARY", "component_id", "'tx:' || cast(ord as string)", "method", METHOD_FACTS),
+)
+
+STATEMENTS = {
+    "nodes": NODES, "edges": EDGES, "components": COMPONENTS, "entrypoints": ENTRYPOINTS, "dependencies": DEPENDENCIES, "accesses": ACCESSES, "paths": PATHS, "sinks": SINKS, "steps": STEPS,
+    "calls": CALLS, "tracked": TRACKED, "field_access": FIELD_ACCESS, "sites": SITES, "apps": APPS, "interfaces": INTERFACES, "config": CONFIG, "units": UNITS, "unit_entities": UNIT_ENTITIES,
+    "datasources": DATASOURCES, "method_facts": METHOD_FACTS, "type_facts": TYPES_FACTS, "model_nodes": MODEL_NODES, "model_edges": MODEL_EDGES,
+}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -152,5 +271,6 @@ class Projection:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in STATEMENTS:
-            return self._sql(name)
+            self.__dict__[name] = made = self._sql(name)  # one plan for all uses
+            return made
         raise AttributeError(name)

@@ -199,10 +199,8 @@ _MODEL = ("components", "accesses", "dependencies", "entrypoints")
 
 
 def _metrics(p: Projection) -> DataFrame:
-    h = L.state_handoffs(p.accesses)
-    ins, outs = h.groupBy(F.col("reader").alias("id")).agg(F.count("*").alias("handoffs_in")), h.groupBy(F.col("writer").alias("id")).agg(F.count("*").alias("handoffs_out"))
     c = p.components
-    m = c.join(M.degrees(c, p.dependency_edges, "DEPENDS_ON"), "id").join(M.owned_entrypoints(c, p.entrypoints), "id").join(M.state_counts(c, p.accesses), "id").join(ins, "id", "left").join(outs, "id", "left")
+    m = c.join(M.degrees(c, p.dependency_edges, "DEPENDS_ON"), "id").join(M.owned_entrypoints(c, p.entrypoints), "id").join(M.state_counts(c, p.accesses), "id").join(L.handoff_counts(p.accesses), "id", "left")
     return m.fillna(0, ["handoffs_in", "handoffs_out"])
 
 
@@ -522,9 +520,6 @@ def package_overview(p):
 
 # ---- ordered steps
 
-#: The reference expands calls at depths 0 to 5, so steps lie up to six calls away (fixed value).
-FLOW_HOPS = 6
-
 _MACRO = """+ s AS (SELECT *, CASE WHEN policy IN ('REQUIRED', 'REQUIRES_NEW') THEN 1 WHEN policy = 'NOT_SUPPORTED' THEN 0 END AS leaves FROM steps),
 w(flow_id, step, transition, active, n) AS (
  SELECT flow_id, 0::BIGINT, '', false, 0 FROM (SELECT DISTINCT flow_id FROM steps)
@@ -538,64 +533,11 @@ def transaction_scope(p):
     return O.transaction_scopes(p.steps.withColumn("step", F.col("step").cast("long")))
 
 
-@query(
-    """+ calls AS (SELECT DISTINCT from_id AS caller, to_id AS callee FROM dependencies), w(e, c, hop) AS (SELECT id, component_id, 0 FROM entrypoints UNION SELECT w.e, callee, hop + 1 FROM w JOIN calls ON caller = w.c WHERE hop < 2)
-SELECT e AS entrypoint_id, c AS component_id, min(hop) AS hop FROM w WHERE c NOT IN (SELECT id FROM components WHERE type = 'UTILITY') GROUP BY e, c""",
-    "entrypoints",
-    "dependencies",
-    "components",
-)
-def runtime_flow_steps(p):
-    return O.runtime_flows(p.entrypoints, _calls(p), p.components, 2).select("entrypoint_id", "component_id", "hop")
-
-
 @query("SELECT flow_id, step::BIGINT AS step, component_id, lag(component_id) OVER w AS before, lead(component_id) OVER w AS after FROM steps WINDOW w AS (PARTITION BY flow_id ORDER BY step)", "steps")
 def step_neighbours(p):
     return O.neighbours(p.steps.withColumn("step", F.col("step").cast("long")), "flow_id", "step", "component_id")
 
 
-@query(
-    """+ calls AS (SELECT DISTINCT from_id AS caller, to_id AS callee FROM dependencies), w(e, c, hop) AS (SELECT id, component_id, 0 FROM entrypoints UNION SELECT w.e, callee, hop + 1 FROM w JOIN calls ON caller = w.c WHERE hop < 6)
-SELECT e AS entrypoint_id, c AS component_id, min(hop) AS hop FROM w WHERE c NOT IN (SELECT id FROM components WHERE type = 'UTILITY') GROUP BY e, c""",
-    "entrypoints",
-    "dependencies",
-    "components",
-)
-def runtime_flow_steps_whole(p):
-    return O.runtime_flows(p.entrypoints, _calls(p), p.components, FLOW_HOPS).select("entrypoint_id", "component_id", "hop")
-
-
-@query()
-def call_chain(p):
-    calls = _calls(p).select("caller", "callee", "ord")
-    reach = O.flow_reach(p.entrypoints, calls, FLOW_HOPS).select("entrypoint_id", "component_id").join(p.entrypoints.select(F.col("id").alias("entrypoint_id"), F.col("component_id").alias("start")), "entrypoint_id")
-    return O.runtime_flow_order(reach, calls, FLOW_HOPS, p.components)
-
-
-@query(
-    """+ calls AS (SELECT DISTINCT from_id AS caller, to_id AS callee, kind FROM dependencies),
-w(path_id, name, c, hop, way) AS (SELECT id, kind0, component_id, 0, [component_id] FROM (SELECT e.id, component_id, 'ECONOMY' AS kind0 FROM entrypoints e)
- UNION ALL SELECT path_id, CASE WHEN kind = 'ECONOMY' THEN 'renamed' ELSE name END, callee, hop + 1, list_append(way, callee) FROM w JOIN calls ON caller = c WHERE hop < 2 AND NOT list_contains(way, callee) AND NOT (kind = 'PROMO') AND (kind <> 'ECONOMY' OR name = 'ECONOMY'))
-SELECT path_id, name, c AS component_id, min(hop) AS hop FROM w GROUP BY ALL""",
-    "entrypoints",
-    "dependencies",
-)
-def data_flow_trace(p):
-    return _data_flow(p, 2)
-
-
-@query()
-def data_flow_trace_whole(p):
-    return _data_flow(p, 8)
-
-
-def _data_flow(p, depth: int):
-    d = p.dependencies.select(F.col("from_id").alias("caller"), F.col("to_id").alias("callee"), "kind").distinct()
-    none = F.create_map().cast("map<string,string>")
-    calls = d.select("caller", "callee", F.when(F.col("kind") == "ECONOMY", F.create_map(F.lit("ECONOMY"), F.lit("renamed"))).otherwise(none).alias("mapping"), F.when(F.col("kind") == "PROMO", F.array(F.lit("ECONOMY"), F.lit("renamed"))).otherwise(F.array().cast("array<string>")).alias("killed"))
-    return O.taint(p.entrypoints.select(F.col("id").alias("path_id"), "component_id", F.lit("ECONOMY").alias("name")), calls, depth)
-
-
 # ---- questions
 
 

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; where none is named, as in tests, one of our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/weftgraph-shared").rstrip("/")
+    """The folder that the cluster shares; where none is named, one of our own in local mode, else an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file:///tmp/weftgraph-shared"
+    return root.rstrip("/")
 
 
 def checkpointed(df: DataFrame, name: str) -> DataFrame:
