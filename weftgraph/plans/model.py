@@ -351,3 +351,91 @@ def pipeline_projection(p):
     seg = p.paths.select(F.col("entrypoint_id").alias("slice"), "id")
     bound = p.sinks.where("kind = 'MESSAGING'").join(p.paths.select(F.col("id").alias("path_id"), F.col("entrypoint_id").alias("slice")), "path_id").select("slice", "id")
     return V.project_pipeline(seg, bound, p.model_edges)
+
+
+# ---- names, identities, branching chains, links of every kind
+
+
+@query(
+    """+ r AS (SELECT 'r' || n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'I' ELSE '' END || 'E' || (n_nationkey % 8) || 'Repository' AS name, 'com.x' || (n_nationkey % 2) || CASE WHEN n_nationkey % 7 = 6 THEN '.dao.' ELSE '.repository.' END || 'T' || n_nationkey AS qualified_name FROM nation),
+k AS (SELECT 'com.x' || (n_nationkey % 2) || CASE n_nationkey % 3 WHEN 2 THEN '.other.' ELSE '.model.' END || 'E' || (n_nationkey % 8) || CASE WHEN n_nationkey % 3 = 1 THEN 'Entity' ELSE '' END AS qualified_name, 'E' || (n_nationkey % 8) || CASE WHEN n_nationkey % 3 = 1 THEN 'Entity' ELSE '' END AS name FROM nation),
+b AS (SELECT id, regexp_extract(qualified_name, '^(.*)\\.repository\\.', 1) AS base, regexp_replace(regexp_replace(name, '^I', ''), 'Repository$', '') AS x FROM r),
+c AS (SELECT id, q.qualified_name AS entity, 0 AS rank FROM b JOIN k q ON q.qualified_name = base || '.model.' || x WHERE base <> '' UNION SELECT id, q.qualified_name, 1 FROM b JOIN k q ON q.qualified_name = base || '.model.' || x || 'Entity' WHERE base <> '' UNION SELECT id, q.qualified_name, 2 FROM b JOIN k q ON q.name = x AND starts_with(q.qualified_name, base || '.') WHERE base <> '')
+SELECT r.id, (SELECT entity FROM c WHERE c.id = r.id ORDER BY rank, entity LIMIT 1) AS entity FROM r""",
+    "paths",
+)
+def repository_entities(p):
+    k, text = F.col("n_nationkey"), lambda c: c.cast("string")
+    n = p.table("nation")
+    repositories = n.select(F.concat(F.lit("r"), text(k)).alias("id"), F.concat(F.when(k % 3 == 0, "I").otherwise(""), F.lit("E"), text(k % 8), F.lit("Repository")).alias("name"), F.concat(F.lit("com.x"), text(k % 2), F.when(k % 7 == 6, ".dao.").otherwise(".repository."), F.lit("T"), text(k)).alias("qualified_name"))
+    name = F.concat(F.lit("E"), text(k % 8), F.when(k % 3 == 1, "Entity").otherwise(""))
+    known = n.select(F.concat(F.lit("com.x"), text(k % 2), F.when(k % 3 == 2, ".other.").otherwise(".model."), name).alias("qualified_name"), name.alias("name"))
+    return K.repository_entities(repositories, known)
+
+
+@query("SELECT id, 'investigations/impact/' || id || '-' || substr(sha256('{\"family\":\"impact\",\"request\":{\"component\":\"' || id || '\",\"maxDepth\":4}}'), 1, 12) || '.md' AS path FROM components", "components")
+def concept_paths(p):
+    key = F.sha2(F.to_json(F.struct(F.lit("impact").alias("family"), F.struct(F.col("id").alias("component"), F.lit(4).alias("maxDepth")).alias("request"))), 256)
+    return p.components.select("id", F.concat(F.lit("investigations/impact/"), "id", F.lit("-"), F.substring(key, 1, 12), F.lit(".md")).alias("path"))
+
+
+_BRANCHES = "SELECT DISTINCT 'path:' || cast(o_orderkey as string) AS from_path, 'path:' || cast(nxt as string) AS to_path FROM (SELECT o_orderkey, lead(o_orderkey, 1) OVER w AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate, o_orderkey) UNION ALL SELECT o_orderkey, lead(o_orderkey, 2) OVER w FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate, o_orderkey)) o WHERE nxt IS NOT NULL"
+
+
+def _branching(p):
+    from weftgraph.operators import chains as C
+
+    paths, _ = _chain_parts(p)
+    links = p.spark.sql(_BRANCHES.replace("FROM orders", "FROM {o}"), o=p.table("orders"))
+    return C.chains(paths, links)
+
+
+def _branching_sql() -> str:
+    from weftgraph.plans.registry import _CHAIN_LINKS
+
+    return _CHAINS.replace(_CHAIN_LINKS, _BRANCHES)
+
+
+@query(_branching_sql() + " SELECT array_to_string(ids, '>') AS ids FROM chains", "paths")
+def branching_chains(p):
+    return _branching(p).select(F.array_join("ids", ">").alias("ids"))
+
+
+@query(_branching_sql() + ", left_over AS (SELECT * FROM chains c WHERE NOT EXISTS (SELECT 1 FROM chains d WHERE len(d.ids) > len(c.ids) AND d.ids[1] = c.ids[1] AND d.ids[1:len(c.ids) - 1] = c.ids[1:len(c.ids) - 1])) SELECT array_to_string(eps, '>') AS eps, array_to_string(min(ids), '>') AS ids FROM left_over GROUP BY eps", "paths")
+def branching_chains_reduced(p):
+    """Prefixes removed, then one chain for each sequence of entrypoints."""
+    from weftgraph.operators import chains as C
+
+    out = C.without_duplicates(C.without_prefixes(_branching(p)))
+    return out.select(F.array_join("eps", ">").alias("eps"), F.array_join("ids", ">").alias("ids"))
+
+
+_KEY = "CASE WHEN %sbroker IS NOT NULL THEN upper(%sbroker) || ':' || coalesce(%stopic, %schannel) END"
+
+
+def _all_links_sql() -> str:
+    from weftgraph.plans.registry import _WORKFLOW
+
+    kinds = f"""links0 AS (SELECT DISTINCT a.id AS sink_id, a.path_id, b.path_id AS target FROM s a JOIN s b ON a.owner_id = b.owner_id AND a.field = b.field WHERE a.kind = 'STORE' AND b.kind = 'PERSISTENCE' AND a.path_id <> b.path_id AND a.entrypoint_id <> b.entrypoint_id),
+bus AS (SELECT s.id AS sink_id, s.path_id, x.id AS target FROM sinks s JOIN entrypoints e ON e.channel = s.channel AND e.type = 'EVENT_BUS_CONSUMER' JOIN paths x ON x.entrypoint_id = e.id WHERE s.kind = 'EVENT_BUS' AND x.id <> s.path_id),
+msg AS (SELECT s.id AS sink_id, s.path_id, x.id AS target FROM sinks s JOIN entrypoints e ON e.type = 'MESSAGING_CONSUMER' AND {_KEY.replace('%s', 'e.')} = {_KEY.replace('%s', 's.')} JOIN paths x ON x.entrypoint_id = e.id WHERE s.kind = 'MESSAGING' AND x.id <> s.path_id),
+per AS (SELECT w.id AS sink_id, w.path_id, r.path_id AS target FROM s w JOIN s r ON w.entity = r.entity JOIN entrypoints e ON e.id = r.entrypoint_id WHERE w.kind = 'PERSISTENCE' AND r.kind = 'PERSISTENCE' AND w.operation = 'save' AND r.operation = 'findById' AND w.path_id <> r.path_id AND e.type NOT IN ('REST_ENDPOINT', 'GRPC_METHOD')),
+links AS (SELECT * FROM links0 UNION SELECT * FROM bus UNION SELECT * FROM msg UNION SELECT * FROM per)"""
+    a, b = _WORKFLOW.index("links AS (SELECT DISTINCT"), _WORKFLOW.index(", pe AS (")
+    return _WORKFLOW[:a] + kinds + _WORKFLOW[b:]
+
+
+@query(_all_links_sql() + " SELECT kind, from_path, to_path, sink_id, confidence FROM wl", "sinks", "paths", "entrypoints")
+def workflow_links_all(p):
+    """Links of every kind: state handoffs, event bus, messages and persistence."""
+    of = p.paths.select(F.col("id").alias("target"), "entrypoint_id")
+    first = p.sinks
+    bus = first.where("kind = 'EVENT_BUS'").select(F.col("id").alias("sink_id"), "path_id", "channel").join(p.entrypoints.where("type = 'EVENT_BUS_CONSUMER'").select("channel", F.col("id").alias("entrypoint_id")), "channel").join(of, "entrypoint_id")
+    key = F.when(F.col("broker").isNotNull(), F.concat(F.upper("broker"), F.lit(":"), F.coalesce("topic", "channel")))
+    msg = first.where("kind = 'MESSAGING'").select(F.col("id").alias("sink_id"), "path_id", key.alias("key")).join(p.entrypoints.where("type = 'MESSAGING_CONSUMER'").select(key.alias("key"), F.col("id").alias("entrypoint_id")), "key").join(of, "entrypoint_id")
+    s = p.sinks.join(p.paths.select(F.col("id").alias("path_id"), "entrypoint_id"), "path_id")
+    per = L.persistence_links(s, p.entrypoints)
+    per = per.join(p.sinks.select(F.col("id").alias("writer"), "path_id"), "writer").join(p.sinks.select(F.col("id").alias("reader"), F.col("path_id").alias("target")), "reader").select(F.col("writer").alias("sink_id"), "path_id", "target")
+    cols = ["sink_id", "path_id", "target"]
+    links = _store_links(p).select(cols).union(bus.select(cols)).union(msg.select(cols)).union(per).where("path_id <> target").distinct()
+    return L.workflow_links(links, p.sinks, p.paths, p.entrypoints)

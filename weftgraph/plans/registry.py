@@ -90,7 +90,7 @@ def find_edges_default_limit(p):
 
 @query("SELECT src, dst, label, min(ord) AS ord FROM edges WHERE label = 'SUPPLIED_BY' GROUP BY src, dst, label", "edges")
 def find_edges_between(p):
-    return S.edges_between(p.edges, p.nodes.where("label in ('Part', 'Supplier')"), ("SUPPLIED_BY", "HAS_ITEM"))
+    return S.edges_between(p.edges, p.nodes.where("label in ('Part', 'Supplier')"), ("SUPPLIED_BY", "HAS_ITEM")).select("src", "dst", "label", "ord")
 
 
 @query("SELECT count(*) AS n FROM nodes WHERE lower(label) = 'order'", "nodes")
@@ -281,7 +281,7 @@ def reachable_both(p):
 
 @query("+ start AS (SELECT 'comp:7' AS id, 0 AS hop), " + _walks("SELECT DISTINCT from_id AS a, to_id AS b FROM dependencies", 2) + " SELECT from_id AS src, to_id AS dst, 'DEPENDS_ON' AS label, min(ord) AS ord FROM dependencies WHERE from_id IN (SELECT id FROM w) AND to_id IN (SELECT id FROM w) AND from_id <> to_id GROUP BY ALL", "dependencies")
 def dependency_closure(p):
-    return T.dependency_closure(p.dependency_edges, _ids(p, "comp:7"), 2)
+    return T.dependency_closure(p.dependency_edges, _ids(p, "comp:7"), 2).select("src", "dst", "label", "ord")
 
 
 @query("+ start AS (SELECT 'comp:7' AS id, 0 AS hop), " + _walks("SELECT DISTINCT from_id AS a, to_id AS b FROM dependencies", 1) + " SELECT DISTINCT from_id AS src, to_id AS dst FROM dependencies WHERE from_id IN (SELECT id FROM w)", "dependencies")
