@@ -161,7 +161,8 @@ def test_decontamination(spark):
 
 
 def test_more_tables_for_more_recall():
-    assert decontam.tables_for(0.99, 0.6, 2) == 27 and decontam.tables_for(0.999, 0.6, 2) > 27
+    few, many = decontam.tables_for(20, 4, 0.9, 2), decontam.tables_for(20, 4, 0.999, 2)
+    assert 1 == decontam.tables_for(4, 0, 0.99, 2) < few < many < decontam.tables_for(200, 40, 0.999, 2)
 
 
 @pytest.mark.parametrize("a,b,most,want", [([1, 2, 3], [1, 3], 2, 1), ([], [1], 1, 1), ([1], [2], 0, 1), ([1, 2, 3, 4], [4, 3, 2, 1], 1, 2)])
