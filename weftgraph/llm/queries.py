@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, decontam, lang_id, license_scan, line_dedup, media_jpeg, near_dup, substring, toxicity, warc
+from weftgraph.llm import bpe, decontam, exponion, lang_id, license_scan, line_dedup, media_jpeg, near_dup, simhash, substring, toxicity, warc, whitening
 from weftgraph.llm._rows import documents
 
 
@@ -63,5 +63,20 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("items").alias("i")).select("doc_id", "i.item_id", "i.start_word", "i.edits")
 
 
-QUERIES = {"op8_license_scan": op8_license_scan, "op6_warc": op6_warc, "op9_toxicity": op9_toxicity, "op1_language_id": op1_language_id, "op4_decontam": op4_decontam, "op2_line_dedup": op2_line_dedup, "op5_near_dup": op5_near_dup, "op7_substring_dedup": op7_substring_dedup, "op3_progressive_jpeg": op3_progressive_jpeg, "op10_byte_bpe": op10_byte_bpe}
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op6_warc": warc.SQL, "op8_license_scan": license_scan.sql()}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.classes(documents(spark, sf_dir))
+
+
+def op12_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and sums of distances of every whole vector of 64 components."""
+    return exponion.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened components of every whole vector."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {"op8_license_scan": op8_license_scan, "op6_warc": op6_warc, "op9_toxicity": op9_toxicity, "op1_language_id": op1_language_id, "op4_decontam": op4_decontam, "op2_line_dedup": op2_line_dedup, "op5_near_dup": op5_near_dup, "op7_substring_dedup": op7_substring_dedup, "op3_progressive_jpeg": op3_progressive_jpeg, "op10_byte_bpe": op10_byte_bpe, "op11_simhash": op11_simhash, "op12_exponion": op12_exponion, "op13_whitening": op13_whitening}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op6_warc": warc.SQL, "op8_license_scan": license_scan.sql(), "op12_exponion": exponion.sql()}
