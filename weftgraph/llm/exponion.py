@@ -194,13 +194,13 @@ def cluster(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
 def sql(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64, salt: str = "1:") -> str:
     """The same by plain scans of all centroids."""
     steps = [
-        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, c -> CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
-FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, c -> c IS NOT NULL AND isfinite(c))) = {dims})""",
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {dims})""",
         f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{salt}' || vec_id), x) - 1 AS c, x FROM v QUALIFY c < {k})",
     ]
     for i in range(rounds + 1):
         steps.append(
-            f"""a{i} AS MATERIALIZED (SELECT v.r, v.vec_id, v.x, c.c, CAST(list_sum(list_transform(list_zip(v.x, c.x), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+            f"""a{i} AS MATERIALIZED (SELECT v.r, v.vec_id, v.x, c.c, CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
 FROM v, c{i} c QUALIFY row_number() OVER (PARTITION BY v.r ORDER BY d, c.c) = 1)"""
         )
         if i < rounds:

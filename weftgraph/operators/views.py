@@ -54,8 +54,8 @@ def entity_budget(nodes: int, entrypoints: int, primary: int) -> int:
     return 0 if left <= 0 else min(left, min(4, max(1, nodes // 5)))
 
 
-def workspace(scored: DataFrame, entrypoints: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """role, position, id of a workspace of about `most` nodes.
+def workspace(scored: DataFrame, entrypoints: DataFrame, edges: DataFrame, most: int, scope: str | None = None) -> DataFrame:
+    """role, id of a workspace of about `most` nodes, of one application or of all.
 
     Entrypoints by kind and name within their budget; primary components, those first that own a chosen
     entrypoint or that such a one depends on; entities that touch a chosen component; then others to fill up.
@@ -65,6 +65,10 @@ def workspace(scored: DataFrame, entrypoints: DataFrame, edges: DataFrame, most:
 
     rank = F.coalesce(*(F.when(F.col("type") == t, i) for i, t in enumerate(ENTRYPOINT_RANKS)), F.lit(len(ENTRYPOINT_RANKS)))
     number = lambda df, role: df.select(F.lit(role).alias("role"), "id")
+    if scope:
+        owned = edges.where((F.col("label") == "OWNS") & (F.col("src") == scope)).select(F.col("dst").alias("id")).distinct()
+        scored = scored.join(owned, "id", "left_semi")
+        entrypoints = entrypoints.join(owned.withColumnRenamed("id", "component_id"), "component_id", "left_semi")
     eps = checkpointed(entrypoints.orderBy(rank, "name", "id").limit(entrypoint_budget(most)).select("id", "component_id"), "chosen")
     room = max(1, most - eps.count())
     owners = eps.select(F.col("component_id").alias("id")).distinct()

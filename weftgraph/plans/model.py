@@ -309,21 +309,33 @@ def cross_module_dependencies(p):
 _PRIMARY = "('" + "', '".join(V.PRIMARY_TYPES) + "')"
 
 
-@query(
-    _METRICS
-    + f""", ep AS (SELECT id, component_id FROM entrypoints ORDER BY CASE type WHEN 'MESSAGING_CONSUMER' THEN 0 WHEN 'SCHEDULER' THEN 1 WHEN 'REST_ENDPOINT' THEN 2 ELSE 4 END, name, id LIMIT 7),
-forced AS (SELECT component_id AS id FROM ep UNION SELECT to_id FROM dependencies WHERE from_id IN (SELECT component_id FROM ep)), prim AS (SELECT id FROM scored WHERE type IN {_PRIMARY} ORDER BY (id IN (SELECT id FROM forced)) DESC, {_RANK} LIMIT 14),
+def _workspace(most: int, scope: str | None = None) -> str:
+    """The budgets as the rule states them, each from the rows that were chosen before."""
+    owned = f" AND {{}} IN (SELECT dst FROM model_edges WHERE label = 'OWNS' AND src = '{scope}')" if scope else ""
+    return (
+        _METRICS
+        + f""", mine AS (SELECT * FROM scored WHERE true{owned.format("id")}), doors AS (SELECT * FROM entrypoints WHERE true{owned.format("component_id")}),
+ep AS (SELECT id, component_id FROM doors ORDER BY CASE type WHEN 'MESSAGING_CONSUMER' THEN 0 WHEN 'SCHEDULER' THEN 1 WHEN 'REST_ENDPOINT' THEN 2 WHEN 'MAIN_METHOD' THEN 3 ELSE 4 END, name, id LIMIT greatest(1, least(8, {most} // 3))),
+forced AS (SELECT component_id AS id FROM ep UNION SELECT to_id FROM dependencies WHERE from_id IN (SELECT component_id FROM ep)),
+prim AS (SELECT id FROM mine WHERE type IN {_PRIMARY} QUALIFY row_number() OVER (ORDER BY (id IN (SELECT id FROM forced)) DESC, {_RANK}) <= greatest(1, {most} - (SELECT count(*) FROM ep))),
+used AS (SELECT {most} - (SELECT count(*) FROM ep) - (SELECT count(*) FROM prim) AS room),
 touch AS (SELECT DISTINCT src, dst, label FROM model_edges WHERE label IN ('DEPENDS_ON', 'READS_STATE', 'WRITES_STATE', 'STARTS_AT') AND src <> dst), lk AS (SELECT id, count(*) AS links FROM (SELECT src AS id, dst AS other FROM touch UNION ALL SELECT dst, src FROM touch) t WHERE other IN (SELECT id FROM prim) GROUP BY id),
-ent AS (SELECT s.id FROM scored s JOIN lk ON lk.id = s.id WHERE type = 'ENTITY' ORDER BY links DESC, business_relevant DESC, noise_score, name LIMIT 0),
-fill AS (SELECT id FROM scored WHERE type <> 'ENTITY' AND id NOT IN (SELECT id FROM prim) ORDER BY noise_score, weight DESC, name LIMIT 7)
-SELECT 'entrypoint' AS role, id FROM ep UNION ALL SELECT 'primary', id FROM prim UNION ALL SELECT 'entity', id FROM ent UNION ALL SELECT 'fill', id FROM fill""",
-    *_SCORED,
-    "model_edges",
-)
+ent AS (SELECT s.id FROM mine s JOIN lk ON lk.id = s.id WHERE type = 'ENTITY' QUALIFY row_number() OVER (ORDER BY links DESC, business_relevant DESC, noise_score, name) <= (SELECT CASE WHEN room <= 0 THEN 0 ELSE least(room, 4, greatest(1, {most} // 5)) END FROM used)),
+have AS (SELECT id FROM prim UNION ALL SELECT id FROM ent), fill AS (SELECT id FROM mine WHERE type <> 'ENTITY' AND id NOT IN (SELECT id FROM have) QUALIFY row_number() OVER (ORDER BY noise_score, weight DESC, name) <= {most} - (SELECT count(*) FROM have))
+SELECT 'entrypoint' AS role, id FROM ep UNION ALL SELECT 'primary', id FROM prim UNION ALL SELECT 'entity', id FROM ent UNION ALL SELECT 'fill', id FROM fill"""
+    )
+
+
+@query(_workspace(21), *_SCORED, "model_edges")
 def workspace_budget(p):
     return V.workspace(_scored(p), p.entrypoints, p.model_edges, 21)
 
 
+@query(_workspace(60, "app:3"), *_SCORED, "model_edges")
+def workspace_of_application(p):
+    return V.workspace(_scored(p), p.entrypoints, p.model_edges, 60, "app:3")
+
+
 @query("SELECT DISTINCT lower(b) || '_flow' AS view, 'topic:' || b || ':' || channel AS source, component_id AS target, 'consumes ' || channel AS title FROM (SELECT *, coalesce(broker, 'UNKNOWN') AS b FROM entrypoints WHERE type = 'MESSAGING_CONSUMER') e", "entrypoints")
 def broker_views(p):
     return V.broker_views(p.entrypoints)
