@@ -171,6 +171,103 @@ FROM part {_N}"""
 #: Types and what they extend or implement: a tree.
 TYPES_FACTS = "SELECT s_suppkey AS ord, 'type:' || cast(s_suppkey as string) AS id, CASE WHEN s_suppkey > 0 THEN 'type:' || cast(cast(floor((s_suppkey - 1) / 3) as bigint) as string) END AS extends, s_suppkey % 4 <> 3 AS concrete FROM supplier"
 
+#: Facts about source code.  Lists are joined by commas.
+CODE_TYPES = """
+SELECT 'type:' || cast(s_suppkey as string) AS id, CASE WHEN s_suppkey % 9 <> 8 THEN 'comp:' || cast(s_suppkey as string) END AS component_id, s_suppkey % 4 = 3 AS abstract FROM supplier
+UNION ALL SELECT 'type:wide', 'comp:wide', true UNION ALL SELECT 'type:open', NULL, true UNION ALL SELECT 'type:lone', 'comp:lone', true"""
+
+CODE_SUPERTYPES = f"""
+SELECT 'type:' || cast(s_suppkey as string) AS type, 'type:' || cast(cast(floor((s_suppkey - 1) / 3) as bigint) as string) AS supertype, true AS is_class FROM supplier WHERE s_suppkey > 3
+UNION ALL SELECT 'type:' || cast(s_suppkey as string), 'type:' || cast((s_suppkey * 5 + 2) % n as string), false FROM supplier {_N} WHERE s_suppkey % 6 = 0
+UNION ALL SELECT 'type:' || cast(s_suppkey as string), 'type:wide', false FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT 'type:' || cast(s_suppkey as string), 'type:open', false FROM supplier WHERE s_suppkey = 5"""
+
+CODE_FIELDS = f"""
+SELECT p_partkey AS ord, 'type:' || cast((p_partkey * 3) % n as string) AS owner, 'f' || cast(cast(floor(p_partkey / n) as bigint) % 8 as string) AS name, 'Type' || cast(p_partkey % 30 as string) || {_pick(("", "Cache", "Store", "Log"), "p_partkey")} AS type_name,
+  CASE p_partkey % 10 WHEN 9 THEN NULL WHEN 8 THEN 'type:wide' WHEN 7 THEN 'type:open' WHEN 6 THEN 'type:lone' WHEN 5 THEN 'lib:Map' ELSE 'type:' || cast((p_partkey * p_size + p_partkey) % n as string) END AS declared,
+  CASE WHEN p_partkey % 6 = 0 THEN 'type:' || cast((p_partkey + 1) % n as string) END AS allocated,
+  CASE WHEN p_partkey % 5 = 4 THEN 'type:' || cast(p_partkey % n as string) || ',type:' || cast((p_partkey + 2) % n as string) END AS elements,
+  CASE WHEN p_partkey % 10 IN (5, 9) THEN 'type:' || cast((p_partkey + 3) % n as string) END AS injected FROM part {_N}"""
+
+CODE_LOCALS = f"""
+SELECT c_custkey AS ord, 'type:' || cast((c_custkey * 7) % n as string) AS owner, 'm' || cast(c_custkey % 6 as string) AS method, 'v' || cast(c_custkey % 5 as string) AS name,
+  CASE WHEN c_custkey % 3 = 0 THEN 'type:' || cast((c_custkey * 3 + 1) % n as string) END AS allocated,
+  CASE WHEN c_custkey % 9 = 1 THEN 'type:' || cast(c_custkey % n as string) || ',type:' || cast((c_custkey + 5) % n as string) END AS elements,
+  CASE WHEN c_custkey % 9 = 2 THEN 'v' || cast((c_custkey + 1) % 5 as string) WHEN c_custkey % 9 = 4 THEN 'f' || cast(c_custkey % 8 as string) END AS iterates FROM customer {_N}"""
+
+CODE_METHODS = f"""
+SELECT 'type:' || cast(p_partkey % n as string) AS owner, CASE p_partkey % 6 WHEN 0 THEN 'acc' || cast(p_partkey % 40 as string) WHEN 1 THEN 'get' ELSE 'm' || cast(p_partkey % 12 as string) END AS name FROM part {_N}"""
+
+CODE_CALLS = f"""
+SELECT o_orderkey AS ord, 'type:' || cast(o_custkey % n as string) AS owner, 'm' || cast(o_orderkey % 6 as string) AS method, CASE o_orderkey % 8 WHEN 1 THEN 'put' WHEN 3 THEN 'size' ELSE 'm' || cast(o_orderkey % 12 as string) END AS callee,
+  CASE o_orderkey % 7 WHEN 0 THEN 'array' WHEN 1 THEN 'call' WHEN 2 THEN 'variable' WHEN 3 THEN 'field' WHEN 4 THEN 'this' WHEN 5 THEN 'call' END AS target,
+  CASE o_orderkey % 7 WHEN 0 THEN 'f' || cast(o_custkey % 9 as string) WHEN 2 THEN CASE WHEN o_custkey % 2 = 0 THEN 'v' || cast(o_custkey % 5 as string) ELSE 'f' || cast(o_custkey % 8 as string) END WHEN 3 THEN 'f' || cast(o_custkey % 10 as string) END AS name,
+  CASE WHEN o_orderkey % 7 IN (1, 5) THEN CASE o_custkey % 5 WHEN 0 THEN 'get' ELSE 'acc' || cast(o_custkey % 50 as string) END END AS accessor,
+  CASE WHEN o_orderkey % 7 = 5 THEN CASE o_custkey % 3 WHEN 0 THEN 'lib:Map' ELSE 'type:' || cast((o_custkey * 2) % n as string) END END AS accessor_type,
+  CASE WHEN o_orderkey % 7 IN (2, 3) AND o_custkey % 4 <> 1 THEN 'type:' || cast((o_custkey + 4) % n as string) END AS declared,
+  CASE WHEN o_orderkey % 11 = 3 THEN 'arm:' || cast(o_custkey % 3 as string) END AS arm, CASE WHEN o_orderkey % 5 = 2 THEN 'x' || cast(o_custkey % 3 as string) END AS assigned
+FROM orders {_N}"""
+
+_M = "CROSS JOIN (SELECT count(*) AS m FROM orders) j"
+
+#: Expressions of source code and where their values come from; outbound sites whose topic is one of them.
+CODE_EXPRESSIONS = f"""
+SELECT 'x:' || cast(o_orderkey as string) AS id, CASE o_orderkey % 7 WHEN 0 THEN 'literal' WHEN 1 THEN 'field' WHEN 2 THEN 'local' WHEN 3 THEN 'param' WHEN 4 THEN 'param' WHEN 5 THEN 'call' ELSE 'other' END AS kind,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'topic' || cast(o_custkey % 40 as string) END AS value,
+  CASE WHEN o_orderkey % 7 IN (1, 2) THEN 'x:' || cast(CASE WHEN o_custkey % 5 = 0 THEN o_orderkey - o_orderkey % 7 WHEN o_custkey % 5 = 1 THEN o_orderkey + 1 ELSE cast(floor(o_orderkey / 2) as bigint) END as string) END AS init,
+  'type:' || cast(o_custkey % n as string) AS owner, 'm' || cast(o_custkey % 6 as string) AS method, o_custkey % 2 AS position, o_orderkey % 7 = 4 AS message,
+  CASE WHEN o_orderkey % 7 = 5 THEN 'type:' || cast(o_custkey % n as string) END AS receiver_type, 'acc' || cast((o_custkey * 6) % 40 as string) AS callee FROM orders {_N}"""
+
+CODE_ARGUMENTS = f"""
+SELECT 'call:' || cast(c_custkey as string) AS call, 'type:' || cast((c_custkey * 3) % n as string) AS owner, 'm' || cast(c_custkey % 6 as string) AS method, k.at AS position, 2 AS arity,
+  'x:' || cast((c_custkey * 11 + k.at * 4) % m as string) AS expression, 'type:' || cast((c_custkey * 5 + k.at) % n as string) AS type, 'type:' || cast(c_custkey % n as string) AS caller, 'm' || cast((c_custkey + 1) % 6 as string) AS caller_method
+FROM customer CROSS JOIN (SELECT 0 AS at UNION ALL SELECT 1) k {_N.replace("k", "q")} {_M}"""
+
+CODE_HEADERS = f"""
+SELECT 'type:' || cast(c_custkey % n as string) AS caller, 'm' || cast((c_custkey + 1) % 6 as string) AS caller_method, 'x:' || cast((c_custkey * 13) % m as string) AS expression FROM customer {_N} {_M} WHERE c_custkey % 4 = 0"""
+
+CODE_RETURNS = f"""
+SELECT 'type:' || cast(p_partkey % n as string) AS owner, 'acc' || cast(p_partkey % 40 as string) AS method, 'x:' || cast((p_partkey * 3) % m as string) AS expression FROM part {_N} {_M}"""
+
+CODE_SITES = f"""
+SELECT 'site:' || cast(c_custkey as string) AS id, 'type:' || cast((c_custkey * 3) % n as string) AS owner, 'm' || cast(c_custkey % 6 as string) AS method, CASE WHEN c_custkey % 8 = 0 THEN 'fixed' || cast(c_custkey % 9 as string) END AS topic,
+  CASE WHEN c_custkey % 8 = 0 THEN 'LITERAL' WHEN c_custkey % 5 = 1 THEN 'PARAM_REF' WHEN c_custkey % 5 = 2 THEN 'METHOD_CALL' ELSE 'OTHER' END AS kind, CASE WHEN c_custkey % 9 <> 4 THEN 'x:' || cast((c_custkey * 7 + 3) % m as string) END AS expression,
+  CASE WHEN c_custkey % 5 IN (1, 2) THEN c_custkey % 2 END AS position, CASE WHEN c_custkey % 5 = 2 THEN 'acc' || cast(c_custkey % 40 as string) END AS accessor, 2 AS arity, 'type:' || cast((c_custkey * 2) % n as string) AS param_type,
+  CASE WHEN c_custkey % 3 = 0 THEN 'flow' END AS evidence FROM customer {_N} {_M}"""
+
+#: Types as classes with names, their members and annotations; fields and signatures that make dependencies.  Lists are joined by commas.
+CODE_CLASSES = f"""
+SELECT 'type:' || cast(s_suppkey as string) AS id, {_pick(("Order", "OrderService", "UserRepository", "PriceDao", "StockClient", "PageRenderer", "TextUtils"), "s_suppkey")} AS name,
+  'com.acme.' || {_pick(("core", "model", "util", "dto", "web"), "s_suppkey")} || '.T' || cast(s_suppkey as string) AS qualified_name, s_suppkey % 4 = 3 AS interface,
+  CASE s_suppkey % 6 WHEN 0 THEN 'CommandLineRunner' WHEN 1 THEN 'BindableService' WHEN 2 THEN 'PostInsertEventListener,Serializable' WHEN 3 THEN 'Object' ELSE '' END AS parents FROM supplier"""
+
+CODE_MEMBERS = f"""
+SELECT 'type:' || cast(p_partkey % n as string) AS type, CASE j WHEN 0 THEN 'main' WHEN 1 THEN 'run' WHEN 2 THEN 'onPostInsert' WHEN 3 THEN 'onMessage' WHEN 4 THEN 'bindService' ELSE 'm' || cast(j as string) END AS name,
+  CASE WHEN j % 5 = 4 AND j > 4 THEN 'field' ELSE 'method' END AS kind, p_partkey % 3 = 0 AS static, p_partkey % 2 = 0 AS public, CASE WHEN p_partkey % 11 = 0 THEN 'SseEventSink' ELSE 'void' END AS type_name,
+  CASE WHEN p_partkey % 13 = 0 THEN 'String,Sse' WHEN p_partkey % 13 < 6 THEN 'String' END AS parameter_types FROM (SELECT p_partkey, n, cast(floor(p_partkey / n) as bigint) AS j FROM part {_N}) p"""
+
+CODE_ANNOTATIONS = f"""
+SELECT p_partkey AS ord, type, member, name, CASE name WHEN 'GetMapping' THEN CASE WHEN h = 0 THEN 'value' ELSE 'path' END WHEN 'PostMapping' THEN 'value' WHEN 'RequestMapping' THEN 'method' WHEN 'Scheduled' THEN CASE h WHEN 0 THEN 'cron' WHEN 1 THEN 'fixedRateString' ELSE 'every' END
+    WHEN 'KafkaListener' THEN CASE WHEN h = 0 THEN 'topics' ELSE 'topicPattern' END WHEN 'RabbitListener' THEN 'queues' WHEN 'JmsListener' THEN 'destination' WHEN 'Incoming' THEN 'value' WHEN 'Outgoing' THEN 'value' END AS attribute,
+  CASE name WHEN 'RequestMapping' THEN CASE h WHEN 0 THEN 'RequestMethod.PUT' ELSE 'ANY' END WHEN 'JmsListener' THEN CASE h WHEN 0 THEN ' ' ELSE 'queue' END ELSE CASE h WHEN 0 THEN '/list/' WHEN 1 THEN 'items' ELSE '//deep//' END || cast(p_partkey % 50 as string) END AS value
+FROM (SELECT p_partkey, 'type:' || cast(p_partkey % n as string) AS type, CASE j WHEN 0 THEN 'main' WHEN 1 THEN 'run' WHEN 2 THEN 'onPostInsert' WHEN 3 THEN 'onMessage' WHEN 4 THEN 'bindService' ELSE 'm' || cast(j as string) END AS member, cast(floor(p_partkey / 13) as bigint) % 3 AS h,
+  {_pick(("GetMapping", "PostMapping", "RequestMapping", "Scheduled", "KafkaListener", "RabbitListener", "JmsListener", "GET", "POST", "Incoming", "Outgoing", "OnMessage", "KafkaHandler"), "p_partkey")} AS name FROM (SELECT p_partkey, n, cast(floor(p_partkey / n) as bigint) AS j FROM part {_N}) p) q
+UNION ALL SELECT p_partkey + {_RANK}, 'type:' || cast(p_partkey % n as string), CASE j WHEN 0 THEN 'main' WHEN 1 THEN 'run' WHEN 2 THEN 'onPostInsert' WHEN 3 THEN 'onMessage' WHEN 4 THEN 'bindService' ELSE 'm' || cast(j as string) END, CASE WHEN p_partkey % 6 = 0 THEN 'Produces' WHEN j % 5 = 4 THEN 'Channel' ELSE 'Path' END, 'value',
+  CASE WHEN p_partkey % 6 = 0 THEN 'text/event-stream' ELSE 'p' || cast(p_partkey % 20 as string) END FROM (SELECT p_partkey, n, cast(floor(p_partkey / n) as bigint) AS j FROM part {_N}) p WHERE p_partkey % 3 = 0
+UNION ALL SELECT s_suppkey + {2 * _RANK}, 'type:' || cast(s_suppkey as string), NULL, name, CASE name WHEN 'KafkaListener' THEN 'topics' WHEN 'Path' THEN 'value' WHEN 'ServerEndpoint' THEN 'value' END, CASE name WHEN 'KafkaListener' THEN 'all' ELSE '/base//' || cast(s_suppkey as string) END FROM (SELECT s_suppkey,
+  {_pick(("Entity", "SpringBootApplication", "FeignClient", "RestController", "Service", "Repository", "Configuration", "Component", "Path", "ServerEndpoint", "GrpcService", "ApplicationScoped", "Stateless", "Singleton", "MessageDriven", "RegisterRestClient", "KafkaListener", "Other"), "s_suppkey")} AS name FROM supplier) s
+UNION ALL SELECT s_suppkey + {3 * _RANK}, 'type:' || cast(s_suppkey as string), NULL, 'RequestMapping', 'value', 'api/' FROM supplier WHERE s_suppkey % 4 = 1"""
+
+CODE_HELD = f"""
+SELECT p_partkey AS ord, 'type:' || cast(p_partkey % n as string) AS owner, CASE WHEN p_partkey % 5 = 0 THEN 'api:' || cast((p_partkey * p_size) % n as string) ELSE 'type:' || cast((p_partkey * p_size + 1) % n as string) END AS type,
+  CASE p_partkey % 8 WHEN 0 THEN 'Inject' WHEN 1 THEN 'Deprecated,Autowired' WHEN 2 THEN 'Deprecated' END AS annotations, p_partkey % 3 = 0 AS is_final FROM part {_N}"""
+
+CODE_SIGNATURES = f"""SELECT p_partkey AS ord, 'type:' || cast((p_partkey * 3) % n as string) AS owner, 'type:' || cast((p_partkey + p_size) % n as string) AS type FROM part {_N} WHERE p_partkey % 2 = 0"""
+
+CODE_APIS = f"""
+SELECT 'type:' || cast(s_suppkey as string) AS type, 'api:' || cast(cast(floor(s_suppkey / 2) as bigint) as string) AS supertype, false AS is_class FROM supplier WHERE s_suppkey % 5 <> 0
+UNION ALL SELECT 'type:' || cast(s_suppkey as string), 'api:' || cast(s_suppkey as string), true FROM supplier"""
+
 _MODEL_NODE = "SELECT cast({rank} * 17592186044416 as bigint) + ord AS ord, {id} AS id, '{label}' AS label, {name} AS name FROM ({sub}) x"
 _MODEL_EDGE = "SELECT cast({rank} * 17592186044416 as bigint) + ord AS ord, {src} AS src, {dst} AS dst, '{label}' AS label, {detail} AS detail FROM ({sub}) x"
 
@@ -224,7 +321,9 @@ MODEL_EDGES = _model(
 STATEMENTS = {
     "nodes": NODES, "edges": EDGES, "components": COMPONENTS, "entrypoints": ENTRYPOINTS, "dependencies": DEPENDENCIES, "accesses": ACCESSES, "paths": PATHS, "sinks": SINKS, "steps": STEPS,
     "calls": CALLS, "tracked": TRACKED, "field_access": FIELD_ACCESS, "sites": SITES, "apps": APPS, "interfaces": INTERFACES, "config": CONFIG, "units": UNITS, "unit_entities": UNIT_ENTITIES,
-    "datasources": DATASOURCES, "method_facts": METHOD_FACTS, "type_facts": TYPES_FACTS, "model_nodes": MODEL_NODES, "model_edges": MODEL_EDGES,
+    "datasources": DATASOURCES, "method_facts": METHOD_FACTS, "type_facts": TYPES_FACTS, "code_types": CODE_TYPES, "code_supertypes": CODE_SUPERTYPES, "code_fields": CODE_FIELDS, "code_locals": CODE_LOCALS, "code_methods": CODE_METHODS,
+    "code_calls": CODE_CALLS, "code_expressions": CODE_EXPRESSIONS, "code_arguments": CODE_ARGUMENTS, "code_headers": CODE_HEADERS, "code_returns": CODE_RETURNS, "code_sites": CODE_SITES,
+    "code_classes": CODE_CLASSES, "code_members": CODE_MEMBERS, "code_annotations": CODE_ANNOTATIONS, "code_held": CODE_HELD, "code_signatures": CODE_SIGNATURES, "code_apis": CODE_APIS, "model_nodes": MODEL_NODES, "model_edges": MODEL_EDGES,
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
