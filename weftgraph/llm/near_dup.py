@@ -7,15 +7,18 @@
 2. Each text gives bands * rows consistent samples (Ioffe's improved CWS): the share of equal samples
    of two texts is their weighted Jaccard similarity.  `rows` samples make a band key.
 3. Texts that are equal are one node.  In every bucket of a band the members are compared with its most
-   central member, by the exact weighted Jaccard similarity.  Two members that are not linked by this can
-   only be similar if their differences from that leader have enough in common (`_unlinked`); the pairs
-   of which this holds are verified too.  So every similar pair of a bucket is linked, and a large group
-   costs one comparison a member and not one a pair.
+   central member, by the exact weighted Jaccard similarity, and with the group's centre: the shingles that
+   most of a few members hold.  Two members that are not linked by this can only be similar if both are near
+   the centre, or if their differences from it have enough in common (`_Group`).  Those near it are linked
+   through the nearest.  Members that share a difference are compared with one of them first (`_stars`),
+   and only where that leaves them in different classes the pairs among them are verified (`_rest`).  So
+   every similar pair of a bucket ends in one class, and copies that were edited apart, each in its own
+   way, cost a few comparisons a member and not one a pair.
 4. Connected components of the verified pairs are the classes.
 
 Defined results: null and empty texts are equal to each other and to nothing else; repeated rows share
 a class; a class is named by its smallest doc_id (null only if all are null).  Other columns are ignored
-by `classes`; `keep` passes them on (a column named `_key` must not be among them).
+by `classes`; `keep` passes them on, whatever they are called.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ from weftgraph.llm._words import Words, mix, run_starts, runs
 BUCKETS = 1 << 18
 #: Members that are compared with one copy of their leader.
 SHARE = 500
+#: Members, about, that tell the centre of a group.  Any centre gives the same classes; a good one saves comparisons.
+SAMPLE = 12
+#: Rounds in which members that share a difference are compared with one of them.
+STARS = 2
 _T = 1 << 16
 
 
@@ -148,59 +155,129 @@ def signatures(df: DataFrame, idf, id_col: str, text_col: str, words: int, bands
     return map_texts(df, id_col, text_col, step, "doc_id long, node binary, total double, keys array<long>", setup)
 
 
-def _differences(lead: tuple, other: tuple, idf: np.ndarray, similarity: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """cost, features and slack of a text against its leader; see `_unlinked`.
+def _centre(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that more than half of the sets hold, each with the median of its weights."""
+    kinds, weights = np.concatenate([k for k, _ in sets]), np.concatenate([w for _, w in sets])
+    order = np.lexsort((weights, kinds))
+    kinds, weights = kinds[order], weights[order]
+    found, first, n = np.unique(kinds, return_index=True, return_counts=True)
+    most = n * 2 > len(sets)
+    return found[most], weights[(first + n // 2)[most]]
 
-    A feature is a shingle that weighs more than in the leader, or one that weighs less.  Features are in
-    one global order (added ones first, rare ones first); the slack of a feature is what it and the later
-    ones weigh, less the text's cost.  Features too late in the order for any partner are left out.
+
+class _Group:
+    """The members of one leader, by their differences from a centre.
+
+    Against a centre C, a text x lacks weight M and adds weight E.  With c = s / (1 + s) for the similarity s,
+    let cost(x) = (1 - c) M + c E - (1/2 - c) |C|.  Two texts are similar if and only if what their
+    differences from C have in common weighs cost(x) + cost(y) at least.  So two texts whose costs add up to
+    0 or less are similar; each of them is then similar to the member of the smallest cost as well.  Any
+    others share a difference, and at the first one they share both have slack for the other's cost.
+    No cost is below -(1/2 - c) |C|, called -radius here.
     """
-    kinds = np.union1d(lead[0], other[0])
-    change = np.zeros(len(kinds))
-    change[np.searchsorted(kinds, other[0])] = other[1]
-    change[np.searchsorted(kinds, lead[0])] -= lead[1]
-    kinds, change = kinds[change != 0], change[change != 0]
-    c, whole = similarity / (1 + similarity), float(lead[1].sum(dtype=np.float64))
-    missing, added, radius = -change[change < 0].sum(), change[change > 0].sum(), (0.5 - c) * whole
-    cost = (1 - c) * missing + c * added - radius
-    order = np.lexsort((kinds, -idf[_bucket(kinds)], change < 0))
-    sizes = np.abs(change[order])
-    rest = sizes.sum() - np.cumsum(sizes) + sizes + 1e-6 * whole
-    least = (1 + similarity) * (cost - radius) if cost > radius else cost + radius
-    n = int(np.searchsorted(-rest, -least, "right"))
-    feature = (kinds[order[:n]] & ~np.uint64(1)) | (change[order[:n]] < 0).astype(np.uint64)
-    return float(cost), feature.view(np.int64), rest[:n] - cost
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, similarity: float):
+        self.idf, self.similarity = idf, similarity
+        self.centre = _centre(sets) if len(sets) > 3 else sets[0]
+        self.c = similarity / (1 + similarity)
+        self.whole = float(self.centre[1].sum(dtype=np.float64))
+        self.radius = (0.5 - self.c) * self.whole
+        self.nearest = min(self._changes(s)[2] for s in sets)
+
+    def _changes(self, other: tuple) -> tuple[np.ndarray, np.ndarray, float]:
+        """Shingles that weigh more or less than in the centre, by how much, and the cost."""
+        kinds = np.union1d(self.centre[0], other[0])
+        change = np.zeros(len(kinds))
+        change[np.searchsorted(kinds, other[0])] = other[1]
+        change[np.searchsorted(kinds, self.centre[0])] -= self.centre[1]
+        kinds, change = kinds[change != 0], change[change != 0]
+        missing, added = -change[change < 0].sum(), change[change > 0].sum()
+        return kinds, change, float((1 - self.c) * missing + self.c * added - self.radius)
+
+    def differences(self, other: tuple) -> tuple[float, np.ndarray, np.ndarray]:
+        """cost, features and slack of a text.
+
+        A feature is a shingle that weighs more than in the centre, or one that weighs less.  Features are in
+        one global order (added ones first, rare ones first); the slack of a feature is what it and the later
+        ones weigh, less the text's cost.  Features too late in the order for any partner are left out: a
+        text near enough for the nearest member is linked to that one, so its partners are those that aren't.
+        """
+        kinds, change, cost = self._changes(other)
+        order = np.lexsort((kinds, -self.idf[_bucket(kinds)], change < 0))
+        sizes = np.abs(change[order])
+        near = 1e-6 * self.whole
+        rest = sizes.sum() - np.cumsum(sizes) + sizes + near
+        if cost <= -self.nearest - near:
+            least = cost - self.nearest
+        else:
+            least = (1 + self.similarity) * (cost - self.radius) if cost > self.radius else cost - self.radius
+        n = int(np.searchsorted(-rest, -max(least, 0), "right"))
+        feature = (kinds[order[:n]] & ~np.uint64(1)) | (change[order[:n]] < 0).astype(np.uint64)
+        return cost, feature.view(np.int64), rest[:n] - cost
+
+
+_COMPARED = "lead binary, node binary, similarity double, cost double, features array<long>, slack array<double>"
 
 
 def compare(pairs: DataFrame, texts: DataFrame, idf, words: int, similarity: float) -> DataFrame:
     """pairs: lead, node, alone.  Result: lead, node, similarity, and cost, features, slack where not alone.
 
-    Each text comes once to each of its leaders.  A leader of many is salted: its text goes to every
-    share of its members, theirs to one share each, and a task holds one leader's weights at a time.
+    Each text comes once to each of its leaders.  A leader of many is salted: its text and those of about
+    SAMPLE members, which tell the centre, go to every share of its members, the members to one share each.
+    A task holds one leader's sample at a time.  A leader that isn't alone is a row of its own group.
     """
-    shares = checkpointed(pairs.groupBy("lead").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")), "shares")
-    leaders = shares.select("lead", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("lead").alias("node"), F.lit(True).alias("alone"), F.lit(True).alias("leads"))
-    members = pairs.join(shares, "lead").select("lead", F.pmod(F.xxhash64("node"), "shares").cast("int").alias("share"), "node", "alone", F.lit(False).alias("leads"))
-    rows = leaders.unionByName(members).join(texts, "node").select("lead", "share", "leads", "node", "alone", "text")
-    rows = rows.repartition("lead", "share").sortWithinPartitions("lead", "share", F.desc("leads"))
+    counts = pairs.groupBy("lead").agg(F.count("*").alias("n"), F.min("alone").alias("alone_all"))
+    shares = checkpointed(counts.select("lead", "alone_all", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"), F.greatest(F.lit(1), F.floor(F.col("n") / SAMPLE)).alias("each")), "shares")
+    every = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    leaders = shares.select("lead", every, F.col("lead").alias("node"), F.col("alone_all").alias("alone"), F.lit(0).alias("role")).withColumn("own", F.col("share") == 0)
+    members = pairs.join(shares.drop("alone_all"), "lead").withColumn("at", F.pmod(F.xxhash64("node"), "shares").cast("int")).withColumn("tells", ~F.col("alone") & (F.pmod(F.xxhash64("node", "lead"), "each") == 0))
+    telling = members.where("tells").select("lead", every, "node", "alone", F.lit(1).alias("role"), "at").select("lead", "share", "node", "alone", "role", (F.col("share") == F.col("at")).alias("own"))
+    others = members.where("not tells").select("lead", F.col("at").alias("share"), "node", "alone", F.lit(2).alias("role"), F.lit(True).alias("own"))
+    rows = leaders.unionByName(telling).unionByName(others).join(texts, "node").select("lead", "share", "role", "own", "node", "alone", "text")
+    rows = rows.repartition("lead", "share").sortWithinPartitions("lead", "share", "role")
 
     def run(batches):
-        mine, table = None, idf.value
+        table, out = idf.value, []
+        leader, sample, waiting, group = None, [], [], None
+
+        def told(lead, node, alone, weights):
+            nonlocal group
+            if not alone and group is None:
+                group = _Group([leader, *sample], table, similarity)
+            extra = (None, None, None) if alone else group.differences(weights)
+            out.append((lead, node, weighted_jaccard(leader, weights), *extra))
+
+        def settle():
+            for w in waiting:
+                told(*w)
+            waiting.clear()
+
+        def batch_of():
+            kinds = (pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, kinds)], ["lead", "node", "similarity", "cost", "features", "slack"])
+            out.clear()
+            return made
+
         for batch in batches:
-            for part in slices(batch, 5):
-                lead, _, leads, node, alone, text = (c.to_pylist() for c in part.columns)
-                out = []
+            for part in slices(batch, 6):
+                lead, _, role, own, node, alone, text = (c.to_pylist() for c in part.columns)
                 for i, s in enumerate(_shingles([_lower(t) for t in text], words)):
                     weights = _weights(s, table)
-                    if leads[i]:
-                        mine = weights
-                        continue
-                    extra = (None, None, None) if alone[i] else _differences(mine, weights, table, similarity)
-                    out.append((lead[i], node[i], weighted_jaccard(mine, weights), *extra))
-                kinds = (pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, kinds)], ["lead", "node", "similarity", "cost", "features", "slack"])
-
-    return rows.mapInArrow(run, "lead binary, node binary, similarity double, cost double, features array<long>, slack array<double>")
+                    if role[i] == 0:
+                        settle()
+                        leader, sample, group = weights, [], None
+                    elif role[i] == 1:
+                        sample.append(weights)
+                    if role[i] == 2:
+                        settle()
+                        told(lead[i], node[i], alone[i], weights)
+                    elif own[i] and (role[i] == 1 or not alone[i]):
+                        waiting.append((lead[i], node[i], alone[i], weights))
+                yield batch_of()
+        settle()
+        yield batch_of()
+
+    return rows.mapInArrow(run, _COMPARED)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,27 +298,77 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _unlinked(compared: DataFrame, labels: DataFrame) -> DataFrame:
-    """lead, node: the pairs of members of one leader that can be similar without being in one class yet.
-
-    Against a leader L, a text x lacks weight M and adds weight E.  With c = s / (1 + s) for the similarity s,
-    let cost(x) = (1 - c) M + c E - (1/2 - c) |L|.  Two texts are similar if and only if what their
-    differences from L have in common weighs cost(x) + cost(y) at least.  Both similar to L: they are
-    linked already.  Otherwise cost(x) + cost(y) > 0, as no cost is below that of L itself, so they share a
-    feature, and at the first one they share both have slack for the other's cost.  A member is compared
-    with its leader only, and copies that were edited apart, each in its own way, meet nowhere.
-    """
+def _open(compared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of groups whose members are in more than one class, with their labels."""
     found = compared.where("features is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = found.groupBy("lead").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("lead")
-    found = found.join(mixed, "lead", "left_semi")
+    return found.join(mixed, "lead", "left_semi")
+
+
+def _near(found: DataFrame) -> DataFrame:
+    """lead, node: the member nearest to a group's centre with each one that is near enough for it and in another class."""
+    best = found.groupBy("lead").agg(F.min_by(F.struct(F.col("node").alias("star"), F.col("label").alias("its")), F.struct("cost", "node")).alias("b"), F.min("cost").alias("least"))
+    return found.join(best.select("lead", "least", "b.*"), "lead").where("label <> its and cost + least <= 0").select(F.col("star").alias("lead"), "node")
+
+
+def _shared(found: DataFrame) -> DataFrame:
+    """lead, feature, node, label, cost, slack: the differences that members of several classes share, with slack for each other."""
     rows = found.select("lead", "node", "label", "cost", F.explode(F.arrays_zip("features", "slack")).alias("f")).select("lead", "node", "label", "cost", F.col("f.features").alias("feature"), F.col("f.slack").alias("slack"))
     for _ in range(2):
         met = rows.groupBy("lead", "feature").agg(F.min("cost").alias("cheapest"), F.max("slack").alias("loosest"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
         rows = checkpointed(rows.join(met, ["lead", "feature"]).where("slack >= cheapest and cost <= loosest").select("lead", "feature", "node", "label", "cost", "slack"), "features")
+    return rows
+
+
+def _stars(shared: DataFrame, salt: int) -> DataFrame:
+    """lead, node: of each shared difference one member, the cheapest first and then others, with those it can be similar to."""
+    order = F.struct("cost", "node") if salt == 0 else F.struct(F.xxhash64("node", F.lit(salt)), "node")
+    best = shared.groupBy("lead", "feature").agg(F.min_by(F.struct(*(F.col(c).alias(f"{c}_a") for c in ("node", "label", "cost", "slack"))), order).alias("b")).select("lead", "feature", "b.*")
+    both = shared.join(best, ["lead", "feature"]).where("label_a <> label and slack_a >= cost and slack >= cost_a")
+    return both.select(F.col("node_a").alias("lead"), "node").distinct()
+
+
+def _rest(shared: DataFrame) -> DataFrame:
+    """lead, node: all pairs of members in different classes that share a difference and can be similar."""
     mine = [F.col(c).alias(f"{c}_a") for c in ("node", "label", "cost", "slack")]
-    both = rows.select("lead", "feature", *mine).join(rows, ["lead", "feature"])
+    both = shared.select("lead", "feature", *mine).join(shared, ["lead", "feature"])
     both = both.where("node_a < node and label_a <> label and slack_a >= cost and slack >= cost_a")
-    return both.select(F.col("node_a").alias("lead"), "node", F.lit(True).alias("alone")).distinct()
+    return both.select(F.col("node_a").alias("lead"), "node").distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label after some more links: the old classes are contracted to their labels first."""
+    ends = links.select("lead", "node").unionByName(links.select(F.col("node").alias("lead"), F.col("lead").alias("node"))).select(F.col("lead").alias("node")).distinct()
+    known = labels.unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+    known = checkpointed(known, "known")
+    of = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    roots = components(links.join(of("lead"), "lead").join(of("node"), "node").where("lead_label <> node_label").select("lead_label", "node_label").distinct())
+    return checkpointed(known.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+
+
+def _linked(compared: DataFrame, verify, similar: DataFrame) -> DataFrame:
+    """node, label of the classes of a first comparison's groups; `verify` keeps the similar ones of some pairs."""
+    labels, tried = components(similar), None
+    for step in range(STARS + 2):
+        found = checkpointed(_open(compared, labels), "open")
+        if found.isEmpty():
+            break
+        if step == 0:
+            pairs = _near(found)
+        else:
+            shared = _shared(found)
+            pairs = _stars(shared, step - 1) if step <= STARS else _rest(shared)
+        pairs = pairs.select(F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["lead", "node"], "left_anti")
+        pairs = checkpointed(pairs, "further")
+        if pairs.isEmpty():
+            continue
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        more = checkpointed(verify(pairs), "verified")
+        if not more.isEmpty():
+            labels = _merged(labels, more)
+    return labels
 
 
 def _labelled(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, bands: int, rows: int) -> DataFrame:
@@ -262,10 +389,9 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, words: int, similarity:
     leaders = members.join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node")).getField("node").alias("lead"))
     pairs = members.join(leaders, "key").where("node <> lead").groupBy("lead", "node").agg((F.max("n") <= 2).alias("alone"))
     compared = checkpointed(compare(checkpointed(pairs, "pairs"), texts, idf, words, similarity), "compared")
-    links = compared.where(F.col("similarity") >= similarity).select("lead", "node")
-    further = checkpointed(_unlinked(compared, components(links)), "further")
-    verified = compare(further, texts, idf, words, similarity).where(F.col("similarity") >= similarity).select("lead", "node")
-    labels = components(links.union(checkpointed(verified, "verified")))
+    similar = lambda found: found.where((F.col("similarity") >= similarity) & (F.col("lead") != F.col("node"))).select("lead", "node")
+    verify = lambda pairs: similar(compare(pairs.withColumn("alone", F.lit(True)), texts, idf, words, similarity))
+    labels = _linked(compared, verify, similar(compared))
     return checkpointed(signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label")), "labelled")
 
 
@@ -281,9 +407,12 @@ def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     named = _labelled(df, id_col, text_col, words, similarity, bands, rows)
     each = named.groupBy("label", "doc_id", "node").agg(F.count("*").alias("n"))
     best = each.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node", "n")).alias("best")).select("best.*")
-    key = lambda i, node: F.unhex(F.md5(F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("")), F.hex(node))))
-    best = checkpointed(best.select(key(F.col("doc_id"), F.col("node")).alias("_key"), "n"), "best")
-    rows_of = df.withColumn("_key", key(F.col(f"`{id_col}`").cast("long"), F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))))
-    single = rows_of.join(best.where("n = 1"), "_key", "left_semi")
-    repeated = rows_of.join(best.where("n > 1"), "_key", "left_semi").dropDuplicates(["_key"])
-    return single.unionByName(repeated).drop("_key")
+    name = "key"
+    while name in df.columns:
+        name += "_"
+    key = lambda i, node: F.unhex(F.md5(F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("")), F.hex(node)))).alias(name)
+    best = checkpointed(best.select(key(F.col("doc_id"), F.col("node")), "n"), "best")
+    rows_of = df.select("*", key(F.col(f"`{id_col}`").cast("long"), F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))))
+    single = rows_of.join(best.where("n = 1"), name, "left_semi")
+    repeated = rows_of.join(best.where("n > 1"), name, "left_semi").dropDuplicates([name])
+    return single.unionByName(repeated).drop(name)

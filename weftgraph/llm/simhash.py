@@ -40,6 +40,8 @@ GENERATOR = 0b110001110101
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Fingerprints of a key that are compared with each other.
 BUCKET = 512
+#: Fingerprints whose keys one task makes, about 180 for each.
+DEALT = 20_000
 _SOME = 1 << 16
 
 
@@ -213,7 +215,7 @@ def _by_midpoints(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """a, b: links between distinct fingerprints whose components are those of all links.  fps: a column fp."""
-    keyed = _keyed(fps)
+    keyed = _keyed(fps.repartition(max(1, -(-fps.count() // DEALT))))
     met = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "keys")
     two = met.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).select("a", "b")
     members = checkpointed(keyed.join(met.where("n > 2").select("key", "n"), "key"), "members")
