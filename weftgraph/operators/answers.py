@@ -11,8 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.linkers import contains_links
-from weftgraph.operators.traverse import impacted_by
+from weftgraph.operators.linkers import all_links, contains_links, workflow_links
+from weftgraph.operators.traverse import evidence_paths, impacted_by, ways_back
+from weftgraph.sources.adjacency import Adjacency
 from weftgraph.sources.store import checkpointed
 
 # Fixed values of the rules.
@@ -59,15 +60,23 @@ def subject(nodes: DataFrame, ref: str, kind: str) -> tuple[DataFrame, DataFrame
     return n.where("n = 1").select("id"), codes
 
 
-def impact(nodes: DataFrame, edges: DataFrame, components: DataFrame, ref: str, depth: int = 4) -> DataFrame:
-    """What a component's change reaches, by five classes; detail is the length of the shortest evidence."""
+def _labelled(ids: DataFrame, nodes: DataFrame | Adjacency) -> DataFrame:
+    """ids with the labels of their nodes."""
+    return nodes.nodes_of(ids).drop("name") if isinstance(nodes, Adjacency) else ids.join(nodes.select("id", "label"), "id")
+
+
+def impact(nodes: DataFrame | Adjacency, edges: DataFrame | Adjacency, components: DataFrame, ref: str, depth: int = 4, most: int = 50) -> DataFrame:
+    """What a component's change reaches, by five classes (detail is the length of the shortest evidence), and a shortest way of each of the nearest."""
     target, codes = subject(components, ref, "component")
-    hit = impacted_by(edges, target, depth).join(nodes.select("id", "label"), "id")
+    target = checkpointed(target, "target")
+    ways = ways_back(edges, target, depth)
+    hit = checkpointed(_labelled(ways.where("hop > 0").select("id", "hop"), nodes), "hit")
     group = F.lit("components")
     for name, labels in IMPACT_GROUPS.items():
         group = F.when(F.col("label").isin(*labels), name).otherwise(group)
     rows = hit.select(group.alias("section"), F.col("id").alias("item"), F.col("hop").cast("string").alias("detail"))
-    return envelope(section("subject", target), rows, codes, absent(hit, "no-impacted-nodes-found"))
+    chains = section("evidenceChains", evidence_paths(ways, most), F.array_join("node_ids", ">"), F.array_join("edge_labels", ">"))
+    return envelope(section("subject", target), rows, chains, codes, absent(hit, "no-impacted-nodes-found"))
 
 
 def endpoint_forward(entrypoints: DataFrame, ref: str, steps: DataFrame, paths: DataFrame, sinks: DataFrame, policies: DataFrame) -> DataFrame:
@@ -102,12 +111,13 @@ def endpoint_reverse(components: DataFrame, ref: str, nodes: DataFrame, edges: D
     return envelope(section("subject", target), section("affectedEntrypoints", served, "id", "hop"), section("otherEntrypoints", other, "id", "hop"), codes, section("unresolved", n, code))
 
 
-def consumer_context(entrypoints: DataFrame, ref: str, paths: DataFrame, sinks: DataFrame, links: DataFrame, steps: DataFrame) -> DataFrame:
-    """An entrypoint's binding, the entrypoints whose paths link into its own, and what it reaches.  links: from_path, to_path."""
+def consumer_context(entrypoints: DataFrame, ref: str, paths: DataFrame, sinks: DataFrame, steps: DataFrame) -> DataFrame:
+    """An entrypoint's binding, the entrypoints whose paths link into its own by any kind of link, and what it reaches."""
     target, codes = subject(entrypoints, ref, "entrypoint")
     e = entrypoints.join(target, "id", "left_semi")
-    own = paths.join(target.withColumnRenamed("id", "entrypoint_id"), "entrypoint_id", "left_semi").select(F.col("id").alias("path_id"))
-    up = links.join(own.withColumnRenamed("path_id", "to_path"), "to_path", "left_semi").select(F.col("from_path").alias("id")).distinct().join(paths, "id").select("entrypoint_id").distinct()
+    own = checkpointed(paths.join(target.withColumnRenamed("id", "entrypoint_id"), "entrypoint_id", "left_semi").select(F.col("id").alias("path_id")), "own")
+    links = workflow_links(all_links(sinks, paths, entrypoints, own.select(F.col("path_id").alias("target"))), sinks, paths, entrypoints)
+    up = links.select(F.col("from_path").alias("id")).distinct().join(paths, "id").select("entrypoint_id").distinct()
     mine = sinks.join(own, "path_id", "left_semi")
     flow = steps.join(target.withColumnRenamed("id", "entrypoint_id"), "entrypoint_id", "left_semi")
     down = section("downstream", mine, "id", "kind").unionByName(section("downstream", flow, "component_id", "method"))
@@ -277,11 +287,12 @@ def persistence_destination(entrypoints: DataFrame, ref: str, param: str | None,
     )
 
 
-def relationship(nodes: DataFrame, edges: DataFrame, a: str, b: str, depth: int = 2) -> DataFrame:
+def relationship(nodes: DataFrame | Adjacency, edges: DataFrame | Adjacency, a: str, b: str, depth: int = 2) -> DataFrame:
     """What lies within `depth` of a node in any direction, by label, and the directed simple ways to another."""
     from weftgraph.operators.traverse import paths, reachable
 
-    start = nodes.where(F.col("id") == a).select("id")
-    near = reachable(edges, start, "both", None, depth).join(nodes.select("id", "label"), "id")
+    every = nodes.nodes if isinstance(nodes, Adjacency) else nodes
+    start = checkpointed(every.where(F.col("id") == a).select("id"), "start")
+    near = _labelled(checkpointed(reachable(edges, start, "both", None, depth), "near"), nodes)
     ways = paths(edges, a, b, depth)
     return envelope(section("neighborhood", near, "id", "label"), section("paths", ways, F.array_join("node_ids", ">"), F.array_join("edge_labels", ">")), absent(near, "no-neighborhood-found"))

@@ -98,15 +98,41 @@ WRITES = "^(save|delete)"
 READS = "^(find|get|read|exists)"
 
 
-def persistence_links(sinks: DataFrame, entrypoints: DataFrame) -> DataFrame:
-    """write sink, read sink and entity; the reader's entrypoint answers no requests itself."""
+def persistence_links(sinks: DataFrame, entrypoints: DataFrame, readers: DataFrame | None = None) -> DataFrame:
+    """write sink, read sink and entity; the reader's entrypoint answers no requests itself.  `readers`: the sinks that may read, else all."""
     s = sinks.where("kind = 'PERSISTENCE'")
+    reading = s if readers is None else readers
     w = s.where(F.col("operation").rlike(WRITES)).select(F.col("id").alias("writer"), F.col("path_id").alias("from_path"), "entity")
-    r = s.where(F.col("operation").rlike(READS)).select(F.col("id").alias("reader"), F.col("path_id").alias("to_path"), "entity", "entrypoint_id")
+    r = reading.where(F.col("operation").rlike(READS)).select(F.col("id").alias("reader"), F.col("path_id").alias("to_path"), "entity", "entrypoint_id")
     served = entrypoints.where(F.col("type").isin(*REQUEST_RESPONSE)).select(F.col("id").alias("entrypoint_id"))
     return w.join(r.join(served, "entrypoint_id", "left_anti"), "entity").where("from_path <> to_path").select("writer", "reader", "entity")
 
 
+def all_links(sinks: DataFrame, paths: DataFrame, entrypoints: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """sink_id, path_id, target of links of every kind: state, event bus, messages and persistence.
+
+    `only` (a column target) keeps the links into some paths, whose readers and consumers are then the only
+    ones that are looked at.
+    """
+    of = paths.select(F.col("id").alias("path_id"), "entrypoint_id")
+    s = sinks.join(of, "path_id")
+    into = paths.select(F.col("id").alias("target"), "entrypoint_id")
+    readers = s.where("kind = 'PERSISTENCE'")
+    if only is not None:
+        into = into.join(only.select("target").distinct(), "target", "left_semi")
+        readers = readers.join(only.select(F.col("target").alias("path_id")).distinct(), "path_id", "left_semi")
+        entrypoints = entrypoints.join(into.select(F.col("entrypoint_id").alias("id")), "id", "left_semi")
+    cols = ["sink_id", "path_id", "target"]
+    mine = sinks.select(F.col("id").alias("sink_id"), "path_id")
+    buses = entrypoints.where("type = 'EVENT_BUS_CONSUMER'").select("channel", F.col("id").alias("entrypoint_id"))
+    bus = sinks.where("kind = 'EVENT_BUS'").select(F.col("id").alias("sink_id"), "path_id", "channel").join(buses, "channel").join(into, "entrypoint_id")
+    consumers = entrypoints.where("type = 'MESSAGING_CONSUMER'").select(F.col("id").alias("entrypoint_id"), "broker", "topic", "channel")
+    messages = messaging_links(sinks.where("kind = 'MESSAGING'"), consumers).join(mine, "sink_id").join(into, "entrypoint_id")
+    kept = persistence_links(s, entrypoints, readers)
+    kept = kept.join(mine.withColumnRenamed("sink_id", "writer"), "writer").join(sinks.select(F.col("id").alias("reader"), F.col("path_id").alias("target")), "reader").select(F.col("writer").alias("sink_id"), "path_id", "target")
+    return store_links(s, readers).select(cols).unionByName(bus.select(cols)).unionByName(messages.select(cols)).unionByName(kept).where("path_id <> target").distinct()
+
+
 CONFIDENCE = {"STATE_HANDOFF": 0.90, "MESSAGING": 0.90, "EVENT_BUS": 0.75, "PERSISTENCE": 0.60}
 
 

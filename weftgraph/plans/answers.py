@@ -9,7 +9,8 @@ from weftgraph.operators import flow as W
 from weftgraph.operators import linkers as L
 from weftgraph.operators import policy as Y
 from weftgraph.plans.flows import _VISITS, _visits
-from weftgraph.plans.registry import _WORKFLOW, _walks, _workflow_links, query
+from weftgraph.plans.model import _all_links_sql
+from weftgraph.plans.registry import _walks, query
 
 
 def _subject(rel: str, ref: str, kind: str) -> str:
@@ -43,24 +44,27 @@ _GROUP = "CASE WHEN label = 'Entrypoint' THEN 'entrypoints' WHEN label IN ('Data
 
 def _impact(ref: str) -> str:
     ctes = _subject("components", ref, "component") + ", start AS (SELECT id, 0 AS hop FROM target), " + _walks("SELECT DISTINCT dst AS a, src AS b FROM model_edges", 4)
-    ctes += f", hit AS (SELECT {_GROUP} AS g, w.id, min(hop) AS hop FROM w JOIN model_nodes n ON n.id = w.id WHERE hop > 0 AND w.id NOT IN (SELECT id FROM target) GROUP BY ALL)"
+    ctes += """, far AS MATERIALIZED (SELECT id, min(hop) AS hop FROM w GROUP BY id), next AS MATERIALIZED (SELECT a.id, arg_min(b.id, (e.ord, e.label, b.id)) AS nxt, arg_min(e.label, (e.ord, e.label, b.id)) AS lbl FROM far a JOIN model_edges e ON e.src = a.id JOIN far b ON b.id = e.dst AND b.hop = a.hop - 1 GROUP BY a.id),
+chain(here, hop, ids, labels) AS (SELECT id, hop, id, '' FROM (SELECT * FROM far WHERE hop > 0 ORDER BY hop, id LIMIT 50) x UNION ALL SELECT nxt, hop - 1, ids || '>' || nxt, labels || '>' || lbl FROM chain JOIN next ON next.id = here WHERE hop > 0)"""
+    ctes += f", hit AS MATERIALIZED (SELECT {_GROUP} AS g, far.id, hop FROM far JOIN model_nodes n ON n.id = far.id WHERE hop > 0)"
     sections = {"subject": "SELECT id AS item, NULL AS detail FROM target"} | {g: f"SELECT id AS item, hop AS detail FROM hit WHERE g = '{g}'" for g in (*A.IMPACT_GROUPS, "components")}
+    sections["evidenceChains"] = "SELECT ids AS item, substr(labels, 2) AS detail FROM chain WHERE hop = 0"
     return _answer(ctes, sections, [_CODES, _absent("no-impacted-nodes-found", "SELECT 1 FROM hit")])
 
 
 @query(_impact("comp:7"), *_MODEL, "components")
 def answer_impact(p):
-    return A.impact(p.model_nodes, p.model_edges, p.components, "comp:7")
+    return A.impact(p.model, p.model, p.components, "comp:7")
 
 
 @query(_impact("Mapper"), *_MODEL, "components")
 def answer_impact_ambiguous(p):
-    return A.impact(p.model_nodes, p.model_edges, p.components, "Mapper")
+    return A.impact(p.model, p.model, p.components, "Mapper")
 
 
 @query(_impact("NoSuchThing"), *_MODEL, "components")
 def answer_impact_unresolved(p):
-    return A.impact(p.model_nodes, p.model_edges, p.components, "NoSuchThing")
+    return A.impact(p.model, p.model, p.components, "NoSuchThing")
 
 
 # ---- endpoints, consumers, transactions, schedules
@@ -125,21 +129,33 @@ def answer_endpoint_reverse(p):
     return A.endpoint_reverse(p.components, "comp:21", p.model_nodes, p.model_edges, p.entrypoints)
 
 
+_CONSUMER = _answer(
+    _all_links_sql().lstrip("+ ") + ", " + _VISITS.lstrip("+ ") + _STEPS + ", " + _EP + _OWN + ", up AS (SELECT DISTINCT f.entrypoint_id FROM wl JOIN paths t ON t.id = wl.to_path JOIN paths f ON f.id = wl.from_path WHERE t.entrypoint_id IN (SELECT id FROM target))",
+    {
+        "inboundBinding": "SELECT coalesce(topic, channel) AS item, broker AS detail FROM entrypoints WHERE id IN (SELECT id FROM target)",
+        "upstream": "SELECT entrypoint_id AS item, NULL AS detail FROM up",
+        "downstream": "SELECT id AS item, kind AS detail FROM mine",
+        "downstream|": "SELECT component_id AS item, method AS detail FROM flow",
+    },
+    [_CODES, "SELECT 'unresolved' AS section, 'consumer-binding-destination-not-resolved' AS item FROM entrypoints WHERE id IN (SELECT id FROM target) AND channel IS NULL AND topic IS NULL", _absent("no-upstream-producer-linked", "SELECT 1 FROM up"), _absent("no-downstream-flow-or-sink-resolved", "SELECT 1 FROM mine UNION ALL SELECT 1 FROM flow")],
+)
+
+
 @query(
-    _answer(
-        _WORKFLOW.lstrip("+ ") + ", " + _VISITS.lstrip("+ ") + _STEPS + ", " + _EP + _OWN + ", up AS (SELECT DISTINCT f.entrypoint_id FROM wl JOIN paths t ON t.id = wl.to_path JOIN paths f ON f.id = wl.from_path WHERE t.entrypoint_id IN (SELECT id FROM target))",
-        {
-            "inboundBinding": "SELECT coalesce(topic, channel) AS item, broker AS detail FROM entrypoints WHERE id IN (SELECT id FROM target)",
-            "upstream": "SELECT entrypoint_id AS item, NULL AS detail FROM up",
-            "downstream": "SELECT id AS item, kind AS detail FROM mine",
-            "downstream|": "SELECT component_id AS item, method AS detail FROM flow",
-        },
-        [_CODES, "SELECT 'unresolved' AS section, 'consumer-binding-destination-not-resolved' AS item FROM entrypoints WHERE id IN (SELECT id FROM target) AND channel IS NULL AND topic IS NULL", _absent("no-upstream-producer-linked", "SELECT 1 FROM up"), _absent("no-downstream-flow-or-sink-resolved", "SELECT 1 FROM mine UNION ALL SELECT 1 FROM flow")],
-    ),
+    _CONSUMER,
     "sinks", "paths", *_FLOW,
 )
 def answer_consumer_context(p):
-    return A.consumer_context(p.entrypoints, "ep:16", p.paths, p.sinks, _workflow_links(p).select("from_path", "to_path"), _steps(p))
+    return A.consumer_context(p.entrypoints, "ep:16", p.paths, p.sinks, _steps(p))
+
+
+@query(
+    _CONSUMER.replace("ep:16", "ep:7"),
+    "sinks", "paths", *_FLOW,
+)
+def answer_consumer_of_messages(p):
+    """A message consumer's producers."""
+    return A.consumer_context(p.entrypoints, "ep:7", p.paths, p.sinks, _steps(p))
 
 
 @query(
@@ -251,4 +267,4 @@ def answer_persistence_destination(p):
     *_MODEL,
 )
 def answer_relationship(p):
-    return A.relationship(p.model_nodes, p.model_edges, "ep:16", "comp:99")
+    return A.relationship(p.model, p.model, "ep:16", "comp:99")

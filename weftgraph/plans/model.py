@@ -430,7 +430,8 @@ def _all_links_sql() -> str:
 
     kinds = f"""links0 AS (SELECT DISTINCT a.id AS sink_id, a.path_id, b.path_id AS target FROM s a JOIN s b ON a.owner_id = b.owner_id AND a.field = b.field WHERE a.kind = 'STORE' AND b.kind = 'PERSISTENCE' AND a.path_id <> b.path_id AND a.entrypoint_id <> b.entrypoint_id),
 bus AS (SELECT s.id AS sink_id, s.path_id, x.id AS target FROM sinks s JOIN entrypoints e ON e.channel = s.channel AND e.type = 'EVENT_BUS_CONSUMER' JOIN paths x ON x.entrypoint_id = e.id WHERE s.kind = 'EVENT_BUS' AND x.id <> s.path_id),
-msg AS (SELECT s.id AS sink_id, s.path_id, x.id AS target FROM sinks s JOIN entrypoints e ON e.type = 'MESSAGING_CONSUMER' AND {_KEY.replace('%s', 'e.')} = {_KEY.replace('%s', 's.')} JOIN paths x ON x.entrypoint_id = e.id WHERE s.kind = 'MESSAGING' AND x.id <> s.path_id),
+loose AS (SELECT s.id AS sink_id, s.path_id, x.id AS target FROM sinks s JOIN entrypoints e ON e.type = 'MESSAGING_CONSUMER' AND e.channel = s.channel JOIN paths x ON x.entrypoint_id = e.id WHERE s.kind = 'MESSAGING' AND s.broker IS NULL AND x.id <> s.path_id),
+msg AS (SELECT * FROM loose UNION SELECT s.id AS sink_id, s.path_id, x.id AS target FROM sinks s JOIN entrypoints e ON e.type = 'MESSAGING_CONSUMER' AND {_KEY.replace('%s', 'e.')} = {_KEY.replace('%s', 's.')} JOIN paths x ON x.entrypoint_id = e.id WHERE s.kind = 'MESSAGING' AND x.id <> s.path_id),
 per AS (SELECT w.id AS sink_id, w.path_id, r.path_id AS target FROM s w JOIN s r ON w.entity = r.entity JOIN entrypoints e ON e.id = r.entrypoint_id WHERE w.kind = 'PERSISTENCE' AND r.kind = 'PERSISTENCE' AND w.operation = 'save' AND r.operation = 'findById' AND w.path_id <> r.path_id AND e.type NOT IN ('REST_ENDPOINT', 'GRPC_METHOD')),
 links AS (SELECT * FROM links0 UNION SELECT * FROM bus UNION SELECT * FROM msg UNION SELECT * FROM per)"""
     a, b = _WORKFLOW.index("links AS (SELECT DISTINCT"), _WORKFLOW.index(", pe AS (")
@@ -440,14 +441,4 @@ links AS (SELECT * FROM links0 UNION SELECT * FROM bus UNION SELECT * FROM msg U
 @query(_all_links_sql() + " SELECT kind, from_path, to_path, sink_id, confidence FROM wl", "sinks", "paths", "entrypoints")
 def workflow_links_all(p):
     """Links of every kind: state handoffs, event bus, messages and persistence."""
-    of = p.paths.select(F.col("id").alias("target"), "entrypoint_id")
-    first = p.sinks
-    bus = first.where("kind = 'EVENT_BUS'").select(F.col("id").alias("sink_id"), "path_id", "channel").join(p.entrypoints.where("type = 'EVENT_BUS_CONSUMER'").select("channel", F.col("id").alias("entrypoint_id")), "channel").join(of, "entrypoint_id")
-    key = F.when(F.col("broker").isNotNull(), F.concat(F.upper("broker"), F.lit(":"), F.coalesce("topic", "channel")))
-    msg = first.where("kind = 'MESSAGING'").select(F.col("id").alias("sink_id"), "path_id", key.alias("key")).join(p.entrypoints.where("type = 'MESSAGING_CONSUMER'").select(key.alias("key"), F.col("id").alias("entrypoint_id")), "key").join(of, "entrypoint_id")
-    s = p.sinks.join(p.paths.select(F.col("id").alias("path_id"), "entrypoint_id"), "path_id")
-    per = L.persistence_links(s, p.entrypoints)
-    per = per.join(p.sinks.select(F.col("id").alias("writer"), "path_id"), "writer").join(p.sinks.select(F.col("id").alias("reader"), F.col("path_id").alias("target")), "reader").select(F.col("writer").alias("sink_id"), "path_id", "target")
-    cols = ["sink_id", "path_id", "target"]
-    links = _store_links(p).select(cols).union(bus.select(cols)).union(msg.select(cols)).union(per).where("path_id <> target").distinct()
-    return L.workflow_links(links, p.sinks, p.paths, p.entrypoints)
+    return L.workflow_links(L.all_links(p.sinks, p.paths, p.entrypoints), p.sinks, p.paths, p.entrypoints)

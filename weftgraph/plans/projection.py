@@ -7,12 +7,15 @@ no global window, no shuffle.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.sources.adjacency import Adjacency, active, state_of
+
 TEXT = ("segment", "brand", "ptype", "status", "priority")
 NUMBER = ("acctbal", "retailprice", "size", "totalprice")
 _RANK = 1 << 44
@@ -342,8 +345,6 @@ class Projection:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _sql(self, name: str) -> DataFrame:
-        import re
-
         used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", STATEMENTS[name])]
         statement = re.sub(r"\b(FROM|JOIN) (" + "|".join(used) + r")\b", r"\1 {\2}", STATEMENTS[name].replace("{", "{{").replace("}", "}}"))
         return self.spark.sql(statement, **{t: self.table(t) for t in used})
@@ -363,6 +364,20 @@ class Projection:
         nums = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in ("quantity", "discount"))), lambda e: e["v"].isNotNull()))
         return wide.select("ord", "src", "dst", "label", F.transform_values(nums, lambda _, v: F.format_string("%.2f", v)).alias("props"), nums.alias("nums"))
 
+    def _stored(self, name: str, nodes: str, edges: str) -> Adjacency:
+        used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", STATEMENTS[nodes] + STATEMENTS[edges])]
+        return active(self.spark, self.sf_dir, name, state_of(*map(self.table, used)), lambda: (self._sql(nodes), self._sql(edges)))
+
+    @cached_property
+    def graph(self) -> Adjacency:
+        """The property graph as stored for traversals."""
+        return self._stored("graph", "nodes", "edges")
+
+    @cached_property
+    def model(self) -> Adjacency:
+        """The software model's graph as stored for traversals."""
+        return self._stored("model", "model_nodes", "model_edges")
+
     @cached_property
     def dependency_edges(self) -> DataFrame:
         d = self.dependencies

@@ -236,10 +236,18 @@ def confidence_band(p):
     return M.evidence(p.components, F.col("type") == "UNKNOWN").select("id", "confidence_band", "ambiguous")
 
 
-@query("+ r(id) AS (SELECT DISTINCT component_id FROM entrypoints UNION SELECT to_id FROM dependencies JOIN r ON from_id = r.id) SELECT c.id, c.id IN (SELECT id FROM r) AS entrypoint_reachable FROM components c", *_MODEL)
+_REACHED = "+ r(id) AS (SELECT id FROM model_nodes WHERE label = 'Entrypoint' UNION SELECT dst FROM model_edges JOIN r ON src = r.id WHERE label IN ('" + "', '".join(T.ENTRYPOINT_EDGES) + "'))"
+
+
+@query(_REACHED + " SELECT id, id IN (SELECT id FROM r) AS entrypoint_reachable FROM model_nodes WHERE label = 'Component'", "model_nodes", "model_edges")
 def entrypoint_reachable(p):
-    found = T.closure(p.dependency_edges, p.entrypoints.select(F.col("component_id").alias("id"))).withColumn("hit", F.lit(True))
-    return p.components.select("id").join(found, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("entrypoint_reachable"))
+    return T.entrypoint_reachable(p.model.nodes, p.model).where("label = 'Component'").select("id", "entrypoint_reachable")
+
+
+@query(_REACHED + " SELECT id, label, id IN (SELECT id FROM r) AS entrypoint_reachable FROM model_nodes", "model_nodes", "model_edges")
+def entrypoint_reachable_nodes(p):
+    """Every node of the model, whether any entrypoint leads there."""
+    return T.entrypoint_reachable(p.model.nodes, p.model)
 
 
 # ---- traversal
@@ -252,7 +260,7 @@ SELECT array_to_string(ids, '>') AS nodes, array_to_string(labels, '>') AS label
     "edges",
 )
 def paths_bounded(p):
-    return T.paths(p.edges, "customer:5", "nation:3", 4).groupBy(F.array_join("node_ids", ">").alias("nodes"), F.array_join("edge_labels", ">").alias("labels")).agg(F.count("*").alias("n"))
+    return T.paths(p.graph, "customer:5", "nation:3", 4).groupBy(F.array_join("node_ids", ">").alias("nodes"), F.array_join("edge_labels", ">").alias("labels")).agg(F.count("*").alias("n"))
 
 
 def _walks(step: str, depth: int) -> str:
@@ -261,12 +269,20 @@ def _walks(step: str, depth: int) -> str:
 
 @query("+ start AS (SELECT 'supplier:3' AS id, 0 AS hop), " + _walks("SELECT DISTINCT dst AS a, src AS b FROM edges", 3) + " SELECT id, min(hop) AS hop FROM w WHERE id <> 'supplier:3' GROUP BY id", "edges")
 def impacted_by(p):
-    return T.impacted_by(p.edges, _ids(p, "supplier:3"))
+    return T.impacted_by(p.graph, _ids(p, "supplier:3"))
+
+
+@query("+ start AS (SELECT 'supplier:3' AS id, 0 AS hop), " + _walks("SELECT DISTINCT dst AS a, src AS b FROM edges", 3) + ", f AS (SELECT id, min(hop) AS hop FROM w WHERE hop > 0 GROUP BY id) SELECT (h - 1)::INTEGER AS step, 'hop' AS operation, h::INTEGER AS hop, 'in *' AS detail, (SELECT count(*) FROM f WHERE f.hop = h) AS n FROM (SELECT unnest(range(1, 4)) AS h) x", "edges")
+def traversal_log(p):
+    """What an impact search asked of the graph, hop by hop."""
+    log = T.PlanLog()
+    T.impacted_by(p.graph, _ids(p, "supplier:3"), log=log)
+    return log.relation(p.spark)
 
 
 @query("+ start AS (SELECT 'customer:5' AS id, 0 AS hop), " + _walks("SELECT DISTINCT src AS a, dst AS b FROM edges", 4) + " SELECT id, min(hop) AS hop FROM w WHERE hop > 0 GROUP BY id", "edges")
 def reachable_out(p):
-    return T.reachable(p.edges, _ids(p, "customer:5"), "out", None, 4)
+    return T.reachable(p.graph, _ids(p, "customer:5"), "out", None, 4)
 
 
 @query("+ start AS (SELECT 'comp:4' AS id, 0 AS hop), " + _walks("SELECT DISTINCT to_id AS a, from_id AS b FROM dependencies", 3) + " SELECT id, min(hop) AS hop FROM w WHERE hop > 0 GROUP BY id", "dependencies")
@@ -276,7 +292,7 @@ def reachable_in(p):
 
 @query("+ start AS (SELECT 'nation:3' AS id, 0 AS hop), " + _walks("SELECT src AS a, dst AS b FROM edges WHERE label = 'IN_NATION' UNION SELECT dst, src FROM edges WHERE label = 'IN_NATION'", 2) + " SELECT id, min(hop) AS hop FROM w WHERE hop > 0 GROUP BY id", "edges")
 def reachable_both(p):
-    return T.reachable(p.edges, _ids(p, "nation:3"), "both", "IN_NATION", 2)
+    return T.reachable(p.graph, _ids(p, "nation:3"), "both", "IN_NATION", 2)
 
 
 @query("+ start AS (SELECT 'comp:7' AS id, 0 AS hop), " + _walks("SELECT DISTINCT from_id AS a, to_id AS b FROM dependencies", 2) + " SELECT from_id AS src, to_id AS dst, 'DEPENDS_ON' AS label, min(ord) AS ord FROM dependencies WHERE from_id IN (SELECT id FROM w) AND to_id IN (SELECT id FROM w) AND from_id <> to_id GROUP BY ALL", "dependencies")

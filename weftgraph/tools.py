@@ -80,10 +80,10 @@ class Workspace:
     def answer_architecture_question(self, family: str, ref: str, target: str | None = None, param: str | None = None) -> DataFrame:
         m = self.model
         ask = {
-            "impact": lambda: answers.impact(m.model_nodes, m.model_edges, m.components, ref),
+            "impact": lambda: answers.impact(m.model, m.model, m.components, ref),
             "endpoint_context": lambda: answers.endpoint_forward(m.entrypoints, ref, self._steps, m.paths, m.sinks, self._policies),
             "endpoint_context_reverse": lambda: answers.endpoint_reverse(m.components, ref, m.model_nodes, m.model_edges, m.entrypoints),
-            "consumer_context": lambda: answers.consumer_context(m.entrypoints, ref, m.paths, m.sinks, self.workflow_links().select("from_path", "to_path"), self._steps),
+            "consumer_context": lambda: answers.consumer_context(m.entrypoints, ref, m.paths, m.sinks, self._steps),
             "transaction_context": lambda: answers.transaction_context(m.entrypoints, ref, self._steps, self._policies, m.calls, m.components),
             "scheduled_workflow": lambda: answers.scheduled_workflow(m.entrypoints, ref, self._steps, m.model_edges, m.paths, m.sinks),
             "external_integration_context": lambda: answers.external_integration(m.model_nodes, m.model_edges, ref),
@@ -91,7 +91,7 @@ class Workspace:
             "state_lifecycle": lambda: answers.state_lifecycle(m.accesses, linkers.state_handoffs(m.accesses.where(F.contains(F.lower("field"), F.lit(ref.lower())))), ref),
             "messaging_flow": lambda: answers.messaging_flow(m.entrypoints, m.sinks, m.interfaces, m.paths, ref),
             "persistence_destination": lambda: answers.persistence_destination(m.entrypoints, ref, param, m.paths, m.sinks, m.units, m.unit_entities, m.datasources),
-            "relationship": lambda: answers.relationship(m.model_nodes, m.model_edges, ref, target or ref),
+            "relationship": lambda: answers.relationship(m.model, m.model, ref, target or ref),
         }
         return ask[family]()
 
@@ -106,8 +106,7 @@ class Workspace:
 
     def workflow_links(self) -> DataFrame:
         m = self.model
-        s = m.sinks.join(m.paths.select(F.col("id").alias("path_id"), "entrypoint_id"), "path_id")
-        return linkers.workflow_links(linkers.store_links(s, s.where("kind = 'PERSISTENCE'")), m.sinks, m.paths, m.entrypoints)
+        return linkers.workflow_links(linkers.all_links(m.sinks, m.paths, m.entrypoints), m.sinks, m.paths, m.entrypoints)
 
     def render_pipeline(self, most: int = 20) -> DataFrame:
         links = self.workflow_links().select("from_path", "to_path")
