@@ -90,6 +90,52 @@ def transaction_policies(p):
     return _policies(p)
 
 
+def _sql_glob(value: str, pattern: str) -> str:
+    return f"regexp_full_match({value}, replace(replace(replace({pattern}, '.', '\\.'), '$', '\\$'), '*', '.*'))"
+
+
+_NAMED = "CASE upper(list_extract(string_split(trim({0}), '.'), -1)) WHEN '' THEN 'REQUIRED' WHEN 'DEFAULT' THEN 'REQUIRED' WHEN 'REQUIRESNEW' THEN 'REQUIRES_NEW' WHEN 'NOTSUPPORTED' THEN 'NOT_SUPPORTED' ELSE upper(list_extract(string_split(trim({0}), '.'), -1)) END"
+_ADVISED = rf"""aims AS (SELECT DISTINCT file, advisor, regexp_extract(pointcut, '{Y.EXECUTION}', 1) AS tp, regexp_extract(pointcut, '{Y.EXECUTION}', 2) AS mp FROM xml_advice),
+methods AS (SELECT component_id, method, method || '(' || ord::VARCHAR || ')' AS signature FROM method_facts),
+advised AS (SELECT a.file, a.advisor AS place, c.id AS component_id, m.method, m.signature, x.propagation, x.read_only, x.isolation FROM aims a JOIN components c ON a.tp <> '' AND {_sql_glob("c.qualified_name", "a.tp")} JOIN methods m ON m.component_id = c.id AND {_sql_glob("m.method", "a.mp")}
+  JOIN xml_advice x ON x.file = a.file AND x.advisor = a.advisor AND {_sql_glob("m.method", "x.pattern")} QUALIFY row_number() OVER (PARTITION BY a.file, a.advisor, c.id, m.signature ORDER BY length(replace(x.pattern, '*', '')) DESC, x.rule) = 1)"""
+
+
+def _xml(p):
+    """What the advice and the EJB descriptors say, and the advisors that reach no method."""
+    types = p.components.select(F.col("id").alias("component_id"), "qualified_name", "name", F.lit(None).cast("string").alias("ejb_name"))
+    methods = p.method_facts.select("component_id", "method", F.concat("method", F.lit("("), F.col("ord").cast("string"), F.lit(")")).alias("signature"))
+    advised, unmet = Y.advised(p.xml_advice, types, methods)
+    ejb = p.xml_ejb.withColumn("parameters", F.lit(None).cast("array<string>"))
+    return advised, Y.described(ejb, types, methods.withColumn("parameter_types", F.array().cast("array<string>"))), unmet
+
+
+@query(
+    "+ " + _TX + ", " + _ADVISED + f""",
+said AS (SELECT file, place, 'spring-xml' AS framework, {_NAMED.format("propagation")} AS policy, 0.9 AS confidence, component_id, method, signature FROM advised
+  UNION ALL SELECT x.file, x.place, 'ejb-xml', {_NAMED.format("x.attribute")}, 1.0, m.component_id, m.method, m.signature FROM xml_ejb x JOIN components c ON c.name = x.ejb_name OR c.qualified_name = x.ejb_name JOIN methods m ON m.component_id = c.id AND {_sql_glob("m.method", "x.method")}),
+last AS (SELECT *, count(*) OVER (PARTITION BY signature, component_id) AS n FROM said QUALIFY row_number() OVER (PARTITION BY component_id, signature ORDER BY file DESC, place DESC) = 1),
+ann AS (SELECT p.component_id, p.method, p.method || '(' || p.ord::VARCHAR || ')' AS signature, p.policy, p.level, f.framework, p.confidence, p.limitations FROM policies p JOIN method_facts f ON f.ord = p.ord)
+SELECT coalesce(l.component_id, a.component_id) AS component_id, coalesce(l.method, a.method) AS method, coalesce(l.signature, a.signature) AS signature, coalesce(l.policy, a.policy) AS policy, CASE WHEN l.file IS NULL THEN a.level ELSE 'xml' END AS level, coalesce(l.framework, a.framework) AS framework,
+  CASE WHEN l.file IS NULL THEN a.confidence WHEN l.framework = 'spring-xml' AND (n > 1 OR coalesce(a.level, 'ejb-default') <> 'ejb-default') THEN 0.6 ELSE l.confidence END::DOUBLE AS confidence,
+  CASE WHEN l.file IS NULL THEN a.limitations WHEN l.framework = 'spring-xml' AND (n > 1 OR coalesce(a.level, 'ejb-default') <> 'ejb-default') THEN 'coexisting-annotation-and-xml-advice' ELSE '' END AS limitations
+FROM ann a FULL JOIN last l ON l.component_id = a.component_id AND l.signature = a.signature""",
+    "method_facts", "components", "calls", "xml_advice", "xml_ejb",
+)
+def transaction_policies_xml(p):
+    """Policies of methods after the XML descriptors have been laid over the annotations."""
+    own = _policies(p).join(p.method_facts.select("ord", "framework"), "ord")
+    own = own.select("component_id", "method", F.concat("method", F.lit("("), F.col("ord").cast("string"), F.lit(")")).alias("signature"), "policy", "level", "framework", "confidence", "limitations", (F.col("level") == "ejb-default").alias("defaulted"))
+    return Y.upserted(own, *_xml(p)[:2])
+
+
+@query("+ " + _ADVISED + f" SELECT file, advice, pattern AS method, {_NAMED.format('propagation')} AS policy, propagation AS native FROM xml_advice x WHERE rule = 0 AND (file, advisor) NOT IN (SELECT (file, place) FROM advised)", "method_facts", "components", "xml_advice")
+def advisors_unresolved(p):
+    """Advisors whose pointcut reaches no method that is known."""
+    return _xml(p)[2]
+
+
+
 def _steps(p):
     return W.flow_steps(_visits(p))
 

@@ -213,6 +213,18 @@ FROM orders {_N}"""
 
 _M = "CROSS JOIN (SELECT count(*) AS m FROM orders) j"
 
+#: Rules of transaction advice and of EJB descriptors, as their readers give them.
+XML_ADVICE = """
+SELECT 'ctx' || cast(n_nationkey % 4 as string) || '.xml' AS file, cast(n_nationkey as int) AS advisor, 'tx' || cast(n_nationkey as string) AS advice,
+  CASE n_nationkey % 3 WHEN 0 THEN 'execution(* com.acme.' || lower(n_name) || '.*.m*(..))' WHEN 1 THEN 'execution(* com.acme.*.web.*Service*.m1*(..))' ELSE 'within(com.acme..*)' END AS pointcut,
+  cast(r_regionkey as int) AS rule, CASE r_regionkey WHEN 0 THEN 'm*' WHEN 1 THEN '*' WHEN 2 THEN 'm1*' WHEN 3 THEN 'm10' ELSE 'find*' END AS pattern,
+  CASE r_regionkey WHEN 0 THEN 'REQUIRED' WHEN 1 THEN 'NotSupported' WHEN 2 THEN 'RequiresNew' WHEN 3 THEN 'Propagation.NEVER' ELSE 'SUPPORTS' END AS propagation, r_regionkey = 2 AS read_only, CASE WHEN r_regionkey = 3 THEN 'SERIALIZABLE' END AS isolation
+FROM nation CROSS JOIN region"""
+
+XML_EJB = f"""
+SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'a/ejb-jar.xml' ELSE 'z/ejb-jar.xml' END AS file, cast(s_suppkey as int) AS place, {_pick(WORDS, "s_suppkey")} || cast(s_suppkey as string) AS ejb_name,
+  CASE s_suppkey % 3 WHEN 0 THEN '*' WHEN 1 THEN 'm1*' ELSE 'm5' END AS method, CASE WHEN s_suppkey % 4 = 1 THEN 'Mandatory' ELSE 'RequiresNew' END AS attribute FROM supplier WHERE s_suppkey % 5 = 3"""
+
 #: Expressions of source code and where their values come from; outbound sites whose topic is one of them.
 CODE_EXPRESSIONS = f"""
 SELECT 'x:' || cast(o_orderkey as string) AS id, CASE o_orderkey % 7 WHEN 0 THEN 'literal' WHEN 1 THEN 'field' WHEN 2 THEN 'local' WHEN 3 THEN 'param' WHEN 4 THEN 'param' WHEN 5 THEN 'call' ELSE 'other' END AS kind,
@@ -326,7 +338,7 @@ STATEMENTS = {
     "calls": CALLS, "tracked": TRACKED, "field_access": FIELD_ACCESS, "sites": SITES, "apps": APPS, "interfaces": INTERFACES, "config": CONFIG, "units": UNITS, "unit_entities": UNIT_ENTITIES,
     "datasources": DATASOURCES, "method_facts": METHOD_FACTS, "type_facts": TYPES_FACTS, "code_types": CODE_TYPES, "code_supertypes": CODE_SUPERTYPES, "code_fields": CODE_FIELDS, "code_locals": CODE_LOCALS, "code_methods": CODE_METHODS,
     "code_calls": CODE_CALLS, "code_expressions": CODE_EXPRESSIONS, "code_arguments": CODE_ARGUMENTS, "code_headers": CODE_HEADERS, "code_returns": CODE_RETURNS, "code_sites": CODE_SITES,
-    "code_classes": CODE_CLASSES, "code_members": CODE_MEMBERS, "code_annotations": CODE_ANNOTATIONS, "code_held": CODE_HELD, "code_signatures": CODE_SIGNATURES, "code_apis": CODE_APIS, "model_nodes": MODEL_NODES, "model_edges": MODEL_EDGES,
+    "code_classes": CODE_CLASSES, "code_members": CODE_MEMBERS, "code_annotations": CODE_ANNOTATIONS, "code_held": CODE_HELD, "code_signatures": CODE_SIGNATURES, "code_apis": CODE_APIS, "xml_advice": XML_ADVICE, "xml_ejb": XML_EJB, "model_nodes": MODEL_NODES, "model_edges": MODEL_EDGES,
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
