@@ -242,3 +242,15 @@ def test_pipeline_of_awkward_rows(spark):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, rows, "/root/testdata/sf0.001")
             assert out.count() <= rows.count(), name
+
+
+@pytest.mark.parametrize("sf,least", [("sf0.01", 0.7), ("sf0.1", 0.88)])
+def test_toxicity_tells_held_out_documents(spark, sf, least):
+    """Area under the curve on labelled documents that the fit has not seen, with few labels and with many."""
+    from weftgraph.llm.queries import op9_toxicity
+
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").where("toxic is not null").groupBy("doc_id").agg({"toxic": "max"}).toDF("doc_id", "toxic")
+    rows = op9_toxicity(spark, f"/root/testdata/{sf}").where("held_out").join(labels, "doc_id").select("score", "toxic").collect()
+    toxic, clean = (np.array([r.score for r in rows if r.toxic == k]) for k in (1, 0))
+    wins = (toxic[:, None] > clean[None, :]).mean() + 0.5 * (toxic[:, None] == clean[None, :]).mean()
+    assert wins > least

@@ -58,12 +58,28 @@ def term_sets(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return both & ((1 << bits) - 1), np.bincount(both >> bits, minlength=len(texts))
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, bits: int, factors: int, epochs: int, rate: float, decay: float, least: int) -> Machine:
+def telling(docs: list[np.ndarray], labels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """In how many documents each term is, and its log-likelihood ratio (G squared) with the label."""
+    n, k = np.zeros(1 << bits), np.zeros(1 << bits)
+    for d, label in zip(docs, labels):
+        n[d] += 1
+        k[d] += label
+    every, toxic = len(docs), float(labels.sum())
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.where(expected > 0, expected, 1)), 0)
+
+    if not 0 < toxic < every:
+        return n, np.zeros(1 << bits)
+    clean = every - toxic
+    return n, 2 * (part(k, n * toxic / every) + part(n - k, n * clean / every) + part(toxic - k, (every - n) * toxic / every) + part(clean - n + k, (every - n) * clean / every))
+
+
+def train(docs: list[np.ndarray], labels: np.ndarray, bits: int, factors: int, epochs: int, rate: float, decay: float, least: int, ratio: float = 0.0) -> Machine:
+    """`ratio`: the G squared that a term must reach; 6.6 is reached by one in a hundred terms that tell nothing."""
     m = Machine(bits, factors)
-    seen = np.zeros(1 << bits, np.int64)
-    for d in docs:
-        seen[d] += 1
-    known = seen >= least
+    seen, g = telling(docs, labels, bits)
+    known = (seen >= least) & (g >= ratio)
     m.v[~known] = 0
     docs = [d[known[d]] for d in docs]
     if len(docs) and 0 < labels.mean() < 1:
@@ -92,7 +108,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, bits: int, factors: int, e
     return m
 
 
-def fit(df: DataFrame, labels: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 18, factors: int = 6, sample: int = 12_000, epochs: int = 8, rate: float = 0.1, decay: float = 0.1, least: int = 20) -> Machine:
+def fit(df: DataFrame, labels: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 18, factors: int = 6, sample: int = 12_000, epochs: int = 20, rate: float = 0.1, decay: float = 0.01, least: int = 3, ratio: float = 6.6) -> Machine:
     marked = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").alias("label")).where("doc_id is not null and label is not null")
     marked = marked.where(where) if where is not None else marked
     marked = marked.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -109,7 +125,7 @@ def fit(df: DataFrame, labels: DataFrame, where: Column | None = None, id_col: s
 
     rows = map_texts(texts, "key", "text", step, "key struct<doc_id:long,label:int>, terms array<int>").select("key.doc_id", "key.label", "terms").orderBy("doc_id").toArrow()
     docs = [np.array(t, dtype=np.int64) for t in rows.column(2).to_pylist()]
-    return train(docs, np.array(rows.column(1).to_pylist(), dtype=np.float64), bits, factors, epochs, rate, decay, least)
+    return train(docs, np.array(rows.column(1).to_pylist(), dtype=np.float64), bits, factors, epochs, rate, decay, least, ratio)
 
 
 def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
