@@ -5,12 +5,34 @@ import numpy as np
 from weftgraph.llm import media_jpeg
 
 
+def pixels(r):
+    return np.frombuffer(bytes(r.rgb), "<u1" if r.depth == 8 else "<u2").reshape(r.height, r.width, 3)
+
+
 def test_tensors_are_those_of_the_features(spark):
-    docs = spark.createDataFrame([(1, "plain text " * 50), (2, ""), (3, None), (None, "é" * 3000)], "doc_id long, text string")
-    stored = media_jpeg.store(docs).localCheckpoint()
+    docs = spark.createDataFrame([(1, "plain text " * 50, 5), (2, "", 5), (3, None, 5), (None, "é" * 3000, 5)], "doc_id long, text string, depth int")
+    stored = media_jpeg.store(docs)
     feature = {r.doc_id: r.feature for r in media_jpeg.load(stored).collect()}
     got = media_jpeg.tensors(stored).collect()
     assert len(got) == 4
     for r in got:
-        rgb = np.frombuffer(bytes(r.rgb), np.uint8).reshape(r.height, r.width, 3)
-        assert media_jpeg.feature_of(rgb) == feature[r.doc_id]
+        assert media_jpeg.feature_of(pixels(r)) == feature[r.doc_id]
+    assert media_jpeg.tensors(media_jpeg.store(docs.limit(0))).count() == 0
+
+
+def test_samples_stay_in_range(spark):
+    """Next to no sample of real documents is at an end of its range, so that tensors tell what was stored."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    every = ended = 0
+    for r in media_jpeg.tensors(media_jpeg.store(docs)).collect():
+        rgb = pixels(r)
+        every += rgb.size
+        ended += int(((rgb == 0) | (rgb == (1 << media_jpeg.PRECISION) - 1)).sum())
+    assert ended < 0.02 * every
+
+
+def test_coefficients_of_both_signs():
+    payload = np.random.default_rng(4).integers(0, 256, 192 * 7, dtype=np.uint8).tobytes()
+    picture = media_jpeg.read(media_jpeg.encode(payload))
+    signs = np.sign(picture.components[0].coef)
+    assert picture.precision == 12 and (signs[:, 1:] == media_jpeg.SIGNS[1:]).all() and media_jpeg.payload_of(picture) == payload

@@ -1,13 +1,15 @@
 """Media columns: progressive JPEG kept in a binary column, read back to full-resolution RGB tensors.
 
 `store` writes any payload losslessly as a progressive JPEG whose quantized DCT coefficients are the
-payload (the format's own unit): byte b is the coefficient b + 256, 64 bytes fill a block in zigzag
-order, 4:2:0 subsampling, quantizer 1.  The scans are those of an ordinary progressive file: DC of
+payload (the format's own unit): byte b is a coefficient of magnitude b + 256, 64 bytes fill a block in
+zigzag order, 4:2:0 subsampling, quantizer 1, samples of 12 bits.  The signs are the same for all blocks and
+look random, so that no sample gathers all coefficients at once: samples stay within their range and next to
+none is clipped.  The scans are those of an ordinary progressive file: DC of
 all components, two spectral bands of the luma and one of each chroma at reduced precision, then
 successive-approximation refinements.  The Huffman tables give every symbol of a scan the same total
 number of bits, so such a scan is packed and unpacked with numpy alone.
 
-`decode` reads any 8-bit progressive Huffman JPEG with 1 or 3 components: it accumulates the scans in
+`read` takes any progressive Huffman JPEG of 8 or 12 bits with 1 or 3 components: it accumulates the scans in
 coefficient arrays (spectral selection, successive approximation, end-of-band runs, restart
 markers), inverse-transforms in numpy, upsamples chroma and converts to RGB.  Scans that are not of
 uniform width are read bit by bit.
@@ -28,10 +30,14 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from weftgraph.llm._rows import map_texts
+from weftgraph.llm._rows import bounded_batches, map_texts
 
 UNIT = 192
 SHIFT = 256
+PRECISION = 12
+#: Sign of each coefficient but the first, in zigzag order.
+SIGNS = np.random.default_rng(64).choice([-1, 1], 64)
+SIGNS[0] = 1
 RUN_MAX = 32767
 
 
@@ -133,13 +139,14 @@ def encode(payload: bytes) -> bytes:
         _marker(0xE0, b"JFIF\x00\x01\x01\x00\x00\x01\x00\x01\x00\x00"),
         _marker(0xFE, b"payload %d level %d" % (len(payload), level * 2)),
         _marker(0xDB, b"\x00" + b"\x01" * 64),
-        _marker(0xC2, b"\x08" + (high * 16).to_bytes(2, "big") + (wide * 16).to_bytes(2, "big") + b"\x03\x01\x22\x00\x02\x11\x00\x03\x11\x00"),
+        _marker(0xC2, bytes([PRECISION]) + (high * 16).to_bytes(2, "big") + (wide * 16).to_bytes(2, "big") + b"\x03\x01\x22\x00\x02\x11\x00\x03\x11\x00"),
         _dht(0, 0, DC_LENGTHS),
         _dht(1, 0, {0x08: 1}),
         _scan([(1, 0, 0), (2, 0, 0), (3, 0, 0)], (0, 0), 0, 1, _words9(DC_WORDS[steps + 127])),
     ]
+    signed = coarse ^ np.where(SIGNS < 0, 0xFF, 0).astype(np.uint16)  # a negative number's extra bits are those of its magnitude, turned over
     for c, low, top in ((1, 1, 5), (2, 1, 63), (3, 1, 63), (1, 6, 63)):
-        out.append(_scan([(c, 0, 0)], (low, top), 0, 1, _words9(coarse[parts[c], low : top + 1])))
+        out.append(_scan([(c, 0, 0)], (low, top), 0, 1, _words9(signed[parts[c], low : top + 1])))
     out.append(_scan([(1, 0, 0), (2, 0, 0), (3, 0, 0)], (0, 0), 1, 0, by_mcu(raw[:, 0] & 1).reshape(-1)))
     for c in (1, 2, 3):
         fine = raw[parts[c], 1:] & 1
@@ -242,6 +249,7 @@ class Picture:
     components: list[Component]
     quants: dict[int, np.ndarray]
     comment: bytes = b""
+    precision: int = 8
 
 
 def _read_scan(bits: np.ndarray, order: list[tuple[Component, np.ndarray, int, int]], tables: dict, band: tuple[int, int], high: int, low: int) -> None:
@@ -395,8 +403,8 @@ def read(data: bytes) -> Picture:
                 tables[body[at] >> 4, body[at] & 15] = Huffman(counts, body[at + 17 : at + 17 + n])
                 at += 17 + n
         elif code == 0xC2:
-            if body[0] != 8 or body[5] not in (1, 3):
-                raise ValueError("only 8-bit pictures with 1 or 3 components")
+            if body[0] not in (8, 12) or body[5] not in (1, 3):
+                raise ValueError("only pictures of 8 or 12 bits with 1 or 3 components")
             height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             comps = [Component(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
             hmax, vmax = max(c.h for c in comps), max(c.v for c in comps)
@@ -404,7 +412,7 @@ def read(data: bytes) -> Picture:
             for c in comps:
                 c.across, c.down, c.stride = -(-(-(-width * c.h // hmax)) // 8), -(-(-(-height * c.v // vmax)) // 8), mx * c.h
                 c.coef = np.zeros((c.stride * my * c.v, 64), dtype=np.int32)
-            picture = Picture(width, height, comps, quants)
+            picture = Picture(width, height, comps, quants, precision=body[0])
         elif 0xC0 <= code <= 0xCF and code not in (0xC8, 0xCC):
             raise ValueError("only progressive Huffman pictures")
         elif code == 0xDA:
@@ -431,26 +439,27 @@ def read(data: bytes) -> Picture:
 
 
 def to_rgb(picture: Picture) -> np.ndarray:
-    """Inverse transform, chroma upsampling and colour conversion: uint8 of (height, width, 3)."""
+    """Inverse transform, chroma upsampling and colour conversion: (height, width, 3) of uint8, or of uint16 for 12 bits."""
+    half = 1 << (picture.precision - 1)
     hmax, vmax = max(c.h for c in picture.components), max(c.v for c in picture.components)
     planes = []
     for c in picture.components:
         samples = (c.coef * picture.quants[c.quant]).astype(np.float32) @ IDCT
         plane = samples.reshape(-1, c.stride, 8, 8).transpose(0, 2, 1, 3).reshape(-1, c.stride * 8)
-        np.clip(np.rint(plane, out=plane), -128, 127, out=plane)
+        np.clip(np.rint(plane, out=plane), -half, half - 1, out=plane)
         if c.v < vmax:
             plane = plane.repeat(vmax // c.v, axis=0)
         if c.h < hmax:
             plane = plane.repeat(hmax // c.h, axis=1)
         planes.append(plane[: picture.height, : picture.width])
-    y = planes[0] + np.float32(128)
-    out = np.empty((*y.shape, 3), dtype=np.uint8)
+    y = planes[0] + np.float32(half)
+    out = np.empty((*y.shape, 3), dtype=np.uint8 if picture.precision == 8 else np.uint16)
     if len(planes) == 1:
         out[:] = y[..., None]
         return out
     cb, cr = planes[1:]
     for i, channel in enumerate((y + np.float32(1.402) * cr, y - np.float32(0.344136) * cb - np.float32(0.714136) * cr, y + np.float32(1.772) * cb)):
-        out[..., i] = np.clip(np.rint(channel), 0, 255)
+        out[..., i] = np.clip(np.rint(channel), 0, 2 * half - 1)
     return out
 
 
@@ -462,7 +471,7 @@ def payload_of(picture: Picture) -> bytes:
     n, level = map(int, _NOTE.fullmatch(picture.comment).groups())
     coef = np.concatenate([c.coef for c in picture.components])
     coef[:, 0] += level
-    return (coef - SHIFT).astype(np.uint8).tobytes()[:n]
+    return (np.abs(coef) - SHIFT).astype(np.uint8).tobytes()[:n]
 
 
 def feature_of(rgb: np.ndarray) -> str:
@@ -471,8 +480,8 @@ def feature_of(rgb: np.ndarray) -> str:
     n = len(flat)
     out = [f"{rgb.shape[1]}x{rgb.shape[0]}"]
     for i in range(3):
-        counts = np.bincount(flat[:, i], minlength=256)
-        s, q = int(counts @ np.arange(256)), int(counts @ np.arange(256) ** 2)
+        counts = np.bincount(flat[:, i])
+        s, q = int(counts @ np.arange(len(counts))), int(counts @ np.arange(len(counts)) ** 2)
         out.append(f"{s / n:.2f}/{(q - s * s / n) / n:.2f}")
     return " ".join(out)
 
@@ -490,45 +499,55 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return map_texts(df, id_col, text_col, step, "doc_id long, n_bytes long, media binary", as_binary=True)
 
 
-def load(df: DataFrame) -> DataFrame:
-    """Read the media of `store` back: payload digests, the stored form's digest, and features of its RGB tensor."""
+def tensors(df: DataFrame) -> DataFrame:
+    """The media of `store` read back: doc_id, n_bytes, digests of the payload and of the stored form, and height, width, depth, rgb.
+
+    rgb is the full-resolution RGB tensor, row by row, in little-endian samples of depth bits (8 or 16).
+    """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, height int, width int, depth int, rgb binary"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches):
         for b in batches:
-            rows = []
-            for media in b.column(2):
+            begin, rows, size = 0, [], 0
+            for i, media in enumerate(b.column(2), 1):
                 media = media.as_py()
                 picture = read(media)
-                payload = payload_of(picture)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(to_rgb(picture))))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[2:]))], schema=schema)
+                payload, rgb = payload_of(picture), to_rgb(picture)
+                raw = rgb.astype(rgb.dtype.newbyteorder("<")).tobytes()
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), *rgb.shape[:2], rgb.itemsize * 8, raw))
+                size += len(raw)
+                if size >= 1 << 23 or i == b.num_rows:  # a tensor is several times its media
+                    cut = [b.column(k).slice(begin, len(rows)) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*cut, *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[2:]))], schema=schema)
+                    begin, rows, size = i, [], 0
 
+    bounded_batches(df.sparkSession)
     return df.select("doc_id", "n_bytes", "media").mapInArrow(run, ddl)
 
 
-def tensors(df: DataFrame) -> DataFrame:
-    """doc_id, height, width, rgb: the media of `store` as full-resolution RGB tensors, row by row, 8 bits a channel."""
+def features(df: DataFrame) -> DataFrame:
+    """The rows of `tensors` with a feature of the tensor column in its place."""
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    types = [pa.int32(), pa.int32(), pa.binary()]
+    kept = [c for c in df.columns if c not in ("height", "width", "depth", "rgb")]
+    schema = to_arrow_schema(df.select(*kept).schema).append(pa.field("feature", pa.string()))
 
     def run(batches):
         for b in batches:
-            begin, rows, size = 0, [], 0
-            for i, media in enumerate(b.column(1), 1):
-                rgb = to_rgb(read(media.as_py()))
-                rows.append((rgb.shape[0], rgb.shape[1], rgb.astype(np.uint8).tobytes()))
-                size += rgb.size
-                if size >= 1 << 23 or i == b.num_rows:  # a tensor is several times its media
-                    ids = b.column(0).slice(begin, len(rows))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=["doc_id", "height", "width", "rgb"])
-                    begin, rows, size = i, [], 0
+            shape = zip(*(b.column(len(kept) + k).to_pylist() for k in range(3)))
+            made = [feature_of(np.frombuffer(raw.as_buffer(), dtype="<u1" if depth == 8 else "<u2").reshape(h, w, 3)) for (h, w, depth), raw in zip(shape, b.column(len(kept) + 3))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), pa.array(made, pa.string())], schema=schema)
 
-    return df.select("doc_id", "media").mapInArrow(run, "doc_id long, height int, width int, rgb binary")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*kept).schema)
+    return df.select(*kept, "height", "width", "depth", "rgb").mapInArrow(run, f"{ddl}, feature string")
+
+
+def load(df: DataFrame) -> DataFrame:
+    """Read the media of `store` back into a tensor column, and take features from that column: payload digests, the stored form's digest, feature."""
+    return features(tensors(df))
