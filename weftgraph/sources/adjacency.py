@@ -21,6 +21,10 @@ from weftgraph.sources.store import shared_folder, workspace_key
 BUCKET_EDGES, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 8, 4096
 
 
+_STEPS = "ord long, a string, b string, label string, bucket int"
+_NODES = "ord long, id string, label string, name string, bucket int"
+
+
 def _bucket(id_: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(id_), F.lit(buckets)).cast("int")
 
@@ -33,10 +37,14 @@ class Adjacency:
     base: str
     buckets: int
 
+    def _read(self, table: str) -> DataFrame:
+        """With the schema named, for a table without rows has no files to tell it."""
+        return self.spark.read.schema(_NODES if table == "nodes" else _STEPS).parquet(f"{self.base}/{table}")
+
     def _held(self, table: str, ids: DataFrame) -> DataFrame:
         """The buckets of a table that hold some ids (a small or a stored relation)."""
         wanted = [r[0] for r in ids.select(_bucket("id", self.buckets)).distinct().collect()]  # numbers of buckets
-        stored = self.spark.read.parquet(f"{self.base}/{table}")
+        stored = self._read(table)
         return stored if len(wanted) == self.buckets else stored.where(F.col("bucket").isin(*wanted))
 
     def steps(self, front: DataFrame, direction: str, labels: tuple[str, ...] = ()) -> DataFrame:
@@ -57,7 +65,7 @@ class Adjacency:
 
     @property
     def nodes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/nodes").select("ord", "id", "label", "name")
+        return self._read("nodes").select("ord", "id", "label", "name")
 
 
 def write_adjacency(nodes: DataFrame, edges: DataFrame, base: str) -> Adjacency:
@@ -65,9 +73,9 @@ def write_adjacency(nodes: DataFrame, edges: DataFrame, base: str) -> Adjacency:
     spark = edges.sparkSession
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-edges.count() // BUCKET_EDGES)))
     for table, a, b in (("out", "src", "dst"), ("in", "dst", "src")):
-        steps = edges.select("ord", F.col(a).alias("a"), F.col(b).alias("b"), "label").withColumn("bucket", _bucket("a", buckets))
+        steps = edges.select(F.col("ord").cast("long").alias("ord"), F.col(a).alias("a"), F.col(b).alias("b"), "label").withColumn("bucket", _bucket("a", buckets))
         steps.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "a").write.partitionBy("bucket").parquet(f"{base}/{table}")
-    held = nodes.select("ord", "id", "label", "name").withColumn("bucket", _bucket("id", buckets))
+    held = nodes.select(F.col("ord").cast("long").alias("ord"), "id", "label", "name").withColumn("bucket", _bucket("id", buckets))
     held.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(f"{base}/nodes")
     return Adjacency(spark, base, buckets)
 
