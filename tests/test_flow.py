@@ -154,3 +154,25 @@ def test_policies(spark):
     )
     got = {r.ord: (r.policy, r.level, r.confidence) for r in policy.policies(facts, c, calls(spark, ("a.x", "a.m7"))).collect()}
     assert got == {0: ("REQUIRES_NEW", "method", 1.0), 1: ("REQUIRED", "type", 0.6), 2: ("SUPPORTS", "inherited-type", 0.8), 3: ("REQUIRED", "ejb-default", 0.9), 4: ("PROGRAMMATIC", "bean-managed", 0.95), 5: ("PROGRAMMATIC", "programmatic-api", 0.6), 7: ("REQUIRED", "method", 0.6)}
+
+
+def test_calls_map_and_kill_several_names(spark):
+    c = components(spark, a="SERVICE", b="SERVICE")
+    base = calls(spark, ("a.m", "b.m", {"receiver": "client"}))
+    t = lambda mapping, kills, *names: {(r.n.now, r.n.first) for r in flow.trace(entrypoint(spark), tracked(spark, *names), base.withColumn("mapping", F.lit(None).cast("map<string,string>") if mapping is None else F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]) if mapping else F.create_map().cast("map<string,string>")).withColumn("kills", F.array(*map(F.lit, kills)).cast("array<string>")), c).where("d = 1").select(F.explode("names").alias("n")).collect()}
+    assert t({"order": "o", "price": "p"}, [], "order", "price", "item") == {("o", "order"), ("p", "price")}
+    assert t({"order": "o", "price": "p"}, ["price"], "order", "price") == {("o", "order")}
+    assert t({}, ["order", "price"], "order", "price", "client") == {("client", "client")}
+    assert t({"x": "y"}, [], "order") == {("order", "order")}
+
+
+def test_names_that_are_followed(spark):
+    e = spark.createDataFrame([("plain", "a", "m", "REST_ENDPOINT"), ("none", "a", "n", "REST_ENDPOINT"), ("job", "b", "m", "SCHEDULER")], "id string, component_id string, method string, type string")
+    parameters = spark.createDataFrame([("plain", 1, "order"), ("plain", 2, "price"), ("job", 1, "cron")], "entrypoint_id string, ord long, name string")
+    accesses = spark.createDataFrame([("a", "n", "READ", "a", "cache"), ("c", "x", "READ", "d", "stock"), ("c", "x", "WRITE", "d", "log")], "component_id string, method string, kind string, owner_id string, field string")
+    k = calls(spark, ("a.m", "c.x"), ("b.m", "c.x"), ("b.m", "b.z"))
+    made = k.withColumn("assigned", F.when(F.col("ord") == 0, "result"))
+    got = {}
+    for r in flow.tracked_names(e, parameters, flow.read_names(e, accesses, k), made).orderBy("ord").collect():
+        got.setdefault(r.entrypoint_id, []).append(r.name)
+    assert got == {"plain": ["order", "price", "result"], "none": ["*", "cache"], "job": ["cron", "stock"]}

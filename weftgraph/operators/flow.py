@@ -87,6 +87,23 @@ def _targets(calls: DataFrame, components: DataFrame) -> DataFrame:
     return calls.join(kind, "to_id", "left").withColumn("leaves", is_sink_call())
 
 
+def with_names(calls: DataFrame) -> DataFrame:
+    """Calls with `mapping`, from names at the call to names in the method, and `kills`, names that were overwritten before.
+
+    Either column may be there already; else it comes from arg and param, and from killed: one name each.
+    """
+    if "mapping" not in calls.columns:
+        one = F.when(F.col("arg").isNotNull() & F.col("param").isNotNull(), F.create_map("arg", "param"))
+        calls = calls.withColumn("mapping", F.coalesce(one, F.create_map().cast("map<string,string>")))
+    if "kills" not in calls.columns:
+        calls = calls.withColumn("kills", F.array_compact(F.array("killed")))
+    return calls
+
+
+def _killed(x: Column) -> Column:
+    return F.coalesce(F.array_contains("kills", x["now"]), F.lit(False))
+
+
 def _renamed() -> tuple[Column, Column]:
     """Does a call map a tracked name, and what becomes of the names: (now, first) pairs.
 
@@ -94,12 +111,36 @@ def _renamed() -> tuple[Column, Column]:
     if it maps nothing at all and its receiver is another local, they stop as well; else they carry on.
     """
     n = "names"
-    maps_any = F.exists(n, lambda x: (x["now"] != "*") & F.coalesce(x["now"] == F.col("arg"), F.lit(False)))
-    mapped = lambda x: F.coalesce(x["now"] == F.col("arg"), F.lit(False))
-    killed = lambda x: F.coalesce(x["now"] == F.col("killed"), F.lit(False))
-    elsewhere = lambda x: F.col("arg").isNull() & F.col("receiver").isNotNull() & (F.col("receiver") != x["now"])
-    kept = F.filter(n, lambda x: (x["now"] == "*") | ~(killed(x) | (F.col("maps_any") & ~mapped(x)) | (~mapped(x) & elsewhere(x))))
-    return maps_any, F.transform(kept, lambda x: F.struct(F.when(mapped(x) & (x["now"] != "*"), F.col("param")).otherwise(x["now"]).alias("now"), x["first"].alias("first")))
+    mapped = lambda x: F.coalesce(F.map_contains_key("mapping", x["now"]), F.lit(False))
+    maps_any = F.exists(n, lambda x: (x["now"] != "*") & mapped(x))
+    elsewhere = lambda x: (F.size("mapping") == 0) & F.col("receiver").isNotNull() & (F.col("receiver") != x["now"])
+    kept = F.filter(n, lambda x: (x["now"] == "*") | ~(_killed(x) | (F.col("maps_any") & ~mapped(x)) | (~mapped(x) & elsewhere(x))))
+    return maps_any, F.transform(kept, lambda x: F.struct(F.when(mapped(x) & (x["now"] != "*"), F.try_element_at("mapping", x["now"])).otherwise(x["now"]).alias("now"), x["first"].alias("first")))
+
+
+#: Entrypoints that start from state as well as from their parameters (fixed values).
+STATEFUL_STARTS = ("MESSAGING_PRODUCER", "SCHEDULER")
+
+
+def tracked_names(entrypoints: DataFrame, parameters: DataFrame, reads: DataFrame, calls: DataFrame) -> DataFrame:
+    """ord, entrypoint_id, name: what is followed from each entrypoint, each name once.
+
+    entrypoints: id, component_id, method, type.  parameters: entrypoint_id, ord, name.  reads: of `read_names`.
+    calls: from_id, from_method, ord, assigned (null unless a local gets the result and the callee returns what it
+    was given).  The parameters, or `*` where there are none; the fields read, where there are none or the
+    entrypoint starts from state; the locals that get results in its own method.
+    """
+    at = entrypoints.select(F.col("id").alias("entrypoint_id"), "component_id", "method", F.coalesce(F.col("type").isin(*STATEFUL_STARTS), F.lit(False)).alias("stateful"))
+    own = parameters.select("entrypoint_id", F.lit(0).alias("k"), F.col("ord").cast("long").alias("o"), "name")
+    without = at.join(own.select("entrypoint_id"), "entrypoint_id", "left_anti").select("entrypoint_id")
+    every = without.select("entrypoint_id", F.lit(0).alias("k"), F.lit(0).cast("long").alias("o"), F.lit("*").alias("name"))
+    by_field = at.where("stateful").select("entrypoint_id").unionByName(without).distinct().join(reads, "entrypoint_id").select("entrypoint_id", F.lit(1).alias("k"), F.lit(0).cast("long").alias("o"), F.col("field").alias("name"))
+    results = calls.where("assigned is not null").select(F.col("from_id").alias("component_id"), F.col("from_method").alias("method"), "ord", "assigned")
+    by_result = at.join(results, ["component_id", "method"]).select("entrypoint_id", F.lit(2).alias("k"), F.col("ord").cast("long").alias("o"), F.col("assigned").alias("name"))
+    some = own.unionByName(every).unionByName(by_field).unionByName(by_result).where("name is not null")
+    first = some.groupBy("entrypoint_id", "name").agg(F.min(F.struct("k", "o")).alias("place"))
+    number = F.row_number().over(Window.partitionBy("entrypoint_id").orderBy("place", "name")) - 1
+    return first.select(number.cast("long").alias("ord"), "entrypoint_id", "name")
 
 
 def trace(entrypoints: DataFrame, tracked: DataFrame, calls: DataFrame, components: DataFrame, depth: int = TRACE_DEPTH) -> DataFrame:
@@ -110,8 +151,8 @@ def trace(entrypoints: DataFrame, tracked: DataFrame, calls: DataFrame, componen
     names = tracked.groupBy("entrypoint_id").agg(F.sort_array(F.collect_list(F.struct("ord", "name"))).alias("n")).select(F.col("entrypoint_id").alias("id"), F.transform("n", lambda x: F.struct(x["name"].alias("now"), x["name"].alias("first"))).alias("names"))
     none = F.lit(None).cast("string")
     front = entrypoints.join(names, "id").select(F.col("id").alias("e"), F.col("component_id").alias("c"), F.col("method").alias("m"), "names", F.array(_key(F.col("component_id"), F.col("method"))).alias("keys"), F.lit(0).alias("d"), none.alias("caller"), none.alias("caller_method"), none.alias("literal"), none.alias("literal_value"))
-    steps = _targets(calls, components).where(can_traverse_inline() & ~F.col("leaves"))
-    steps = steps.select(F.col("from_id").alias("c"), F.col("from_method").alias("m"), "to_id", "to_method", "arg", "param", "killed", "receiver", F.col("literal").alias("l"), F.col("literal_value").alias("lv"))
+    steps = _targets(with_names(calls), components).where(can_traverse_inline() & ~F.col("leaves"))
+    steps = steps.select(F.col("from_id").alias("c"), F.col("from_method").alias("m"), "to_id", "to_method", "mapping", "kills", "receiver", F.col("literal").alias("l"), F.col("literal_value").alias("lv"))
     maps_any, renamed = _renamed()
     out = None
     for hop in range(depth + 1):
@@ -162,8 +203,8 @@ def field_write_sinks(states: DataFrame, accesses: DataFrame) -> DataFrame:
 
 def call_sinks(states: DataFrame, calls: DataFrame, components: DataFrame) -> DataFrame:
     """Calls that leave the traced code, for every tracked name that they do not kill."""
-    s = _targets(calls, components).where("leaves").select(F.col("from_id").alias("c"), F.col("from_method").alias("m"), "to_id", "to_method", "killed", sink_kind(F.col("call_kind"), F.col("type"), F.col("stereotype")).alias("kind"))
-    x = states.join(s, ["c", "m"]).withColumn("n", F.explode("names")).where((F.col("n.now") == "*") | ~F.coalesce(F.col("n.now") == F.col("killed"), F.lit(False)))
+    s = _targets(with_names(calls), components).where("leaves").select(F.col("from_id").alias("c"), F.col("from_method").alias("m"), "to_id", "to_method", "kills", sink_kind(F.col("call_kind"), F.col("type"), F.col("stereotype")).alias("kind"))
+    x = states.join(s, ["c", "m"]).withColumn("n", F.explode("names")).where((F.col("n.now") == "*") | ~_killed(F.col("n")))
     return _sink(x, F.col("n.first"), F.col("kind"), F.col("to_id"), F.col("to_method")).distinct()
 
 
@@ -209,13 +250,20 @@ def read_fields(entrypoints: DataFrame, accesses: DataFrame, calls: DataFrame) -
     return reaching(r, calls).join(r, ["component_id", "method"]).select("c", "m", "owner_id", "field").distinct().join(begin, ["c", "m"]).select("entrypoint_id", "owner_id", "field").distinct()
 
 
+def read_names(entrypoints: DataFrame, accesses: DataFrame, calls: DataFrame) -> DataFrame:
+    """entrypoint_id, field: names of all fields read in any method that inline calls reach; no budget of visits."""
+    r = accesses.where("kind = 'READ'").select("component_id", "method", "field").distinct()
+    begin = entrypoints.select(F.col("id").alias("entrypoint_id"), F.col("component_id").alias("c"), F.col("method").alias("m"))
+    return reaching(r, calls).join(r, ["component_id", "method"]).select("c", "m", "field").distinct().join(begin, ["c", "m"]).select("entrypoint_id", "field").distinct()
+
+
 def branch_topology(states: DataFrame, calls: DataFrame, components: DataFrame) -> DataFrame:
     """entrypoint_id, tracked, branch_id, arm_id, label, edge_kind, branch_kind of the branches that traced calls stand in."""
-    k = _targets(calls, components).where(F.trim("branch_group") != "").where(can_traverse_inline() | F.col("leaves"))
+    k = _targets(with_names(calls), components).where(F.trim("branch_group") != "").where(can_traverse_inline() | F.col("leaves"))
     x = states.join(k.withColumnsRenamed({"from_id": "c", "from_method": "m", "literal": "l", "literal_value": "lv"}), ["c", "m"])
     maps_any, renamed = _renamed()
     x = x.withColumn("maps_any", maps_any).withColumn("next", renamed)
-    alive = F.filter("names", lambda n: (n["now"] == "*") | ~F.coalesce(n["now"] == F.col("killed"), F.lit(False)))
+    alive = F.filter("names", lambda n: (n["now"] == "*") | ~_killed(n))
     enters = ~F.array_contains("keys", _key(F.col("to_id"), F.col("to_method"))) & (F.col("d") < TRACE_DEPTH)
     x = x.withColumn("n", F.explode(F.when(F.col("leaves"), alive).when(enters, F.col("next"))))
     control = F.col("control")

@@ -11,6 +11,8 @@ from weftgraph.operators import policy as Y
 from weftgraph.plans.flows import _VISITS, _visits
 from weftgraph.plans.model import _all_links_sql
 from weftgraph.plans.registry import _walks, query
+from weftgraph.sources import okf as B
+from weftgraph.sources.store import shared_folder
 
 
 def _subject(rel: str, ref: str, kind: str) -> str:
@@ -314,3 +316,34 @@ def answer_persistence_destination(p):
 )
 def answer_relationship(p):
     return A.relationship(p.model, p.model, "ep:16", "comp:99")
+
+
+# ---- knowledge bundles
+
+
+def _destinations(p):
+    """Every message destination's answer: who sends there and who listens."""
+    made = p.sinks.where("kind = 'MESSAGING'").select(F.coalesce("topic", "channel").alias("subject"), F.lit("producers").alias("section"), F.col("id").alias("item"), F.col("broker").alias("detail"))
+    used = p.entrypoints.where("type = 'MESSAGING_CONSUMER'").select(F.coalesce("topic", "channel").alias("subject"), F.lit("consumers").alias("section"), F.col("id").alias("item"), F.col("broker").alias("detail"))
+    rows = made.unionByName(used)
+    status = rows.groupBy("subject").agg(F.count_distinct("section").alias("n")).select("subject", F.lit("status").alias("section"), F.when(F.col("n") == 2, "resolved").otherwise("partial").alias("item"), F.lit(None).cast("string").alias("detail"))
+    return rows.unionByName(status).select(F.lit("messaging_flow").alias("family"), F.concat(F.lit('{"channel":"'), "subject", F.lit('"}')).alias("request"), "subject", "section", "item", "detail")
+
+
+@query(
+    f"""+ r AS (SELECT coalesce(topic, channel) AS subject, 'producers' AS section, '- `' || id || '`' || coalesce(' ' || broker, '') AS line FROM sinks WHERE kind = 'MESSAGING' UNION ALL SELECT coalesce(topic, channel), 'consumers', '- `' || id || '`' || coalesce(' ' || broker, '') FROM entrypoints WHERE type = 'MESSAGING_CONSUMER'),
+k AS (SELECT *, row_number() OVER (PARTITION BY subject, section ORDER BY line) AS k, count(*) OVER (PARTITION BY subject, section) AS n FROM r),
+t AS (SELECT subject, section, max(n) AS n, '## ' || section || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY line) || CASE WHEN max(n) > {B.SHOWN} THEN chr(10) || '- and ' || (max(n) - {B.SHOWN})::BIGINT::VARCHAR || ' more' ELSE '' END || chr(10) AS text FROM k WHERE k <= {B.SHOWN} GROUP BY subject, section),
+c AS (SELECT subject, sha256('{{"family":"messaging_flow","request":{{"channel":"' || subject || '"}}}}') AS key, CASE WHEN count(*) = 2 THEN 'resolved' ELSE 'partial' END AS status, sum(n)::BIGINT AS n, string_agg(text, chr(10) ORDER BY section) AS body FROM t GROUP BY subject)
+SELECT 'investigations/messaging-flow/' || subject || '-' || substr(key, 1, 12) || '.md' AS path, key, 'Messaging Flow of ' || subject AS title, status || ', ' || n::VARCHAR || ' findings' AS description,
+  sha256('---' || chr(10) || 'type: architecture-investigation' || chr(10) || 'generated: true' || chr(10) || 'semantic_key: ' || key || chr(10) || 'family: messaging_flow' || chr(10) || 'status: ' || status || chr(10) || '---' || chr(10) || chr(10) || '# Messaging Flow of ' || subject || chr(10) || chr(10) || body) AS markdown_sha256, 'created' AS status FROM c""",
+    "sinks", "entrypoints",
+)
+def okf_bundle(p):
+    """The answers about every message destination as a bundle of concepts, written and read back."""
+    import uuid
+
+    root = f"{shared_folder(p.spark)}/weftgraph/okf/{uuid.uuid4().hex}"
+    told = B.write_bundle(B.concepts(_destinations(p)), root, "2024-01-01")
+    made = B.read_bundle(p.spark, root)[0]
+    return made.join(told, "path").select("path", "key", "title", "description", F.sha2("markdown", 256).alias("markdown_sha256"), "status")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgraph.operators import flow as W
+from weftgraph.operators import linkers as L
 from weftgraph.operators import policy as Y
 from weftgraph.plans.registry import query
 
@@ -142,6 +143,42 @@ def reachable_field_reads(p):
     return W.read_fields(p.entrypoints, p.field_access, p.calls)
 
 
+_READ = f"g AS (SELECT DISTINCT from_id, from_method, to_id, to_method FROM calls WHERE {_INLINE}), r(e, c, m) AS (SELECT id, component_id, method FROM entrypoints UNION SELECT e, to_id, to_method FROM r JOIN g ON from_id = c AND from_method = m)"
+
+
+@query("+ " + _READ + " SELECT DISTINCT e AS entrypoint_id, field FROM r JOIN field_access a ON a.component_id = r.c AND a.method = r.m WHERE kind = 'READ'", *_RELATIONS, "field_access")
+def reachable_field_names(p):
+    """Names of the fields that an entrypoint's calls read, whoever owns them."""
+    return W.read_names(p.entrypoints, p.field_access, p.calls)
+
+
+@query(
+    "+ " + _READ + """, f AS (SELECT DISTINCT e AS entrypoint_id, field FROM r JOIN field_access a ON a.component_id = r.c AND a.method = r.m WHERE kind = 'READ'), own AS (SELECT entrypoint_id, 0 AS k, ord AS o, name FROM tracked WHERE name <> '*'),
+every AS (SELECT * FROM own UNION ALL SELECT id, 0, 0, '*' FROM entrypoints WHERE id NOT IN (SELECT entrypoint_id FROM own)
+  UNION ALL SELECT f.entrypoint_id, 1, 0, field FROM f JOIN entrypoints e ON e.id = f.entrypoint_id WHERE type IN ('MESSAGING_PRODUCER', 'SCHEDULER') OR e.id NOT IN (SELECT entrypoint_id FROM own)
+  UNION ALL SELECT e.id, 2, c.ord, 'v' || (c.ord % 5)::VARCHAR FROM entrypoints e JOIN calls c ON c.from_id = e.component_id AND c.from_method = e.method WHERE c.ord % 4 = 0)
+SELECT row_number() OVER (PARTITION BY entrypoint_id ORDER BY min((k, o)), name) - 1 AS ord, entrypoint_id, name FROM every GROUP BY entrypoint_id, name""",
+    *_RELATIONS, "field_access", "tracked",
+)
+def tracked_names(p):
+    """The names that are followed from each entrypoint."""
+    calls = p.calls.withColumn("assigned", F.when(F.col("ord") % 4 == 0, F.concat(F.lit("v"), (F.col("ord") % 5).cast("string"))))
+    return W.tracked_names(p.entrypoints, p.tracked.where("name <> '*'"), W.read_names(p.entrypoints, p.field_access, p.calls), calls)
+
+
+@query(
+    "+ " + _READ + """, f AS (SELECT DISTINCT e AS entrypoint_id, owner_id, field FROM r JOIN field_access a ON a.component_id = r.c AND a.method = r.m WHERE kind = 'READ' AND owner_id <> a.component_id),
+s AS (SELECT s.id AS sink_id, s.path_id, s.owner_id, 'field' || (regexp_extract(s.field, '(\\d+)', 1)::BIGINT % 50)::VARCHAR AS field, x.entrypoint_id FROM sinks s JOIN paths x ON x.id = s.path_id WHERE s.kind = 'STORE')
+SELECT DISTINCT sink_id, path_id, x.id AS target FROM s JOIN f USING (owner_id, field) JOIN paths x ON x.entrypoint_id = f.entrypoint_id WHERE x.id <> path_id AND x.entrypoint_id <> s.entrypoint_id""",
+    *_RELATIONS, "field_access", "sinks", "paths",
+)
+def store_links_transitive(p):
+    """Links from writes of a field to the paths of entrypoints whose calls read it anywhere."""
+    sinks = p.sinks.join(p.paths.select(F.col("id").alias("path_id"), "entrypoint_id"), "path_id").withColumn("field", F.concat(F.lit("field"), (F.regexp_extract("field", r"(\d+)", 1).cast("bigint") % 50).cast("string")))
+    readers = W.read_fields(p.entrypoints, p.field_access, p.calls).join(p.paths.select(F.col("id").alias("path_id"), "entrypoint_id"), "entrypoint_id")
+    return L.store_links(sinks, readers)
+
+
 _LABEL = "coalesce(CASE WHEN trim(branch_label) <> '' THEN branch_label END, CASE WHEN control IN ('IF_THEN', 'TERNARY_THEN') THEN 'then' WHEN control IN ('IF_ELSE', 'TERNARY_ELSE') THEN 'else' WHEN control = 'SWITCH_DEFAULT' THEN 'default' WHEN control = 'CATCH' THEN 'catch' WHEN control = 'FINALLY' THEN 'finally' WHEN control = 'SWITCH_CASE' THEN 'case' ELSE 'branch' END)"
 
 

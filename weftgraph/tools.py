@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators import answers, chains, diagrams, flow, linkers, lookup, metrics, policy, questions, render, rollup, scan, traverse, views
-from weftgraph.sources import store
+from weftgraph.sources import okf, store
 
 
 class Workspace:
@@ -98,9 +98,13 @@ class Workspace:
     def plan_question(self, asked: DataFrame, text_col: str = "question") -> DataFrame:
         return questions.plan(asked, text_col)
 
-    def compile_architecture_question_to_okf(self, family: str, subject: str, request: dict) -> str:
-        """Where the answer's concept is filed."""
-        return questions.concept_path(family, subject, request)
+    def compile_architecture_question_to_okf(self, family: str, ref: str, bundle: str, day: str, allow_overwrite: bool = False) -> DataFrame:
+        """Answer a question and add the answer to a bundle: path, status."""
+        import json
+
+        answer = self.answer_architecture_question(family, ref)
+        rows = answer.select(F.lit(family).alias("family"), F.lit(json.dumps({"ref": ref}, sort_keys=True, separators=(",", ":"))).alias("request"), F.lit(ref).alias("subject"), "section", "item", "detail")
+        return okf.write_bundle(okf.concepts(rows), bundle, day, allow_overwrite)
 
     # ---- links and chains
 
