@@ -68,6 +68,35 @@ def subject(text: Column) -> Column:
     )
 
 
+#: Families whose request keeps its query (fixed values).
+QUERY_FAMILIES = ("state_lifecycle", "messaging_flow", "external_integration_context", "configuration_context")
+DEPTHS = {"impact": 4, "relationship": 2}
+
+
+def requests(asked: DataFrame) -> DataFrame:
+    """asked with `request`, the JSON (keys in order) that tells one question from another.
+
+    asked: family, subject_id, subject_label, subject_field, subject_query, param, method, field, query, target, max_depth.
+    The subject is an entrypoint, a component, a field, a query or any other node, in this order; blank
+    arguments are left out; depths have the family's default.
+    """
+    filled = lambda c: F.when(F.trim(c) != "", F.col(c))
+    sid, label, family = F.col("subject_id"), F.col("subject_label"), F.col("family")
+    entrypoint, component = F.when(label == "Entrypoint", sid), F.when(label == "Component", sid)
+    none = entrypoint.isNull() & component.isNull()
+    of_field = F.when(none, F.col("subject_field"))
+    of_query = F.when(none & F.col("subject_field").isNull(), F.col("subject_query"))
+    subject_ = F.when(none & F.col("subject_field").isNull() & F.col("subject_query").isNull(), sid)
+    reverse = (family == "endpoint_context") & entrypoint.isNull()
+    depth = F.when(family.isin(*DEPTHS) | reverse, F.coalesce("max_depth", F.when(family == "relationship", DEPTHS["relationship"]).otherwise(DEPTHS["impact"])).cast("int"))
+    values = {
+        "component": component, "entrypoint": entrypoint, "field": F.coalesce(filled("field"), of_field), "maxDepth": depth, "method": filled("method"),
+        "mode": F.when(family == "endpoint_context", F.when(entrypoint.isNotNull(), "forward").otherwise("reverse")), "param": filled("param"),
+        "query": F.coalesce(F.when(family.isin(*QUERY_FAMILIES), filled("query")), of_query), "subject": subject_, "target": F.when(family == "relationship", filled("target")),
+    }
+    return asked.withColumn("request", F.to_json(F.struct(*(v.alias(k) for k, v in values.items()))))
+
+
 def concept_key(family: str, request: dict) -> str:
     """SHA-256 of the family and request as JSON with sorted keys."""
     return hashlib.sha256(json.dumps({"family": family, "request": request}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

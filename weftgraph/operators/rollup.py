@@ -25,6 +25,21 @@ def layer(kind: Column) -> Column:
     return out.otherwise("misc")
 
 
+#: Containers of plain Java code by a part of the qualified name (fixed values, in this order).
+PACKAGES = {".mcp.tools.": "mcp-tools", ".mcp.": "mcp-server", ".extractor.": "extractor", ".scanner.": "scanner", ".renderer.": "renderer", ".merger.": "deployment-merge", ".model.": "model", ".cache.": "cache"}
+
+
+def inferred_containers(components: DataFrame) -> DataFrame:
+    """container, name, technology, derived_from, id: by package where the technology is plain Java, else by layer."""
+    by_layer, by_package = layer(F.col("type")), F.lit(None).cast("string")
+    for part, name in reversed(PACKAGES.items()):
+        by_package = F.when(F.contains("qualified_name", F.lit(part)), name).otherwise(by_package)
+    plain = F.coalesce(F.col("technology") == "java", F.lit(False))
+    x = components.withColumn("home", F.when(plain, F.coalesce(by_package, by_layer)).otherwise(by_layer)).withColumn("derived_from", F.when(plain, "package-convention").otherwise("stereotype-convention"))
+    first = x.groupBy("module", "home").agg(F.min_by(F.struct("technology", "derived_from"), "ord").alias("c"))
+    return x.select("module", "home", "id").join(first, ["module", "home"]).select(F.concat_ws(":", F.lit("container"), F.coalesce("module", F.lit("")), "home").alias("container"), F.col("home").alias("name"), "c.technology", "c.derived_from", "id")
+
+
 def containers(components: DataFrame) -> DataFrame:
     """container, id: one container per module and layer."""
     return components.select(F.concat_ws(":", F.lit("container"), "module", layer(F.col("type"))).alias("container"), "id", "name")
@@ -74,9 +89,11 @@ HIDDEN_NODES = ("Container", "PipelineChain", "RuntimeFlow", "RuntimeFlowStep")
 HIDDEN_EDGES = ("CONTAINS", "HAS_SEGMENT", "HAS_STEP", "STARTED_BY", "VISITS")
 
 
-def export(nodes: DataFrame, edges: DataFrame, hidden_nodes: tuple[str, ...] = HIDDEN_NODES, hidden_edges: tuple[str, ...] = HIDDEN_EDGES) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges without hidden labels, and no edge whose end is gone."""
+def export(nodes: DataFrame, edges: DataFrame, hidden_nodes: tuple[str, ...] = HIDDEN_NODES, hidden_edges: tuple[str, ...] = HIDDEN_EDGES, rest_endpoints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without hidden labels, and no edge whose end is gone.  rest_endpoints (id): interfaces that are left out too."""
     n = nodes.where(~F.col("label").isin(*hidden_nodes))
+    if rest_endpoints is not None:
+        n = n.join(rest_endpoints.select("id", F.lit("Interface").alias("label")), ["id", "label"], "left_anti").select(*nodes.columns)
     e = edges.where(~F.col("label").isin(*hidden_edges))
     return n, e.join(n.select(F.col("id").alias("src")), "src", "left_semi").join(n.select(F.col("id").alias("dst")), "dst", "left_semi")
 

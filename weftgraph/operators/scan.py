@@ -17,14 +17,20 @@ def find_edges(edges: DataFrame, filters: dict[str, str] | None = None, label: s
     return first_rows(P.matching(edges, filters, label), edge_limit(limit))
 
 
-def edges_between(edges: DataFrame, ids: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:
-    """Edges with both ends among `ids` (column id) in any of the labels: the first of each (label, src, dst), whole and in that order."""
+def edges_between(edges: DataFrame, ids: DataFrame, labels: tuple[str, ...] = (), whole: bool = True) -> DataFrame:
+    """Edges with both ends among `ids` (column id) in any of the labels: the first of each (label, src, dst), whole and in that order.
+
+    Only keys and `ord` go through the aggregate; with `whole` the rows are fetched by `ord` and put in order,
+    without it the result is src, dst, label, ord in no order.
+    """
     ids = ids.select("id").distinct()
     inner = edges.where(F.col("label").isin(*labels)) if labels else edges
     inner = inner.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    rest = [c for c in edges.columns if c not in ("src", "dst", "label", "ord")]
-    first = inner.groupBy("src", "dst", "label").agg(F.min_by(F.struct("ord", *rest), "ord").alias("first"))
-    return first.select("src", "dst", "label", "first.*").orderBy("label", "src", "dst")
+    first = inner.groupBy("src", "dst", "label").agg(F.min("ord").alias("ord"))
+    if not whole:
+        return first
+    rest = [c for c in edges.columns if c not in ("src", "dst", "label")]
+    return first.join(edges.select(*rest), "ord").select("src", "dst", "label", *rest).orderBy("label", "src", "dst")
 
 
 def count_by_label(nodes: DataFrame, label: str | None = None) -> DataFrame:

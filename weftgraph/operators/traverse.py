@@ -173,7 +173,7 @@ def closure(edges: DataFrame | Adjacency, start: DataFrame, direction: str = "ou
 def dependency_closure(dependencies: DataFrame, root: DataFrame, depth: int) -> DataFrame:
     """Edges among the root and what it depends on within depth, without self loops."""
     around = reachable(dependencies, root, "out", "DEPENDS_ON", depth).select("id").union(root.select("id"))
-    return edges_between(dependencies, around, ("DEPENDS_ON",)).where("src <> dst")
+    return edges_between(dependencies, around, ("DEPENDS_ON",), whole=False).where("src <> dst")
 
 
 def dependency_slice(dependencies: DataFrame, root: DataFrame, depth: int) -> DataFrame:

@@ -45,6 +45,21 @@ def snapshot_counts(p):
     return count("node", nodes).unionByName(count("edge", edges))
 
 
+@query(
+    """+ n AS (SELECT * FROM model_nodes WHERE label NOT IN ('Container', 'PipelineChain', 'RuntimeFlow', 'RuntimeFlowStep') AND NOT (label = 'Interface' AND id IN (SELECT id FROM interfaces WHERE type = 'rest'))),
+e AS (SELECT * FROM model_edges WHERE label NOT IN ('CONTAINS', 'HAS_SEGMENT', 'HAS_STEP', 'STARTED_BY', 'VISITS') AND src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n))
+SELECT 'node' AS kind, label, id, NULL AS dst FROM n WHERE label IN ('Interface', 'Application') UNION ALL SELECT 'edge', label, src, dst FROM e WHERE label IN ('OWNS', 'CONNECTS_TO')""",
+    "model_nodes",
+    "model_edges",
+    "interfaces",
+)
+def snapshot_public(p):
+    """What an export shows: no hidden labels, no REST endpoints among the interfaces, no dangling edges."""
+    nodes, edges = R.export(p.model_nodes, p.model_edges, rest_endpoints=p.interfaces.where("type = 'rest'"))
+    n = nodes.where("label in ('Interface', 'Application')").select(F.lit("node").alias("kind"), "label", "id", F.lit(None).cast("string").alias("dst"))
+    return n.unionByName(edges.where("label in ('OWNS', 'CONNECTS_TO')").select(F.lit("edge").alias("kind"), "label", F.col("src").alias("id"), "dst"))
+
+
 # ---- views by label, row shapes, existence
 
 
@@ -96,6 +111,22 @@ def containers_for_app(p):
     return R.containers(p.components.where("app_id = 'app:7'")).select("container").distinct()
 
 
+_PACKAGED = "CASE WHEN ord % 2 = 0 THEN 'java' ELSE technology END"
+_NAME = "replace(replace(replace(qualified_name, '.web.', '.model.'), '.mapper.', '.cache.'), '.redis.', '.mcp.tools.')"
+
+
+@query(
+    f"+ j AS (SELECT id, ord, type, module, {_PACKAGED} AS technology, {_NAME} AS q FROM components), h AS (SELECT *, CASE WHEN technology = 'java' THEN coalesce(CASE " + " ".join(f"WHEN contains(q, '{part}') THEN '{name}'" for part, name in R.PACKAGES.items()) + f" END, {_HOME}) ELSE {_HOME} END AS home FROM j) SELECT 'container:' || module || ':' || home AS container, home AS name, first_value(technology) OVER w AS technology, CASE first_value(technology) OVER w WHEN 'java' THEN 'package-convention' ELSE 'stereotype-convention' END AS derived_from, id FROM h WINDOW w AS (PARTITION BY module, home ORDER BY ord)",
+    "components",
+)
+def containers_inferred(p):
+    """Containers by package of plain Java code, by layer of the rest."""
+    x = p.components.withColumn("technology", F.when(F.col("ord") % 2 == 0, "java").otherwise(F.col("technology")))
+    for old, new in ((".web.", ".model."), (".mapper.", ".cache."), (".redis.", ".mcp.tools.")):
+        x = x.withColumn("qualified_name", F.replace("qualified_name", F.lit(old), F.lit(new)))
+    return R.inferred_containers(x)
+
+
 @query(f"SELECT id FROM components WHERE 'container:' || module || ':' || {_HOME} = 'container:nation_7:service'", "components")
 def components_in_container(p):
     return R.containers(p.components).where("container = 'container:nation_7:service'").select("id")
@@ -442,3 +473,33 @@ links AS (SELECT * FROM links0 UNION SELECT * FROM bus UNION SELECT * FROM msg U
 def workflow_links_all(p):
     """Links of every kind: state handoffs, event bus, messages and persistence."""
     return L.workflow_links(L.all_links(p.sinks, p.paths, p.entrypoints), p.sinks, p.paths, p.entrypoints)
+
+
+# ---- requests
+
+_ASKED = """asked AS (SELECT c_custkey AS ord, CASE c_custkey % 5 WHEN 0 THEN 'endpoint_context' WHEN 1 THEN 'impact' WHEN 2 THEN 'relationship' WHEN 3 THEN 'state_lifecycle' ELSE 'messaging_flow' END AS family,
+  CASE WHEN c_custkey % 7 < 5 THEN c_name END AS subject_id, CASE c_custkey % 7 WHEN 0 THEN 'Entrypoint' WHEN 1 THEN 'Component' WHEN 2 THEN 'DataSource' END AS subject_label, CASE WHEN c_custkey % 7 = 3 THEN 'stock' END AS subject_field, CASE WHEN c_custkey % 7 IN (3, 5) THEN 'where' END AS subject_query,
+  CASE c_custkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'order' END AS param, CASE WHEN c_custkey % 11 = 0 THEN 'save' END AS method, CASE WHEN c_custkey % 13 = 0 THEN 'cache' END AS field, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) END AS query, CASE WHEN c_custkey % 4 = 1 THEN 'comp:1' END AS target,
+  CASE WHEN c_custkey % 3 = 2 THEN 7 END AS max_depth FROM customer)"""
+
+
+_REQUESTS = _ASKED + """, v AS (SELECT *, subject_label IS NOT DISTINCT FROM 'Entrypoint' AND subject_id IS NOT NULL AS e, subject_label IS NOT DISTINCT FROM 'Component' AND subject_id IS NOT NULL AS c FROM asked),
+f AS (SELECT ord, family, CASE WHEN c THEN subject_id END AS component, CASE WHEN e THEN subject_id END AS entrypoint, coalesce(nullif(trim(field), ''), CASE WHEN NOT e AND NOT c THEN subject_field END) AS field,
+  CASE WHEN family IN ('impact', 'relationship') OR (family = 'endpoint_context' AND NOT e) THEN coalesce(max_depth, CASE family WHEN 'relationship' THEN 2 ELSE 4 END) END AS depth, nullif(trim(method), '') AS method, CASE WHEN family = 'endpoint_context' THEN CASE WHEN e THEN 'forward' ELSE 'reverse' END END AS mode, nullif(trim(param), '') AS param,
+  coalesce(CASE WHEN family IN ('state_lifecycle', 'messaging_flow') THEN nullif(trim(query), '') END, CASE WHEN NOT e AND NOT c AND subject_field IS NULL THEN subject_query END) AS query, CASE WHEN NOT e AND NOT c AND subject_field IS NULL AND subject_query IS NULL THEN subject_id END AS subject, CASE WHEN family = 'relationship' THEN nullif(trim(target), '') END AS target FROM v)
+SELECT ord, family, '{' || concat_ws(',', '"component":"' || component || '"', '"entrypoint":"' || entrypoint || '"', '"field":"' || field || '"', '"maxDepth":' || depth::VARCHAR, '"method":"' || method || '"', '"mode":"' || mode || '"', '"param":"' || param || '"', '"query":"' || query || '"', '"subject":"' || subject || '"', '"target":"' || target || '"') || '}' AS request FROM f"""
+
+
+@query("+ " + _REQUESTS, "apps")
+def requests_normalized(p):
+    """Questions as the requests that tell them apart."""
+    from weftgraph.operators import questions as Q
+
+    k = F.col("c_custkey")
+    pick = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+    asked = p.table("customer").select(
+        k.alias("ord"), pick(5, "endpoint_context", "impact", "relationship", "state_lifecycle", "messaging_flow").alias("family"), F.when(k % 7 < 5, F.col("c_name")).alias("subject_id"), pick(7, "Entrypoint", "Component", "DataSource", None, None, None, None).alias("subject_label"),
+        F.when(k % 7 == 3, "stock").alias("subject_field"), F.when((k % 7).isin(3, 5), "where").alias("subject_query"), pick(3, " ", "order", None).alias("param"), F.when(k % 11 == 0, "save").alias("method"), F.when(k % 13 == 0, "cache").alias("field"),
+        F.when(k % 2 == 0, F.lower("c_mktsegment")).alias("query"), F.when(k % 4 == 1, "comp:1").alias("target"), F.when(k % 3 == 2, 7).alias("max_depth"),
+    )
+    return Q.requests(asked).select("ord", "family", "request")

@@ -90,7 +90,7 @@ def find_edges_default_limit(p):
 
 @query("SELECT src, dst, label, min(ord) AS ord FROM edges WHERE label = 'SUPPLIED_BY' GROUP BY src, dst, label", "edges")
 def find_edges_between(p):
-    return S.edges_between(p.edges, p.nodes.where("label in ('Part', 'Supplier')"), ("SUPPLIED_BY", "HAS_ITEM")).select("src", "dst", "label", "ord")
+    return S.edges_between(p.edges, p.nodes.where("label in ('Part', 'Supplier')"), ("SUPPLIED_BY", "HAS_ITEM"), whole=False)
 
 
 @query("SELECT count(*) AS n FROM nodes WHERE lower(label) = 'order'", "nodes")

@@ -63,6 +63,14 @@ def build_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return merged, edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
+def merged(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without property maps, as a graph: the first row of each id, and no dangling edges."""
+    rest = [c for c in nodes.columns if c != "id"]
+    first = nodes.groupBy("id").agg(F.min_by(F.struct(*rest), "ord").alias("n")).select("id", "n.*")
+    ids = first.select("id")
+    return first.select(*nodes.columns), edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
+
+
 def to_json_lines(df: DataFrame) -> DataFrame:
     """One JSON document per row, map keys in order."""
     ordered = [F.map_from_entries(F.array_sort(F.map_entries(f.name))).alias(f.name) if f.dataType.typeName() == "map" else F.col(f.name) for f in df.schema]

@@ -22,8 +22,8 @@ class Workspace:
         self.model = model
 
     def index_workspace(self, root: str, name: str) -> str:
-        """Store nodes and edges by label; the folder that `store.load_graph` reads."""
-        return store.save_graph(self.model.model_nodes, self.model.model_edges, root, name)
+        """Merge nodes, drop dangling edges and store both by label; the folder that `store.load_graph` reads."""
+        return store.save_graph(*store.merged(self.model.model_nodes, self.model.model_edges), root, name)
 
     # ---- what later tools share
 
