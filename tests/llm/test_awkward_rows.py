@@ -237,11 +237,28 @@ def test_token_offsets_and_long_texts(spark):
 
 def test_pipeline_of_awkward_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (7, "x" * 100_000, None, "s", 1), (7, "x" * 100_000, None, "s", 1)], docs.select(*corpus_pipeline.COLUMNS).schema)
-    for rows in (odd, odd.limit(0)):
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, rows, "/root/testdata/sf0.001")
-            assert out.count() <= rows.count(), name
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (-7, "x" * 100_000, None, "s", 1), (-7, "x" * 100_000, None, "s", 1)], docs.select(*corpus_pipeline.COLUMNS).schema)
+    # without letters no language; short texts have no repeated windows; null and empty texts are one class, and the repeated rows another
+    left = {"language_id": [-7, -7], "line_dedup": [-7, -7, None, None], "minhash_near_dedup": [-7, None], "decontamination": [-7, -7, None, None], "byte_level_bpe": [-7, -7, None, None]}
+    labelled = odd.unionByName(docs.select(*corpus_pipeline.COLUMNS).where("lang is not null").limit(100))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, labelled if name == "language_id" else odd, "/root/testdata/sf0.001").select("doc_id").join(odd.select("doc_id").distinct(), "doc_id", "left_semi" if name == "language_id" else "left")
+        assert sorted((r.doc_id for r in out.collect()), key=str) == left[name], name
+        assert stage(spark, odd.limit(0), "/root/testdata/sf0.001").count() == 0, name
+
+
+def test_long_texts_of_many_words(spark):
+    """A text of 60 000 words that holds a benchmark item, and one that is toxic: found and scored like short ones."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(9000)}" for _ in range(60_000)]
+    item = [f"item{k}" for k in range(30)]
+    long = " ".join([*words[:40_000], *item, *words[40_000:]])
+    found = decontam.matches(frame(spark, [(1, long), (2, " ".join(words)), (3, " ".join(item))]), spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r["items"][0].start_word) for r in found) == [(1, 40_000), (3, 0)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    docs = frame(spark, [*((i, "bad words" if i % 2 else "good words") for i in range(60)), (100, " ".join(words) + " bad"), (101, " ".join(words) + " good")])
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert got[100] > 0.5 > got[101]
 
 
 @pytest.mark.parametrize("sf,least", [("sf0.01", 0.7), ("sf0.1", 0.88)])

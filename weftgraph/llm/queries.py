@@ -10,10 +10,12 @@ from weftgraph.llm._rows import documents
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base places and labels, and labels of the signature rules, of every document; null and empty texts have none."""
     return license_scan.scan(documents(spark, sf_dir)).drop("detections")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a machine that learned from the labelled rows that are not held out; empty texts have a score too."""
     docs = documents(spark, sf_dir)
     machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~_in_part(4, 2))
     scored = toxicity.score(docs, machine)
@@ -21,20 +23,24 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, digest of the ids and of their decoding for every document; null is empty."""
     import public_tokenizers
 
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payload digests and a feature of the RGB tensor of every document, read back from its stored picture; null is empty."""
     return media_jpeg.load(media_jpeg.store(documents(spark, sf_dir)))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record of every page, read back from the archives that were written; pages that repeat identifier and payload are all responses."""
     return warc.read(warc.write(warc.plan(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, removed words and a digest of what is kept of every document."""
     return substring.dedup(documents(spark, sf_dir)).drop("kept")
 
 
@@ -44,16 +50,19 @@ def _in_part(n: int, remainder: int):
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language, score and number of spans of every document; `und` without letters."""
     docs = documents(spark, sf_dir)
     model = lang_id.fit(docs, "text", "lang", ~_in_part(3, 1))
     return lang_id.predict(docs, model).select("doc_id", _in_part(3, 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, removed lines and a digest of what is kept of every document."""
     return line_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and its size of every document; null and empty texts are one class."""
     return near_dup.classes(documents(spark, sf_dir))
 
 
