@@ -51,6 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document that all stages keep; each stage but the last is a table in the shared folder.
+
+    Null and empty texts go in the first stage, as they have no letters; an empty table gives no rows.
+    """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = checkpointed(stage(spark, docs, sf_dir), name)
