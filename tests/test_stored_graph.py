@@ -24,6 +24,15 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
+def test_a_frontier_reads_its_buckets(spark, graph, monkeypatch):
+    _, edges, stored = graph
+    assert stored.steps(ids(spark, "a"), "out").count() == 2
+    monkeypatch.setattr(A, "LEAST_BUCKETS", 1)
+    assert rows(T.hops(stored, ids(spark, "a"), "both", (), 3)) == rows(T.hops(edges, ids(spark, "a"), "both", (), 3))
+    plan = stored._held("out", ids(spark, "a"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
 def test_same_as_the_relation(spark, graph):
     nodes, edges, stored = graph
     for direction in ("out", "in", "both"):
@@ -71,9 +80,10 @@ def test_pointer_is_swapped_when_the_sources_change(spark, graph, tmp_path):
     assert rows(T.hops(first, ids(spark, "a"), "out", (), 2)) == rows(T.hops(other, ids(spark, "a"), "out", (), 2))  # readers of the old version go on
     table = spark.createDataFrame([(1,)], "a int")
     table.write.parquet(f"file://{tmp_path}/t")
-    before = A.state_of(spark.read.parquet(f"file://{tmp_path}/t"))
+    before = A.state_of(spark, f"file://{tmp_path}/t")
+    assert A.state_of(spark, f"{tmp_path}/t") == before
     table.write.mode("append").parquet(f"file://{tmp_path}/t")
-    assert A.state_of(spark.read.parquet(f"file://{tmp_path}/t")) != before
+    assert A.state_of(spark, f"file://{tmp_path}/t") != before
 
 
 def test_an_empty_graph(spark, graph, tmp_path):

@@ -378,7 +378,7 @@ class Projection:
 
     def _stored(self, name: str, nodes: str, edges: str) -> Adjacency:
         used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", STATEMENTS[nodes] + STATEMENTS[edges])]
-        return active(self.spark, self.sf_dir, name, state_of(*map(self.table, used)), lambda: (self._sql(nodes), self._sql(edges)))
+        return active(self.spark, self.sf_dir, name, state_of(self.spark, *(f"{self.sf_dir}/{t}.parquet" for t in used)), lambda: (self._sql(nodes), self._sql(edges)))
 
     @cached_property
     def graph(self) -> Adjacency:

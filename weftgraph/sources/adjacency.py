@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,14 +38,17 @@ class Adjacency:
     base: str
     buckets: int
 
-    def _read(self, table: str) -> DataFrame:
-        """With the schema named, for a table without rows has no files to tell it."""
-        return self.spark.read.schema(_NODES if table == "nodes" else _STEPS).parquet(f"{self.base}/{table}")
+    @cached_property
+    def _tables(self) -> dict[str, DataFrame]:
+        """With the schemas named, for a table without rows has no files to tell them."""
+        return {t: self.spark.read.schema(_NODES if t == "nodes" else _STEPS).parquet(f"{self.base}/{t}") for t in ("out", "in", "nodes")}
 
     def _held(self, table: str, ids: DataFrame) -> DataFrame:
-        """The buckets of a table that hold some ids (a small or a stored relation)."""
+        """The buckets of a table that hold some ids (a small or a stored relation); all of a table with few."""
+        if self.buckets <= LEAST_BUCKETS:
+            return self._tables[table]
         wanted = [r[0] for r in ids.select(_bucket("id", self.buckets)).distinct().collect()]  # numbers of buckets
-        stored = self._read(table)
+        stored = self._tables[table]
         return stored if len(wanted) == self.buckets else stored.where(F.col("bucket").isin(*wanted))
 
     def steps(self, front: DataFrame, direction: str, labels: tuple[str, ...] = ()) -> DataFrame:
@@ -65,7 +69,7 @@ class Adjacency:
 
     @property
     def nodes(self) -> DataFrame:
-        return self._read("nodes").select("ord", "id", "label", "name")
+        return self._tables["nodes"].select("ord", "id", "label", "name")
 
 
 def write_adjacency(nodes: DataFrame, edges: DataFrame, base: str) -> Adjacency:
@@ -80,13 +84,13 @@ def write_adjacency(nodes: DataFrame, edges: DataFrame, base: str) -> Adjacency:
     return Adjacency(spark, base, buckets)
 
 
-def state_of(*tables: DataFrame) -> str:
-    """Number and digest of the files that some tables are read from, with their sizes and times."""
+def state_of(spark: SparkSession, *paths: str) -> str:
+    """Files, bytes and time of the last change of some tables, as their file system tells them."""
     out = []
-    for t in tables:
-        files = t.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-        n, digest = files.agg(F.count("*"), F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time"))).first()
-        out.append(f"{n}:{digest}")
+    for p in paths:
+        at, files = _file(spark, p)
+        held = files.getContentSummary(at)
+        out.append(f"{held.getFileCount()}:{held.getLength()}:{files.getFileStatus(at).getModificationTime()}")
     return ",".join(out)
 
 
