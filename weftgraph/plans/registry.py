@@ -267,6 +267,21 @@ def _walks(step: str, depth: int) -> str:
     return f"w(id, hop) AS (SELECT * FROM start UNION SELECT s.b, hop + 1 FROM w JOIN ({step}) s ON s.a = w.id WHERE hop < {depth})"
 
 
+@query(
+    "+ g AS (SELECT label, count(*) AS n FROM edges GROUP BY label), m AS (SELECT label, count(*) AS n FROM model_edges GROUP BY label) SELECT 'graph' AS graph, 'out' AS direction, label, n FROM g UNION ALL SELECT 'graph', 'in', label, n FROM g UNION ALL SELECT 'model', 'out', label, n FROM m UNION ALL SELECT 'model', 'in', label, n FROM m",
+    "edges",
+    "model_edges",
+)
+def adjacency_counts(p):
+    """The stored adjacency of both graphs, made if the sources have changed, and its steps by label."""
+    out = None
+    for name, stored in (("graph", p.graph), ("model", p.model)):
+        for direction in ("out", "in"):
+            n = stored.counts(direction).select(F.lit(name).alias("graph"), F.lit(direction).alias("direction"), "label", "n")
+            out = n if out is None else out.unionByName(n)
+    return out
+
+
 @query("+ start AS (SELECT 'supplier:3' AS id, 0 AS hop), " + _walks("SELECT DISTINCT dst AS a, src AS b FROM edges", 3) + " SELECT id, min(hop) AS hop FROM w WHERE id <> 'supplier:3' GROUP BY id", "edges")
 def impacted_by(p):
     return T.impacted_by(p.graph, _ids(p, "supplier:3"))

@@ -16,7 +16,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.sources.store import shared_folder, workspace_key
+from weftgraph.sources.store import checkpointed, shared_folder, workspace_key
 
 #: Edges in a bucket, about; a bucket with more (a hub) is several files.
 BUCKET_EDGES, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 8, 4096
@@ -67,20 +67,30 @@ class Adjacency:
         """The rows of `ids` (column id) with label and name of the nodes that there are."""
         return ids.join(self._held("nodes", ids).select("id", "label", "name"), "id")
 
+    def counts(self, direction: str) -> DataFrame:
+        """label, n of the steps in a direction."""
+        return self._tables[direction].groupBy("label").agg(F.count("*").alias("n"))
+
     @property
     def nodes(self) -> DataFrame:
         return self._tables["nodes"].select("ord", "id", "label", "name")
 
 
 def write_adjacency(nodes: DataFrame, edges: DataFrame, base: str) -> Adjacency:
-    """Store a graph under a folder.  A hub's edges are split over tasks and files by Spark's rebalancing."""
+    """Store a graph under a folder.
+
+    Edges are dealt out by ranges of bucket, source and target, so that a hub's edges are split over tasks and files.
+    """
     spark = edges.sparkSession
-    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-edges.count() // BUCKET_EDGES)))
+    edges = checkpointed(edges.select(F.col("ord").cast("long").alias("ord"), "src", "dst", "label"), "edges")
+    n = edges.count()
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-n // BUCKET_EDGES)))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // BUCKET_EDGES))
     for table, a, b in (("out", "src", "dst"), ("in", "dst", "src")):
-        steps = edges.select(F.col("ord").cast("long").alias("ord"), F.col(a).alias("a"), F.col(b).alias("b"), "label").withColumn("bucket", _bucket("a", buckets))
-        steps.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "a").write.partitionBy("bucket").parquet(f"{base}/{table}")
+        steps = edges.select("ord", F.col(a).alias("a"), F.col(b).alias("b"), "label").withColumn("bucket", _bucket("a", buckets))
+        steps.repartitionByRange(tasks, "bucket", "a", "b").sortWithinPartitions("bucket", "a").write.partitionBy("bucket").parquet(f"{base}/{table}")
     held = nodes.select(F.col("ord").cast("long").alias("ord"), "id", "label", "name").withColumn("bucket", _bucket("id", buckets))
-    held.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(f"{base}/nodes")
+    held.repartition(tasks, "bucket", "id").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(f"{base}/nodes")
     return Adjacency(spark, base, buckets)
 
 
