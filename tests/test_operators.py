@@ -216,3 +216,13 @@ def test_rendering(spark):
 def test_common_package(spark):
     df = spark.createDataFrame([("a.b.c",), ("a.b.d.e",), ("a.bc",)], "package string")
     assert rollup.common_package(df).first().prefix == "a"
+
+
+def test_event_bus_links_are_not_made_distinct_again(spark):
+    """Distinct sides give distinct links: nothing is shuffled after the join, whose partitions stay apart."""
+    p = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("b", None), ("a", "y")], "producer string, event_type string")
+    c = spark.createDataFrame([("a", "x"), ("c", "x"), ("c", "x"), ("c", None), ("a", "y")], "consumer string, event_type string")
+    links = linkers.event_bus_links(p, c)
+    assert sorted(tuple(r) for r in links.collect()) == [("a", "c", "x", 0.8), ("b", "a", "x", 0.8), ("b", "c", "x", 0.8)]
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")] and plan.count("RepartitionByExpression") == 2
