@@ -90,6 +90,17 @@ def test_components_as_all_pairs_give_them(spark, bucket):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_keys_are_shuffled_once_and_large_ones_pass_on(spark):
+    """A key of more fingerprints than a task keeps is passed on whole, over many batches; the others give forests."""
+    rows = [(1, f) for f in (0, 1, 255 << 40)] + [(2, f) for f in range(70_000)] + [(3, 7), (4, 8), (4, 9)]
+    keyed = spark.createDataFrame(random.Random(3).sample(rows, len(rows)), "key long, fp long")
+    met = simhash._within_keys(keyed, 512)
+    got = met.collect()
+    assert sorted(r.a for r in got if r.b is None) == list(range(70_000))
+    assert sorted({r.a, r.b} for r in got if r.b is not None) == [{0, 1}, {8, 9}]
+    assert met._jdf.queryExecution().sparkPlan().toString().count("Exchange") + met._jdf.queryExecution().optimizedPlan().toString().count("Repartition") <= 2
+
+
 def test_simhash_of_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in queries.op11_simhash(spark, SF).select("doc_id", "fingerprint", "component_id").collect()), key=str)

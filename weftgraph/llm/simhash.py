@@ -10,8 +10,8 @@
    either no segment has more than 2 of them, and the segments' keys agree at once (36 bits); or one has 3 or
    more, the other two share 1 at most, so one of these is equal and the other agrees by a key (33 or 34 bits).
    Thus every link is met under some key, with up to 6 * 6 * 6 + 6 * 6 keys a fingerprint.
-4. Fingerprints that meet under a key are verified by counting bits.  A key of up to BUCKET fingerprints
-   is handled whole and gives a spanning forest of its links, not its pairs.  The fingerprints of larger keys
+4. Fingerprints that meet under a key are verified by counting bits.  All keys are shuffled once and read in
+   order.  A key of up to BUCKET fingerprints is handled whole and gives a spanning forest of its links, not its pairs.  The fingerprints of larger keys
    are joined by midpoints instead: all words within 2 bits of a fingerprint (2081 of them).  Two fingerprints
    share a midpoint if and only if they differ in 4 bits at most, and none can have more than 2081
    fingerprints around it, so each links those around it to the smallest.  Both ways find every link's
@@ -161,39 +161,80 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _within_keys(members: DataFrame) -> DataFrame:
-    """a, b: a spanning forest of the links of each key.  members: key, fp, at most BUCKET to a key."""
+def _within_keys(keyed: DataFrame, bucket: int) -> DataFrame:
+    """a, b: a spanning forest of the links of each key; of a key with more than `bucket` fingerprints, these with b null.  keyed: key, fp.
+
+    All keys are dealt out once and read in order, so that their rows are shuffled once; a task holds no more
+    of a key than `bucket` fingerprints and a batch.
+    """
 
     def run(batches):
         seen: set[bytes] = set()
         late = (np.empty(0, np.int64), np.empty(0, np.int64))
+        large = None  # the key whose fingerprints are passed on as they come
 
         def links(keys, fps):
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            a, b = [], []
-            for group in np.split(fps, cuts):
+            cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+            sizes = np.diff(cuts)
+            two = cuts[:-1][sizes == 2]
+            x, y = fps[two], fps[two + 1]
+            near = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= BITS
+            a, b = [x[near]], [y[near]]
+            for i in np.flatnonzero(sizes > 2):
+                group = fps[cuts[i] : cuts[i + 1]]
                 mark = group.tobytes() if len(group) < 16 else hash(group.tobytes()).to_bytes(8, "little", signed=True) + group[:8].tobytes()
                 if mark in seen:  # near copies meet under many keys
                     continue
                 if len(seen) >= 1 << 17:
                     seen.clear()
                 seen.add(mark)
-                for i, j in forest(group):
-                    a.append(int(group[i]))
-                    b.append(int(group[j]))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            if batch.num_rows:
-                keys, fps = (np.concatenate([x, c.to_numpy()]) for x, c in zip(late, batch.columns))
+                if len(group) > bucket:
+                    yield group, None
+                    continue
+                found = np.array(forest(group), np.int64).reshape(-1, 2)
+                a.append(group[found[:, 0]])
+                b.append(group[found[:, 1]])
+            yield np.concatenate(a), np.concatenate(b)
+
+        def gathered(batches):
+            some = []
+            for batch in batches:
+                if batch.num_rows:
+                    some.append(batch)
+                if len(some) == 64:
+                    yield some
+                    some = []
+            yield some
+
+        def rows(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], ["a", "b"])
+
+        for some in gathered(batches):
+            if some:
+                keys, fps = (np.concatenate([x, *(b.column(i).to_numpy() for b in some)]) for i, x in enumerate(late))
+                if large is not None:
+                    same = int(np.searchsorted(keys, large, "right"))
+                    if same:
+                        yield rows(fps[:same], None)
+                    keys, fps = keys[same:], fps[same:]
+                    if not len(keys):
+                        late = keys, fps
+                        continue
+                    large = None
                 whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
                 late = keys[whole:], fps[whole:]
+                if len(late[0]) > bucket:
+                    large = late[0][0]
+                    yield rows(late[1], None)
+                    late = late[0][:0], late[1][:0]
                 if whole:
-                    yield links(keys[:whole], fps[:whole])
+                    for a, b in links(keys[:whole], fps[:whole]):
+                        yield rows(a, b)
         if len(late[0]):
-            yield links(*late)
+            for a, b in links(*late):
+                yield rows(a, b)
 
-    dealt = members.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -216,12 +257,9 @@ def _by_midpoints(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """a, b: links between distinct fingerprints whose components are those of all links.  fps: a column fp."""
     keyed = _keyed(fps.repartition(max(1, -(-fps.count() // DEALT))))
-    met = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "keys")
-    two = met.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).select("a", "b")
-    members = checkpointed(keyed.join(met.where("n > 2").select("key", "n"), "key"), "members")
-    some = _within_keys(members.where(F.col("n") <= bucket))
-    many = _by_midpoints(members.where(F.col("n") > bucket).select("fp").distinct())
-    return checkpointed(two.union(some).union(many).distinct(), "links")
+    met = checkpointed(_within_keys(keyed, bucket), "met")
+    many = _by_midpoints(met.where("b is null").select(F.col("a").alias("fp")).distinct())
+    return checkpointed(met.where("b is not null").union(many).distinct(), "links")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
