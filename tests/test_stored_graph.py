@@ -86,6 +86,16 @@ def test_pointer_is_swapped_when_the_sources_change(spark, graph, tmp_path):
     assert A.state_of(spark, f"file://{tmp_path}/t") != before
 
 
+def test_a_version_makes_only_the_tables_that_are_asked_for(spark, graph, tmp_path):
+    nodes, edges, _ = graph
+    lazy = A.active(spark, str(tmp_path), "lazy", "one", lambda: (nodes, edges))
+    stored = lambda: {t for t in ("out", "in", "nodes") if A.read_pointer(spark, f"{lazy.base}/{t}")}
+    assert T.impacted_by(lazy, ids(spark)).count() == lazy.nodes_of(ids(spark)).count() == 0 and lazy.nodes.count() == 7 and stored() == set()
+    assert rows(T.impacted_by(lazy, ids(spark, "c"))) == rows(T.impacted_by(edges, ids(spark, "c"))) and stored() == {"in"}
+    again = A.active(spark, str(tmp_path), "lazy", "one", lambda: (nodes, edges))
+    assert rows(T.reachable(again, ids(spark, "a"))) == rows(T.reachable(edges, ids(spark, "a"))) and stored() == {"in", "out"}
+
+
 def test_an_empty_graph(spark, graph, tmp_path):
     nodes, edges, _ = graph
     empty = A.write_adjacency(nodes.limit(0), edges.limit(0), f"file://{tmp_path}/none")
