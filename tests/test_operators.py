@@ -226,3 +226,16 @@ def test_event_bus_links_are_not_made_distinct_again(spark):
     assert sorted(tuple(r) for r in links.collect()) == [("a", "c", "x", 0.8), ("b", "a", "x", 0.8), ("b", "c", "x", 0.8)]
     plan = links._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")] and plan.count("RepartitionByExpression") == 2
+
+
+def test_dependency_flow_walks_from_components(spark, monkeypatch):
+    """Entrypoints that share a component share its walk; an entrypoint with several components keeps the fewest hops."""
+    from weftgraph.operators import flow
+
+    seen = []
+    monkeypatch.setattr(flow, "checkpointed", lambda df, name: seen.append(df.columns) or df.cache())
+    e = spark.createDataFrame([("e", "a"), ("e", "a"), ("f", "a"), ("g", "a"), ("g", "b"), ("h", None)], "id string, component_id string")
+    comps = spark.createDataFrame([(c, "SERVICE", "plain") for c in "abc"] + [("u", "UTILITY", "plain")], "id string, type string, stereotype string")
+    got = sorted(tuple(r) for r in flow.dependency_flow(e, edges(spark, [("a", "u"), ("u", "c"), ("b", "c"), ("c", "a")]), comps).collect())
+    assert got == [("e", "a", 0), ("e", "c", 2), ("f", "a", 0), ("f", "c", 2), ("g", "a", 0), ("g", "b", 0), ("g", "c", 1)]
+    assert all("entrypoint_id" not in columns for columns in seen)
