@@ -239,3 +239,15 @@ def test_dependency_flow_walks_from_components(spark, monkeypatch):
     got = sorted(tuple(r) for r in flow.dependency_flow(e, edges(spark, [("a", "u"), ("u", "c"), ("b", "c"), ("c", "a")]), comps).collect())
     assert got == [("e", "a", 0), ("e", "c", 2), ("f", "a", 0), ("f", "c", 2), ("g", "a", 0), ("g", "b", 0), ("g", "c", 1)]
     assert all("entrypoint_id" not in columns for columns in seen)
+
+
+def test_reaching_walks_over_numbers(spark, monkeypatch):
+    from weftgraph.operators import flow
+
+    seen = []
+    monkeypatch.setattr(flow, "checkpointed", lambda df, name: seen.append((name, [t for _, t in df.dtypes])) or df.localCheckpoint())
+    calls = spark.createDataFrame([("a", "m", "b", "m"), ("b", "m", "c", "m"), ("c", "m", "a", "m"), ("x", None, "c", "m")], "from_id string, from_method string, to_id string, to_method string")
+    calls = calls.select("*", F.lit("direct").alias("call_kind"), F.lit(False).alias("capped"), F.lit(False).alias("ambiguous"))
+    at = spark.createDataFrame([("c", "m"), ("lone", "m"), ("c", "m")], "component_id string, method string")
+    assert found(flow.reaching(at, calls), "component_id", "method", "c", "m") == {("c", "m", x, "m") for x in "abc"} | {("lone", "m", "lone", "m")}
+    assert {tuple(t) for name, t in seen if name == "reach"} == {("bigint", "bigint")}

@@ -224,16 +224,22 @@ def data_flow_sinks(states: DataFrame, calls: DataFrame, components: DataFrame,
 def reaching(locations: DataFrame, calls: DataFrame) -> DataFrame:
     """component_id, method (of `locations`), c, m: methods from which inline calls reach each location, to a fixpoint.
 
-    Backwards from the few locations asked for, not forwards from every entrypoint.
+    Backwards from the few locations asked for, not forwards from every entrypoint.  Methods are numbered by a
+    stored table, so that frontiers are pairs of numbers; names are joined to what was found.
     """
     back = calls.where(can_traverse_inline()).select(F.col("to_id").alias("c"), F.col("to_method").alias("m"), F.col("from_id").alias("next_c"), F.col("from_method").alias("next_m")).distinct()
     start = locations.select("component_id", "method").distinct()
-    seen = front = checkpointed(start.select("component_id", "method", F.col("component_id").alias("c"), F.col("method").alias("m")), "reach")
+    every = start.toDF("c", "m").unionByName(back.select("c", "m")).unionByName(back.select(F.col("next_c").alias("c"), F.col("next_m").alias("m")))
+    named = checkpointed(every.where("c is not null and m is not null").distinct().withColumn("n", F.monotonically_increasing_id()), "methods")
+    steps = back.join(named.withColumnRenamed("n", "a"), ["c", "m"]).join(named.select(F.col("c").alias("next_c"), F.col("m").alias("next_m"), F.col("n").alias("b")), ["next_c", "next_m"])
+    steps = checkpointed(steps.select("a", "b"), "calls")
+    seen = front = checkpointed(start.toDF("c", "m").join(named, ["c", "m"]).select(F.col("n").alias("at"), "n"), "reach")
     while True:
-        front = checkpointed(front.join(back, ["c", "m"]).select("component_id", "method", F.col("next_c").alias("c"), F.col("next_m").alias("m")).distinct().join(seen, ["component_id", "method", "c", "m"], "left_anti"), "reach")
+        front = checkpointed(front.join(steps, F.col("n") == F.col("a")).select("at", F.col("b").alias("n")).distinct().join(seen, ["at", "n"], "left_anti"), "reach")
         if front.isEmpty():
-            return seen
+            break
         seen = seen.unionByName(front)
+    return seen.join(named.select(F.col("c").alias("component_id"), F.col("m").alias("method"), F.col("n").alias("at")), "at").join(named, "n").select("component_id", "method", "c", "m")
 
 
 def call_graph_reach(entrypoints: DataFrame, sites: DataFrame, calls: DataFrame, sinks: DataFrame, tracked: DataFrame) -> DataFrame:
