@@ -251,3 +251,15 @@ def test_reaching_walks_over_numbers(spark, monkeypatch):
     at = spark.createDataFrame([("c", "m"), ("lone", "m"), ("c", "m")], "component_id string, method string")
     assert found(flow.reaching(at, calls), "component_id", "method", "c", "m") == {("c", "m", x, "m") for x in "abc"} | {("lone", "m", "lone", "m")}
     assert {tuple(t) for name, t in seen if name == "reach"} == {("bigint", "bigint")}
+
+
+def test_handoffs_of_a_field_are_not_compared_again(spark, monkeypatch):
+    from weftgraph.operators import answers
+
+    stored = []
+    keep = answers.checkpointed
+    monkeypatch.setattr(answers, "checkpointed", lambda df, name: stored.append(keep(df, name)) or stored[-1])
+    a = spark.createDataFrame([(c, k, "o", "f1") for c, k in (("w", "WRITE"), ("w", "READ"), ("r", "READ"), ("x>y", "READ"), ("x", "WRITE"), ("y>r", "READ"), ("x>y", "WRITE"))], "component_id string, kind string, owner_id string, field string")
+    got = answers.state_lifecycle(a, linkers.state_handoffs(a), "f1").where("section = 'handoffs'").select("item").collect()
+    assert sorted(r.item for r in got) == sorted({f"{w}>{r}" for w in ("w", "x", "x>y") for r in ("w", "r", "x>y", "y>r") if w != r})
+    assert {r.item for r in stored[0].where("section = 'handoffs'").collect()} == {r.item for r in got if r.item.count(">") > 1}
