@@ -70,9 +70,16 @@ def _marker(code: int, body: bytes) -> bytes:
 
 def _dht(kind: int, at: int, lengths: dict[int, int]) -> bytes:
     """lengths: code length of each symbol."""
-    order = sorted(lengths, key=lambda s: (lengths[s], s))
-    counts = bytes(sum(v == n for v in lengths.values()) for n in range(1, 17))
-    return _marker(0xC4, bytes([kind << 4 | at]) + counts + bytes(order))
+    return _table(kind, at, tuple(sorted((n, s) for s, n in lengths.items())))
+
+
+@lru_cache(maxsize=256)
+def _table(kind: int, at: int, order: tuple[tuple[int, int], ...]) -> bytes:
+    """A table's segment; most pictures share theirs."""
+    counts = bytearray(16)
+    for n, _ in order:
+        counts[n - 1] += 1
+    return _marker(0xC4, bytes([kind << 4 | at]) + bytes(counts) + bytes(s for _, s in order))
 
 
 def _scan(components: list[tuple[int, int, int]], band: tuple[int, int], high: int, low: int, bits: np.ndarray) -> bytes:
@@ -296,7 +303,7 @@ def _read_scan(bits: np.ndarray, order: list[tuple[Component, np.ndarray, int, i
                     got = np.where(words >= 128, words, words - 255)
             if table.codes != {(1, 0): w - 1} or w != 9:
                 got = table.values(w)[cells.astype(np.int64) @ (1 << np.arange(w - 1, -1, -1))]
-            coef[blocks, start : end + 1] = got.reshape(-1, size) << low
+            coef[_span(blocks), start : end + 1] = got.reshape(-1, size) << low
             return
         i = 0
         while i < len(blocks):
@@ -346,10 +353,15 @@ def _correct(coef: np.ndarray, blocks: np.ndarray, start: int, end: int, reader:
     """Correction bits of the coefficients that are not zero yet, of whole blocks in order."""
     if start > end or not len(blocks):
         return
-    part = coef[blocks, start : end + 1]
-    known = part != 0
-    part[known] += np.sign(part[known]) * one * reader.flat(int(known.sum())).astype(np.int32)
-    coef[blocks, start : end + 1] = part
+    at = _span(blocks)
+    part = coef[at, start : end + 1]
+    if part.all():
+        part += np.where(part > 0, np.int32(one), np.int32(-one)) * reader.flat(part.size).reshape(part.shape)
+    else:
+        known = part != 0
+        part[known] += np.sign(part[known]) * one * reader.flat(int(known.sum())).astype(np.int32)
+    if at is blocks:
+        coef[blocks, start : end + 1] = part
 
 
 _NEXT_MARKER = re.compile(rb"\xff+[^\x00\xd0-\xd7\xff]", re.DOTALL)
@@ -376,6 +388,24 @@ def _segments(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
         yield code, body, coded
 
 
+@lru_cache(maxsize=4)
+def _grid(down: int, across: int, stride: int) -> np.ndarray:
+    """Blocks of a component in the order of a scan of its own; the scans of a picture share it."""
+    return (np.arange(down)[:, None] * stride + np.arange(across)).reshape(-1, 1)
+
+
+@lru_cache(maxsize=4)
+def _mcu_grid(down: int, across: int, v: int, h: int, stride: int) -> np.ndarray:
+    """Blocks of a component in the order of a scan of several, a row for each MCU."""
+    r, c = np.arange(down)[:, None, None, None] * v, np.arange(across)[None, :, None, None] * h
+    return ((r + np.arange(v)[:, None]) * stride + c + np.arange(h)).reshape(down * across, -1)
+
+
+def _span(blocks: np.ndarray) -> np.ndarray | slice:
+    """Rising numbers of blocks as a slice, which copies nothing, if none is left out."""
+    return slice(blocks[0], blocks[-1] + 1) if len(blocks) and blocks[-1] - blocks[0] + 1 == len(blocks) else blocks
+
+
 def read(data: bytes) -> Picture:
     """All scans of a progressive JPEG, accumulated in coefficient arrays (zigzag order)."""
     if data[:2] != b"\xff\xd8":
@@ -420,10 +450,9 @@ def read(data: bytes) -> Picture:
             for i in range(body[0]):
                 comp = next(c for c in picture.components if c.ident == body[1 + 2 * i])
                 if body[0] == 1:
-                    blocks = (np.arange(comp.down)[:, None] * comp.stride + np.arange(comp.across)).reshape(-1, 1)
+                    blocks = _grid(comp.down, comp.across, comp.stride)
                 else:
-                    r, c = np.arange(my)[:, None, None, None] * comp.v, np.arange(mx)[None, :, None, None] * comp.h
-                    blocks = ((r + np.arange(comp.v)[:, None]) * comp.stride + c + np.arange(comp.h)).reshape(mx * my, -1)
+                    blocks = _mcu_grid(my, mx, comp.v, comp.h, comp.stride)
                 order.append((comp, blocks, body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15))
             start, end, approx = body[1 + 2 * body[0] : 4 + 2 * body[0]]
             parts = _RESTART.split(coded) if restart else [coded]
