@@ -50,21 +50,36 @@ NEVER_STATE = ("Logger", "Log", "Slf4j", "Tracer")
 NEVER_STATE_PREFIXES = ("Audit",)
 
 
+#: Steps that a round of a closure takes.
+STRIDE = 4
+
+
 def ancestors(supertypes: DataFrame) -> DataFrame:
-    """type, ancestor, depth: every supertype of every type, with the fewest steps to it; cycles end."""
-    from weftgraph.sources.store import checkpointed
+    """type, ancestor, depth: every supertype of every type, with the fewest steps to it; cycles end.
+
+    A round takes up to STRIDE steps from the pairs that lie a whole number of rounds apart: the shortest way to
+    any pair that is farther leads through such a one.
+    """
+    from weftgraph.sources.store import Parts, checkpointed
 
+    pair = ["type", "ancestor"]
     step = supertypes.where("supertype <> ''").select("type", F.col("supertype").alias("ancestor")).where("type <> ancestor").distinct()
-    seen = front = checkpointed(step.withColumn("depth", F.lit(1)), "ancestors")
+    step = checkpointed(step, "supertypes")
     up = step.select(F.col("type").alias("ancestor"), F.col("ancestor").alias("next"))
-    depth = 1
+    last, within = step, step.withColumn("depth", F.lit(1))
+    for depth in range(2, STRIDE + 1):
+        last = last.join(up, "ancestor").select("type", F.col("next").alias("ancestor")).where("type <> ancestor").distinct()
+        within = within.unionByName(last.withColumn("depth", F.lit(depth)))
+    seen = Parts(supertypes.sparkSession, "ancestors")
+    near = front = seen.add(within.groupBy(*pair).agg(F.min("depth").alias("depth")))
+    on = near.select(F.col("type").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+    reach = STRIDE
     while True:
-        depth += 1
-        further = front.join(up, "ancestor").select("type", F.col("next").alias("ancestor")).where("type <> ancestor").distinct()
-        front = checkpointed(further.join(seen, ["type", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "ancestors")
+        further = front.where(F.col("depth") == reach).join(on, "ancestor").where("type <> next").groupBy("type", F.col("next").alias("ancestor")).agg((F.min("more") + reach).alias("depth"))
+        front = seen.add(further.join(seen.read(), pair, "left_anti"))
         if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
+            return seen.read()
+        reach += STRIDE
 
 
 def expansions(types: DataFrame, above: DataFrame) -> DataFrame:
@@ -122,20 +137,20 @@ def _expanded(calls: DataFrame, expanded: DataFrame, declared: str) -> DataFrame
     return calls.select("ord", F.col(declared).alias("declared")).join(expanded, "declared").select("ord", F.col("target").alias("type"), "place", "evidence", "capped")
 
 
-def resolve(invocations: DataFrame, types: DataFrame, supertypes: DataFrame, fields: DataFrame, variables: DataFrame, methods: DataFrame) -> DataFrame:
+def resolve(invocations: DataFrame, types: DataFrame, supertypes: DataFrame, fields: DataFrame, variables: DataFrame, methods: DataFrame, above: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
     """ord, type, place, evidence, confidence, capped: the types that each call's receiver can be.
 
     The first way that tells anything counts.  An element of an array: what was allocated into the field,
     else its declared type.  A call's result: its declared type; else, unless a library method was called,
     the first type with a method of the accessor's name, if the outer call works on a collection or nothing
     is declared.  A variable: what the local was given, what the field was given, the field's declared type,
-    the variable's declared type.
+    the variable's declared type.  `above`, `seen`: the ancestors and the visible fields, where they are known already.
     """
     from weftgraph.sources.store import checkpointed
 
-    above = ancestors(supertypes)
+    above = ancestors(supertypes) if above is None else above
     expanded = checkpointed(expansions(types, above), "expansions")
-    seen = checkpointed(visible_fields(fields, supertypes), "fields")
+    seen = checkpointed(visible_fields(fields, supertypes), "fields") if seen is None else seen
     ways: list[tuple[int, DataFrame]] = []
 
     arrays = invocations.where("target = 'array' and name is not null").select("ord", "owner", "name").join(seen, ["owner", "name"])
@@ -192,18 +207,20 @@ def call_edges(invocations: DataFrame, types: DataFrame, supertypes: DataFrame,
     """from_id, from_method, to_id, to_method, arm, call_kind, evidence, confidence, capped, ambiguous, killed.
 
     One edge for each pair of methods and arm of a branch, the first in the sources.  Calls on the object
-    itself are `intra` edges; a field read whose receiver nothing tells goes to the field's component.
+    itself are `intra` edges; a field read whose receiver nothing tells goes to the component
+    of the field that its type sees, an inherited one included.
     """
     from weftgraph.sources.store import checkpointed
 
-    found = checkpointed(resolve(invocations, types, supertypes, fields, variables, methods), "resolved")
+    above, seen = ancestors(supertypes), checkpointed(visible_fields(fields, supertypes), "fields")
+    found = checkpointed(resolve(invocations, types, supertypes, fields, variables, methods, above, seen), "resolved")
     known = types.where("component_id is not null").select("id", "component_id")
     calls = invocations.join(known.withColumnRenamed("id", "owner").withColumnRenamed("component_id", "from_id"), "owner")
     calls = calls.select("ord", "owner", "from_id", F.col("method").alias("from_method"), F.col("callee").alias("to_method"), "target", "name", "arm")
     base = ["ord", "from_id", "from_method", "to_id", "to_method", "arm", "place", "call_kind", "evidence", "confidence", "capped"]
     told = calls.join(found, "ord").join(known.select(F.col("id").alias("type"), F.col("component_id").alias("to_id")), "type").where("to_id <> from_id").withColumn("call_kind", F.lit("direct"))
     told = told.withColumn("evidence", F.replace(F.lower("evidence"), F.lit("_"), F.lit("-")))
-    reads = calls.where("target = 'field'").join(found.select("ord").distinct(), "ord", "left_anti").join(field_components(fields, types, ancestors(supertypes)).withColumnRenamed("component_id", "to_id"), ["owner", "name"])
+    reads = calls.where("target = 'field'").join(found.select("ord").distinct(), "ord", "left_anti").join(field_components(seen, types, above).withColumnRenamed("component_id", "to_id"), ["owner", "name"])
     reads = reads.where("to_id <> from_id").select("*", F.lit(0).alias("place"), F.lit("direct").alias("call_kind"), F.lit("legacy-field-read").alias("evidence"), F.lit(0.85).alias("confidence"), F.lit(False).alias("capped"))
     inner = calls.where("target is null or target = 'this'").join(methods.select("owner", F.col("name").alias("to_method")).distinct(), ["owner", "to_method"]).where("to_method <> from_method")
     inner = inner.select("*", F.col("from_id").alias("to_id"), F.lit(0).alias("place"), F.lit("intra").alias("call_kind"), F.lit(None).cast("string").alias("evidence"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("capped"))
