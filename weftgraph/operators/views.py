@@ -12,6 +12,8 @@ VIEW_EDGES = ("DEPENDS_ON", "STATE_HANDOFF", "READS_STATE", "WRITES_STATE", "STA
 PRIMARY_TYPES = ("REST_RESOURCE", "SERVICE", "EJB_STATELESS", "EJB_STATEFUL", "EJB_SINGLETON", "MESSAGE_DRIVEN_BEAN", "SCHEDULER", "HTTP_CLIENT", "CDI_EVENT_CONSUMER", "CDI_EVENT_PRODUCER", "REMOTE_SERVICE", "REPOSITORY")
 ENTRYPOINT_RANKS = ("MESSAGING_CONSUMER", "SCHEDULER", "REST_ENDPOINT", "MAIN_METHOD")
 CANDIDATES, SCOPE_EDGES = 500, 100
+#: Nodes of many slices up to which a slice is joined by lists.
+WIDE = 100
 BROKERS = {"smallrye-kafka": "KAFKA", "smallrye-mqtt": "MQTT", "smallrye-amqp": "AMQP", "smallrye-rabbitmq": "RABBITMQ", "smallrye-pulsar": "PULSAR"}
 BROKER_NAMES = {"KAFKA": "Kafka", "MQTT": "MQTT", "AMQP": "AMQP", "RABBITMQ": "RabbitMQ", "PULSAR": "Pulsar", "JMS": "JMS", "UNKNOWN": "Messaging (unknown broker)"}
 
@@ -191,19 +193,55 @@ def project_pipeline(segment_ids: DataFrame, boundary: DataFrame, edges: DataFra
 
     segment_ids, boundary: slice, id.  First the spine: ORIGINATES into a segment, REACHES from a segment to a
     boundary sink, WORKFLOW_LINK between segments.  Then what boundary sinks point at; then every edge
-    between what these have selected.  Edges join by their ends, so no slice scans the graph on its own.
+    between what these have selected, which these edges are themselves.  So only the ends of spine and aims are
+    gathered, and edges are made distinct before they meet the slices, of which they are shown in many.
     """
+    from weftgraph.sources.store import checkpointed
+
     seg, sink = segment_ids.select("slice", "id").distinct(), boundary.select("slice", "id").distinct()
     src = lambda df: df.withColumnRenamed("id", "src")
     dst = lambda df: df.withColumnRenamed("id", "dst")
+    ends = edges.where("label <> 'HAS_SEGMENT'").select("src", "dst", "label")
+    of = lambda *labels: ends.where(F.col("label").isin(*labels)).drop("label")
+    side = lambda df, c: df.select("slice", F.col(c).alias("id"))
+    aims = of("AT_COMPONENT", "ON_FIELD").join(src(sink), "src")
+    aims = checkpointed(aims.select("slice", F.explode(F.array("src", "dst")).alias("id")).distinct(), "aims")
+    ids = seg.unionByName(aims).unionByName(side(of("ORIGINATES").join(dst(seg), "dst"), "src"))
+    loose = checkpointed(sink.join(aims, ["slice", "id"], "left_anti"), "loose")
+    if not loose.isEmpty():
+        ids = ids.unionByName(side(of("REACHES").join(dst(loose), "dst").join(src(seg), ["slice", "src"]), "dst"))
+        ids = ids.unionByName(side(of("LINKS_TO").join(src(loose), "src").join(dst(seg), ["slice", "dst"]), "src"))
+    ids = checkpointed(ids.distinct().where("id not like 'chain:%'"), "shown")
+    return edges_of_slices(edges.where("label <> 'HAS_SEGMENT'").select("src", "dst", "label", "ord"), ids)
+
+
+def edges_of_slices(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """slice, src, dst, label, ord: each distinct edge once for each slice that shows both of its ends.  ids: slice, id, distinct.
+
+    Most nodes are shown in one slice, which their edges then go to.  An edge between two nodes of many slices
+    meets the slices of its source, each with a list of what else of many slices it shows, and is tested there:
+    no row is shuffled for an edge that a slice does not show.  The lists of a slice of more than WIDE such
+    nodes would grow with the square, so its edges are joined by both ends.
+    """
+    from weftgraph.sources.store import checkpointed
+
+    of = ids.groupBy("id").agg(F.count("*").alias("n"), F.min("slice").alias("slice"))
+    at = of.select("id", (F.col("n") > 1).alias("many"), F.when(F.col("n") == 1, F.col("slice")).alias("slice"))
+    at = checkpointed(at, "at")
+    end = lambda c, m, s: at.select(F.col("id").alias(c), F.col("many").alias(m), F.col("slice").alias(s))
     cols = ["slice", "src", "dst", "label", "ord"]
-    of = lambda *labels: edges.where(F.col("label").isin(*labels))
-    spine = of("ORIGINATES").join(dst(seg), "dst").select(cols)
-    spine = spine.unionByName(of("REACHES").join(src(seg), "src").join(dst(sink), ["slice", "dst"]).select(cols))
-    spine = spine.unionByName(of("LINKS_TO").join(src(sink), "src").join(dst(seg), ["slice", "dst"]).select(cols))
-    spine = spine.unionByName(of("WORKFLOW_LINK").join(src(seg), "src").join(dst(seg), ["slice", "dst"]).select(cols))
-    aims = of("AT_COMPONENT", "ON_FIELD").join(src(sink), "src").select(cols)
-    picked = spine.unionByName(aims)
-    ids = seg.unionByName(picked.select("slice", F.col("src").alias("id"))).unionByName(picked.select("slice", F.col("dst").alias("id"))).distinct()
-    rest = edges.where("label <> 'HAS_SEGMENT'").join(src(ids), "src").join(dst(ids), ["slice", "dst"]).select(cols)
-    return picked.unionByName(rest).distinct().where("src not like 'chain:%' and dst not like 'chain:%'")
+    both = edges.repartition("src").distinct().join(end("src", "many_a", "a"), "src").join(end("dst", "many_b", "b"), "dst")
+    both = both.where("many_a or many_b or a = b")
+    both = checkpointed(both.select(F.when(F.col("many_a"), F.col("b")).otherwise(F.col("a")).alias("slice"), "many_a", "many_b", "src", "dst", "label", "ord"), "inner")
+    single = both.where("not many_a and not many_b").select(cols)
+    shared = ids.join(at.where("many").select("id"), "id", "left_semi")
+    shared = checkpointed(shared, "shared")
+    one = both.where("many_a <> many_b").withColumn("id", F.when(F.col("many_a"), F.col("src")).otherwise(F.col("dst"))).join(shared, ["slice", "id"], "left_semi").select(cols)
+    hubs = both.where("many_a and many_b").select("src", "dst", "label", "ord")
+    size = shared.groupBy("slice").agg(F.count("*").alias("n"))
+    lists = shared.join(size.where(F.col("n") <= WIDE).select("slice"), "slice", "left_semi").groupBy("slice").agg(F.collect_list("id").alias("others"))
+    near = lists.select("slice", F.explode("others").alias("src"), "others")
+    listed = hubs.join(near, "src").where(F.array_contains("others", F.col("dst"))).select(cols)
+    wide = shared.join(size.where(F.col("n") > WIDE).select("slice"), "slice", "left_semi")
+    joined = hubs.join(wide.withColumnRenamed("id", "src"), "src").join(wide.withColumnRenamed("id", "dst"), ["slice", "dst"]).select(cols)
+    return single.unionByName(one).unionByName(listed).unionByName(joined)
