@@ -35,22 +35,23 @@ def followed(expressions: DataFrame, arguments: DataFrame, headers: DataFrame, r
 def constants(roots: DataFrame, expressions: DataFrame, steps: DataFrame, depth: int = DEPTH) -> DataFrame:
     """root, value: the string constants that each root expression can have.
 
-    All roots are followed at once; an expression is followed once for each root, by its shortest way, so
-    cycles end.  A constant initializer of a field counts with the field.
+    Taken backwards from the constants: an expression has each value once, by its shortest way, so cycles end and
+    what lies behind an expression is not followed again for each root that leads there.  A constant
+    initializer of a field counts with the field.
     """
-    from weftgraph.sources.store import checkpointed
+    from weftgraph.sources.store import Parts, checkpointed
 
-    front = seen = checkpointed(roots.select(F.col("expression").alias("root"), "expression").distinct(), "roots")
+    literal = expressions.where("kind = 'literal' and value is not null").select("id", "value")
+    fields = expressions.where("kind = 'field'").select("id", "init").join(literal.withColumnRenamed("id", "init"), "init").select("id", "value")
+    seen = Parts(expressions.sparkSession, "constants")
+    front = seen.add(literal.unionByName(fields).select(F.col("id").alias("expression"), "value").distinct())
     step = checkpointed(steps, "steps")
     for _ in range(depth - 1):
-        further = front.join(step, "expression").select("root", F.col("next").alias("expression")).distinct()
-        front = checkpointed(further.join(seen, ["root", "expression"], "left_anti"), "followed")
+        further = front.withColumnRenamed("expression", "next").join(step, "next").select("expression", "value").distinct()
+        front = seen.add(further.join(seen.read(), ["expression", "value"], "left_anti"))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    literal = expressions.where("kind = 'literal' and value is not null").select("id", "value")
-    fields = expressions.where("kind = 'field'").select("id", "init").join(literal.withColumnRenamed("id", "init"), "init").select("id", "value")
-    return seen.join(literal.unionByName(fields), F.col("expression") == F.col("id")).select("root", "value").distinct()
+    return roots.select("expression").distinct().join(seen.read(), "expression").select(F.col("expression").alias("root"), "value")
 
 
 def resolve_topics(sites: DataFrame, expressions: DataFrame, arguments: DataFrame, headers: DataFrame, returns: DataFrame, types: DataFrame, supertypes: DataFrame, depth: int = DEPTH) -> DataFrame:
