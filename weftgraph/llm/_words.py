@@ -35,7 +35,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Polynomial hash of values[start:end] for each range."""
     power, inverse = _tables(len(values) + 1)
     total = np.zeros(len(values) + 1, dtype=np.uint64)
@@ -57,7 +57,7 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        return _ranges(_BYTE[self.buffer], self.starts, self.ends)
+        return ranges(_BYTE[self.buffer], self.starts, self.ends)
 
     def word(self, i: int) -> bytes:
         return self.raw[self.starts[i] : self.ends[i]]
@@ -75,7 +75,7 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of words i to i + k - 1 for every i; runs that cross a document's end are the caller's to drop."""
     n = max(0, len(hashes) - k + 1)
     at = np.arange(n)
-    return _ranges(hashes, at, at + k)
+    return ranges(hashes, at, at + k)
 
 
 def run_starts(counts: np.ndarray, k: int) -> np.ndarray:

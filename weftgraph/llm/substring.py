@@ -12,10 +12,12 @@ word sequence that also starts earlier: in a smaller doc_id, or earlier in the s
    or, where an anchor has more than `common` occurrences, window by window.  Runs of windows whose words
    occur twice are passages, each with its earliest place; the document shards that hold its segment are
    told where in their own documents it stands, so no words are sent back.
-3. Automata.  A document shard holds about `shard_bytes` of text.  It compiles the phrases of its
-   passages with pyahocorasick into automata of bounded size and streams all its documents, whole,
-   through them; wherever a phrase is found, the passage is followed to both sides as far as the words
-   agree.  So every document is streamed once, and a shard's automata are bounded by its own text.
+3. Automata.  A document shard holds about `shard_bytes` of text.  Passages that continue each other are
+   joined, and of their phrases as few are kept as leave no window without one.  The shard compiles
+   these with pyahocorasick into automata of bounded size and streams all its documents, whole, through
+   them; wherever a phrase is found, the passage is followed to both sides as far as the words agree,
+   once for all its phrases in that run.  So every document is streamed once for each automaton, of which
+   most shards have one, and a shard's automata are bounded by its own text.
 4. The words of located windows go, except at a passage's earliest place.
 
 Defined results: a null text has no words; a null doc_id is the smallest; rows that repeat a doc_id
@@ -28,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import math
 from array import array
-from itertools import groupby
+from itertools import chain, compress, groupby, product
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm._rows import STEP_BYTES, bounded_batches, checkpointed, slices
-from weftgraph.llm._words import Words, run_starts, runs
+from weftgraph.llm._words import Words, ranges, run_starts, runs
 
 #: Phrases that an automaton holds at most.
-PHRASES = 20_000
+PHRASES = 40_000
 #: Rows that a batch of results holds at most.
 ROWS = 2000
 NO_ID = -(1 << 63)
@@ -47,9 +49,8 @@ NO_ID = -(1 << 63)
 _BITS = 5
 
 
-def _anchors(words: Words, window: int, phrase: int):
+def _anchors(words: Words, hashes: np.ndarray, window: int, phrase: int):
     """Per governed run of windows: document, anchor hash (48 bits; a chance match only adds a candidate), first window (word index), number of windows, anchor (word index)."""
-    hashes = words.hashes()
     if len(hashes) < window:
         none = np.empty(0, np.int64)
         return none, none.astype(np.uint64), none, none, none
@@ -70,6 +71,11 @@ def _signed(h) -> np.ndarray:
     return np.asarray(h, dtype=np.uint64).view(np.int64)
 
 
+def _values(column) -> list:
+    """A column without nulls as Python values; `to_pylist` makes an Arrow scalar of each first, which takes several times as long."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _batch(rows: list[tuple], fields: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(fields), fields.values())], list(fields))
 
@@ -129,67 +135,108 @@ def _confirmed(found: dict, window: int):
                         run = (j, w[2])
 
 
+def _whole_passages(told, window: int, phrase: int):
+    """told: (d, h, at, size, off, earliest place).  Yields (d, h, at, size, earliest place, phrases).
+
+    Runs whose windows follow each other, in the document and at the earliest place, are one passage.  Its
+    phrases are (begin, end) in the document: of the runs' own as few as leave no window without one.
+    """
+    now, phrases, end, free, held = None, [], 0, 0, -1  # free: first window without a phrase; held: the last anchor that it reaches
+    for d, h, at, size, off, fd, fh, fat in sorted(told):
+        key = (d, h, fd, fh, fat - at)
+        if key != now or at != end - window + 1:
+            if now is not None:
+                if held >= 0:
+                    phrases.append((held, held + phrase))
+                yield *now[:2], begin, end - begin, *now[2:4], now[4] + begin, phrases
+            now, begin, phrases, free, held = key, at, [], at, -1
+        end = at + size
+        if held >= 0 and (off < 0 or at + off > free + window - phrase):
+            phrases.append((held, held + phrase))
+            free, held = held + 1, -1
+        if off >= 0:
+            held = at + off
+        elif at >= free:
+            phrases.append((at, end))
+            free = at + 1
+    if now is not None:
+        if held >= 0:
+            phrases.append((held, held + phrase))
+        yield *now[:2], begin, end - begin, *now[2:4], now[4] + begin, phrases
+
+
+def _agreed(same, most: int) -> int:
+    """The largest number of words up to `most` of which the first agree; same(lo, hi): do words lo to hi - 1?"""
+    lo, step = 0, 4
+    while lo < most:
+        hi = min(lo + step, most) if step else (lo + most + 1) // 2
+        if same(lo, hi):
+            lo, step = hi, 2 * step
+        else:
+            most, step = hi - 1, 0
+    return lo
+
+
 class Located:
-    """The automata of one shard's passages: (words, offset of the phrase, earliest place).
+    """The automata of the passages of one shard, whose documents (d, h) -> words they are parts of.
 
     A word is a few characters: the digits of its number, each place with an alphabet of its own.  So a
     node of an automaton has few children, which are searched one by one, and no match starts inside a word.
     """
 
-    def __init__(self, passages, window: int, phrase: int):
+    def __init__(self, documents: dict[tuple, list[bytes]], told, window: int, phrase: int):
         import ahocorasick
 
-        self.window, split = window, list(passages)
-        self.spelled = dict.fromkeys(w for words, *_ in split for w in words)
-        self.width = 1
-        while 1 << _BITS * self.width <= len(self.spelled):
-            self.width += 1
-        self.unknown = self.spell(0)
-        for i, w in enumerate(self.spelled, 1):
-            self.spelled[w] = self.spell(i)
-        d, by_phrase = self.width, {}
-        for words, off, fd, fh, fat in split:
-            text = "".join(map(self.spelled.__getitem__, words))
-            by_phrase.setdefault(text[off * d : (off + phrase) * d] if off >= 0 else text, []).append((text, max(off, 0), fd, fh, fat))
+        self.window = window
+        words = dict.fromkeys(chain.from_iterable(documents.values()))
+        d = self.width = next(k for k in range(1, 13) if len(words) <= 1 << _BITS * k)
+        digits = [[chr(0x100 + (k << _BITS) + i) for i in range(1 << _BITS)] for k in range(d)]
+        spelled = dict(zip(words, map("".join, product(*digits))))
+        self.texts = {key: "".join(map(spelled.__getitem__, of)) for key, of in documents.items()}
+        self.passages, by_phrase = [], {}
+        for pd, ph, at, size, *place, phrases in _whole_passages(told, window, phrase):
+            text = self.texts[pd, ph]
+            for begin, end in phrases:
+                by_phrase.setdefault(text[begin * d : end * d], []).append((len(self.passages), begin - at))
+            self.passages.append((text[at * d : (at + size) * d], size, *place))
         self.automata = []
-        phrases = list(by_phrase.items())
-        for at in range(0, len(phrases), PHRASES):
+        found = list(by_phrase.items())
+        for at in range(0, len(found), PHRASES):
             automaton = ahocorasick.Automaton()
-            for key, entries in phrases[at : at + PHRASES]:
+            for key, entries in found[at : at + PHRASES]:
                 automaton.add_word(key, (len(key) // d, entries))
             automaton.make_automaton()
             self.automata.append(automaton)
 
-    def spell(self, number: int) -> str:
-        return "".join([chr(0x100 + (k << _BITS) + (number >> _BITS * k & (1 << _BITS) - 1)) for k in range(self.width)])
-
-    def gone(self, words: list[bytes], d: int, h: int) -> np.ndarray | None:
+    def gone(self, d: int, h: int) -> np.ndarray | None:
         """Which words of a document go; None if none does."""
-        get, unknown, size = self.spelled.get, self.unknown, self.width
-        text = "".join([get(w, unknown) for w in words])
+        text, w = self.texts[d, h], self.width
+        total = len(text) // w
         edges: list[tuple[int, int]] = []
         for automaton in self.automata:
-            for end, (n, entries) in automaton.iter(text):
-                first = (end + 1) // size - n
-                for passage, off, fd, fh, fat in entries:
-                    start = first - off
+            #: Up to where a passage that would start at a word agrees.  Matches come by their ends, so a phrase that ends before is in that run.
+            seen: dict[tuple, int] = {}
+            for last, (n, entries) in automaton.iter(text):
+                end = (last + 1) // w
+                for number, off in entries:
+                    start = end - n - off
+                    if seen.get((number, start), -1) >= end:
+                        continue
+                    passage, size, fd, fh, fat = self.passages[number]
                     if fat == start and fd == d and fh == h:
                         continue
-                    lo, hi = 0, len(passage) // size
-                    if start < 0 or not text.startswith(passage, start * size):
-                        same = lambda i: text[(start + i) * size : (start + i + 1) * size] == passage[i * size : (i + 1) * size]
-                        lo, most = off, min(hi, len(words) - start)
-                        while lo > 0 and start + lo > 0 and same(lo - 1):
-                            lo -= 1
-                        hi = off + n
-                        while hi < most and same(hi):
-                            hi += 1
-                        if hi - lo < self.window:
-                            continue
-                    edges.append((start + lo, start + hi))
+                    lo, hi = 0, size
+                    if start < 0 or not text.startswith(passage, start * w):
+                        x, y = end - n, off
+                        lo = off - _agreed(lambda a, b: text[(x - b) * w : (x - a) * w] == passage[(y - b) * w : (y - a) * w], min(x, y))  # noqa: B023
+                        x, y = end, off + n
+                        hi = y + _agreed(lambda a, b: text[(x + a) * w : (x + b) * w] == passage[(y + a) * w : (y + b) * w], min(total - x, size - y))  # noqa: B023
+                    seen[number, start] = start + hi
+                    if hi - lo >= self.window:
+                        edges.append((start + lo, start + hi))
         if not edges:
             return None
-        edge = np.zeros(len(words) + 1, dtype=np.int64)
+        edge = np.zeros(total + 1, dtype=np.int64)
         begin, end = np.array(edges).T
         np.add.at(edge, begin, 1)
         np.add.at(edge, end, -1)
@@ -214,26 +261,27 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
 
     def anchors(batches):
         for batch in batches:
-            for part in slices(batch, 3):
-                words = Words(part.column(3).to_pylist())
-                doc, a, at, _, _ = _anchors(words, window, phrase)
+            for part in slices(batch, batch.num_columns - 1):
+                words = Words(_values(part.column("t")))
+                doc, a, at, _, _ = _anchors(words, words.hashes(), window, phrase)
                 of = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), part.column(1).take(of), part.column(2).take(of), pa.array((at - words.first[doc]).astype(np.int32))], ["a", "d", "h", "at"])
+                keys = {c: part.column(c).take(of) for c in part.schema.names if c != "t"}
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a.view(np.int64)), **keys, **({"at": pa.array((at - words.first[doc]).astype(np.int32))} if keys else {})})
 
-    places = docs.mapInArrow(anchors, "a long, d long, h long, at int")
+    places = rows.select("d", "h", "t").mapInArrow(anchors, "a long, d long, h long, at int")
     # a table of its own, so that both sides of the join are plain exchanges, which AQE can split where an anchor is hot
-    often = checkpointed(places.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a", (F.col("n") > common).alias("big")), "anchors")
+    often = checkpointed(rows.select("t").mapInArrow(anchors, "a long").groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a", (F.col("n") > common).alias("big")), "anchors")
     chosen = places.join(often, "a").select(shard, "d", "h", "at", "big")
 
     def segments(mine: pa.Table, picked: pa.Table) -> pa.Table:
         """The segments of a document shard that a recurring anchor governs: each with its earliest place and its count."""
         held: dict = {}
         if picked.num_rows:
-            ds, hs, texts = (mine.column(c).to_pylist() for c in ("d", "h", "t"))
-            p = mine.column("p")[0].as_py()
+            ds, hs, texts = (_values(mine[c]) for c in ("d", "h", "t"))
+            p = mine["p"][0].as_py()
             index = {key: i for i, key in enumerate(zip(ds, hs))}
             marks: dict[int, list] = {}
-            for key, at, big in zip(zip(picked.column("d").to_pylist(), picked.column("h").to_pylist()), picked.column("at").to_pylist(), picked.column("big").to_pylist()):
+            for key, at, big in zip(zip(_values(picked["d"]), _values(picked["h"])), _values(picked["at"]), _values(picked["big"])):
                 marks.setdefault(index[key], []).append((at, big))
             todo, step, size = sorted(marks), [], 0
             for i in [*todo, None]:
@@ -247,18 +295,19 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
 
     def add_segments(held, p, texts, marks, ids):
         words = Words(texts)
-        doc, a, at, n, where = _anchors(words, window, phrase)
+        hashes = words.hashes()
+        doc, a, at, n, where = _anchors(words, hashes, window, phrase)
         state = np.zeros(len(words.starts) + 1, dtype=np.int8)
         for i, of in enumerate(marks):
             first = int(words.first[i])
             for x, big in of:
                 state[first + x] = 2 if big else 1
         chosen_as = state[at]
-        whole = runs(words.hashes(), window).view(np.int64)
         few, many = np.flatnonzero(chosen_as == 1), np.flatnonzero(chosen_as == 2)
         some = zip(doc[few].tolist(), a[few].view(np.int64).tolist(), at[few].tolist(), n[few].tolist(), (where[few] - at[few]).tolist())
         singles = np.repeat(at[many] - np.cumsum(n[many]) + n[many], n[many]) + np.arange(int(n[many].sum()))
-        more = ((i, s, lo, 1, -1) for i, s, lo in zip(np.repeat(doc[many], n[many]).tolist(), whole[singles].tolist(), singles.tolist()))
+        whole = ranges(hashes, singles, singles + window) if len(singles) else singles
+        more = ((i, s, lo, 1, -1) for i, s, lo in zip(np.repeat(doc[many], n[many]).tolist(), whole.view(np.int64).tolist(), singles.tolist()))
         for found in (some, more):
             for i, s, lo, length, off in found:
                 place = (*ids[i], lo - int(words.first[i]))
@@ -271,7 +320,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
 
         def sorted_rows():
             for b in batches:
-                yield from zip(*(c.to_pylist() for c in b.columns))
+                yield from zip(*map(_values, b.columns))
 
         out: list[tuple] = []
         for _, group in groupby(sorted_rows(), key=lambda r: r[0]):
@@ -296,15 +345,12 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     passages = found.repartition("s").sortWithinPartitions("s", "seg").mapInArrow(confirm, ddl(PASSAGE))
 
     def remove(mine: pa.Table, known: pa.Table) -> pa.Table:
-        docs = list(zip(*(mine.column(c).to_pylist() for c in ("d", "h", "t"))))
-        words_of = {(d, h): t.split() for d, h, t in docs}
-        told = zip(*(known.column(c).to_pylist() for c in PASSAGE if c != "p"))
-        located = Located(((words_of[d, h][at : at + size], off, *place) for d, h, at, size, off, *place in told), window, phrase)
+        words_of = dict(zip(zip(_values(mine["d"]), _values(mine["h"])), map(bytes.split, _values(mine["t"]))))
+        located = Located(words_of if known.num_rows else {}, zip(*(_values(known[c]) for c in PASSAGE if c != "p")), window, phrase)
         out = []
-        for d, h, _ in docs:
-            words = words_of[d, h]
-            gone = located.gone(words, d, h) if located.automata and len(words) >= window else None
-            kept = b" ".join(words if gone is None else [w for w, g in zip(words, gone) if not g])
+        for (d, h), words in words_of.items():
+            gone = located.gone(d, h) if located.automata and len(words) >= window else None
+            kept = b" ".join(words if gone is None else compress(words, (~gone).tolist()))
             out.append((d, h, len(words), 0 if gone is None else int(gone.sum()), kept.decode(), hashlib.sha256(kept).hexdigest()))
         kinds = {"d": pa.int64(), "h": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "kept_sha256": pa.string()}
         return pa.Table.from_batches([_batch(out, kinds)])
