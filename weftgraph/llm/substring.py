@@ -30,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import math
 from array import array
-from itertools import chain, compress, groupby, product
+from itertools import accumulate, chain, compress, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,8 @@ PHRASES = 40_000
 #: Rows that a batch of results holds at most.
 ROWS = 2000
 NO_ID = -(1 << 63)
-#: Bits of a word's number that a character spells.
-_BITS = 5
+#: Characters that spell a word's number.
+_DIGITS = 3
 
 
 def _anchors(words: Words, hashes: np.ndarray, window: int, phrase: int):
@@ -180,7 +180,7 @@ def _agreed(same, most: int) -> int:
 class Located:
     """The automata of the passages of one shard, whose documents (d, h) -> words they are parts of.
 
-    A word is a few characters: the digits of its number, each place with an alphabet of its own.  So a
+    A word is three characters: the digits of its number, each place with an alphabet of its own.  So a
     node of an automaton has few children, which are searched one by one, and no match starts inside a word.
     """
 
@@ -188,11 +188,14 @@ class Located:
         import ahocorasick
 
         self.window = window
-        words = dict.fromkeys(chain.from_iterable(documents.values()))
-        d = self.width = next(k for k in range(1, 13) if len(words) <= 1 << _BITS * k)
-        digits = [[chr(0x100 + (k << _BITS) + i) for i in range(1 << _BITS)] for k in range(d)]
-        spelled = dict(zip(words, map("".join, product(*digits))))
-        self.texts = {key: "".join(map(spelled.__getitem__, of)) for key, of in documents.items()}
+        words = pa.array(list(chain.from_iterable(documents.values())), pa.large_binary()).dictionary_encode()
+        numbers, bits, d = words.indices.to_numpy(), -(-len(words.dictionary).bit_length() // _DIGITS), _DIGITS
+        digits = np.empty((len(numbers), d), dtype="<u2")
+        for k in range(d):
+            digits[:, k] = 0x100 + (k << bits) + (numbers >> bits * (d - 1 - k) & (1 << bits) - 1)
+        text = digits.tobytes().decode("utf-16-le")
+        ends = [0, *accumulate(d * len(of) for of in documents.values())]
+        self.texts = {key: text[begin:end] for key, begin, end in zip(documents, ends, ends[1:])}
         self.passages, by_phrase = [], {}
         for pd, ph, at, size, *place, phrases in _whole_passages(told, window, phrase):
             text = self.texts[pd, ph]
@@ -210,7 +213,7 @@ class Located:
 
     def gone(self, d: int, h: int) -> np.ndarray | None:
         """Which words of a document go; None if none does."""
-        text, w = self.texts[d, h], self.width
+        text, w = self.texts[d, h], _DIGITS
         total = len(text) // w
         edges: list[tuple[int, int]] = []
         for automaton in self.automata:
