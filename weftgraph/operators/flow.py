@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.linkers import spread
 from weftgraph.operators.policy import can_traverse_inline, is_sink_call, sink_kind, visible_ids
-from weftgraph.sources.store import checkpointed
+from weftgraph.sources.store import Parts, checkpointed
 
 #: Calls are expanded at depths 0 to 5, names traced to depth 8 (fixed values).
 FLOW_DEPTH = 5
@@ -221,24 +221,51 @@ def data_flow_sinks(states: DataFrame, calls: DataFrame, components: DataFrame,
     return outbound_sinks(states, sites).unionByName(field_write_sinks(states, accesses)).unionByName(call_sinks(states, calls, components)).distinct()
 
 
+#: Ways of two strides, as a multiple of the steps, beyond which a stride is not doubled.
+NEAR = 8
+
+
+def _within(steps: DataFrame) -> tuple[DataFrame, int | None]:
+    """a, b, more: the pairs within a stride and the fewest steps between them; the stride, or none if nothing lies beyond it.
+
+    A stride is doubled while the ways of two, counted before they are made, are few for the steps there are.
+    What lies beyond k steps leads through a pair that is k steps apart.
+    """
+    near, stride, most = steps.withColumn("more", F.lit(1)), 1, NEAR * steps.count()
+    while True:
+        edge = near.where(F.col("more") == stride).select("a", F.col("b").alias("via"))
+        onward = near.select(F.col("a").alias("via"), "b", (F.col("more") + stride).alias("more"))
+        ways = edge.groupBy("via").agg(F.count("*").cast("double").alias("i")).join(onward.groupBy("via").agg(F.count("*").alias("o")), "via").agg(F.sum(F.col("i") * F.col("o"))).first()[0]
+        if ways is None:
+            return near, None
+        if ways > most:
+            return near, stride
+        beyond = edge.join(onward, "via").where("a <> b").select("a", "b", "more")
+        near, stride = checkpointed(near.unionByName(beyond).groupBy("a", "b").agg(F.min("more").alias("more")), "near"), stride * 2
+
+
 def reaching(locations: DataFrame, calls: DataFrame) -> DataFrame:
     """component_id, method (of `locations`), c, m: methods from which inline calls reach each location, to a fixpoint.
 
     Backwards from the few locations asked for, not forwards from every entrypoint.  Methods are numbered by a
-    stored table, so that frontiers are pairs of numbers; names are joined to what was found.
+    stored table, so that frontiers are pairs of numbers; names are joined to what was found.  A round goes a stride
+    of steps, so long chains of calls take few rounds; all rounds are read by one scan.
     """
     back = calls.where(can_traverse_inline()).select(F.col("to_id").alias("c"), F.col("to_method").alias("m"), F.col("from_id").alias("next_c"), F.col("from_method").alias("next_m")).distinct()
     start = locations.select("component_id", "method").distinct()
     every = start.toDF("c", "m").unionByName(back.select("c", "m")).unionByName(back.select(F.col("next_c").alias("c"), F.col("next_m").alias("m")))
     named = checkpointed(every.where("c is not null and m is not null").distinct().withColumn("n", F.monotonically_increasing_id()), "methods")
     steps = back.join(named.withColumnRenamed("n", "a"), ["c", "m"]).join(named.select(F.col("c").alias("next_c"), F.col("m").alias("next_m"), F.col("n").alias("b")), ["next_c", "next_m"])
-    steps = checkpointed(steps.select("a", "b"), "calls")
-    seen = front = checkpointed(start.toDF("c", "m").join(named, ["c", "m"]).select(F.col("n").alias("at"), "n"), "reach")
+    near, stride = _within(checkpointed(steps.select("a", "b").where("a <> b"), "calls"))
+    seen, reach = Parts(calls.sparkSession, "reach"), 0
+    front = seen.add(start.toDF("c", "m").join(named, ["c", "m"]).select(F.col("n").alias("at"), "n", F.lit(0).alias("depth")))
     while True:
-        front = checkpointed(front.join(steps, F.col("n") == F.col("a")).select("at", F.col("b").alias("n")).distinct().join(seen, ["at", "n"], "left_anti"), "reach")
-        if front.isEmpty():
+        further = front.where(F.col("depth") == reach).join(near, F.col("n") == F.col("a")).groupBy("at", F.col("b").alias("n")).agg((F.min("more") + reach).alias("depth"))
+        front = seen.add(further.join(seen.read(), ["at", "n"], "left_anti"))
+        if stride is None or front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        reach += stride
+    seen = seen.read()
     return seen.join(named.select(F.col("c").alias("component_id"), F.col("m").alias("method"), F.col("n").alias("at")), "at").join(named, "n").select("component_id", "method", "c", "m")
 
 
